@@ -6,8 +6,17 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from . import licenses
+from .common import fold5
+from .decontamination import find_leaks
+from .html_text import extract_main_text
+from .language import identify_language
 from .ngram_join import ngram_jaccard_join
+from .packing import byte_bpe, pack
+from .quality import quality_rules
 from .suffix_dedup import suffix_dedup
+from .toxicity import score_toxicity
+from .url_filter import Rule, filter_urls
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -18,17 +27,95 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 def op1_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
-    return suffix_dedup(docs, kept=False).select("doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256")
+    return suffix_dedup(docs, kept=None).select("doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256")
+
+
+def op2_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
+    got = identify_language(docs, learn=fold5("doc_id") != 0)
+    return got.select("doc_id", (fold5("doc_id") == 0).alias("held_out"), "lang_pred", "score")
+
+
+def op3_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
+    got = score_toxicity(docs, _table(spark, sf_dir, "labels").select("doc_id", "toxic"))
+    return got.select("doc_id", (fold5("doc_id") == 0).alias("held_out"), "score", "predicted")
+
+
+def tokenizer():
+    """The byte-level tokenizer of the packing query, by the paths its package gives."""
+    import public_tokenizers as files
+
+    return byte_bpe(str(files.path("byte_bpe_50k.json")), str(files.path("byte_bpe_50k.tiktoken")), files.PATTERN)
+
+
+def op4_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pack(_table(spark, sf_dir, "documents").select("doc_id", "text"), tokenizer=tokenizer())
+
+
+#: The host rules of the url query, and the globs that decide where none of them fits.
+URL_RULES = [Rule("block", "net", "/"), Rule("allow", "example.net", "/en/"), Rule("block", "example.com", "/de/"), Rule("allow", "org", "/fr/")]
+URL_GLOBS = ["*casino*", "*adult-*", "*free-bets*", "*cheap-pills*", "*spam-*", "*?xxx?*", "*/ads/*"]
+
+
+def op5_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return filter_urls(_table(spark, sf_dir, "pages").select("page_id", "url"), URL_RULES, URL_GLOBS).select("page_id", "host", "path", "rule", "verdict")
+
+
+def op6_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licenses.scan_licenses(_table(spark, sf_dir, "documents").select("doc_id", "text"), licenses.KNOWN).select("doc_id", "digest", "license", "is_license")
+
+
+def _op6_sql() -> str:
+    quoted = lambda t: "'" + t.replace("'", "''") + "'"
+    known = ", ".join(f"({quoted(k)}, {quoted(v)})" for k, v in licenses.KNOWN.items())
+    return f"""
+WITH known AS (
+  SELECT sha256(c) AS digest, min(license) AS license
+  FROM (SELECT license, {licenses.canonical_sql("body")} AS c FROM (VALUES {known}) AS t(license, body))
+  WHERE c <> '' GROUP BY 1),
+own AS (SELECT doc_id, sha256({licenses.canonical_sql("text")}) AS digest FROM documents)
+SELECT doc_id, own.digest AS digest, license, license IS NOT NULL AS is_license FROM own LEFT JOIN known USING (digest)"""
+
+
+def op7_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return find_leaks(_table(spark, sf_dir, "documents").select("doc_id", "text"), _table(spark, sf_dir, "benchmark"))
+
+
+def op8_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
+    return quality_rules(docs, _table(spark, sf_dir, "labels").select("doc_id", "quality")).select(
+        "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept"
+    )
 
 
 def op9_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ngram_jaccard_join(_table(spark, sf_dir, "documents").select("doc_id", "text"))
 
 
+def op10_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return extract_main_text(_table(spark, sf_dir, "pages").select("page_id", "url", "html")).select("page_id", "url", "text", "n_chars")
+
+
+def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import corpus_pipeline
+
+    return corpus_pipeline.run(spark, sf_dir)
+
+
 QUERIES: dict[str, Query] = {
     "op1_suffix_dedup": op1_suffix_dedup,
+    "op2_language_id": op2_language_id,
+    "op3_toxicity": op3_toxicity,
+    "op4_best_fit_packing": op4_best_fit_packing,
+    "op5_url_filter": op5_url_filter,
+    "op6_license_scan": op6_license_scan,
+    "op7_benchmark_decontamination": op7_benchmark_decontamination,
+    "op8_quality_rules": op8_quality_rules,
     "op9_ngram_jaccard_join": op9_ngram_jaccard_join,
+    "op10_html_extraction": op10_html_extraction,
+    "pipeline": pipeline,
 }
 
 #: DuckDB SQL for those of the queries that SQL can express.
-ORACLES: dict[str, str] = {}
+ORACLES: dict[str, str] = {"op6_license_scan": _op6_sql()}

@@ -36,7 +36,7 @@ K_GRAM = 24
 SHALLOW = 48
 TRIE = 10
 #: Different extents of one bucket that a single task sorts; more are split by content.
-BUCKET = 20_000
+BUCKET = 2_000
 _LOW = (1 << 20) - 1
 _ANCHOR = "kh long, sh long, _id long, _th long, loc long, mark boolean"
 
@@ -373,7 +373,7 @@ def _sort_rows(length: int):
 
 
 # --------------------------------------------------------------------------- result
-def _result_rows(schema: pa.Schema, kept: bool):
+def _result_rows(schema: pa.Schema, kept: str | None):
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             data, offs = C.flat(b.column("_text"))
@@ -395,7 +395,7 @@ def _result_rows(schema: pa.Schema, kept: bool):
                     texts.append(keep)
             made = {"n_bytes": pa.array(np.diff(offs)), "n_removed": pa.array(n_removed, pa.int64()), "n_spans": pa.array(n_spans, pa.int64()), "kept_sha256": pa.array(sha, pa.string()), "removed": pa.array(spans, schema.field("removed").type)}
             if kept:
-                made["kept"] = pa.array(texts, pa.binary())
+                made["kept"] = pa.array(texts, pa.binary()) if kept == "bytes" else pa.array([t.decode("utf-8", "ignore") for t in texts], pa.string())
             yield pa.RecordBatch.from_arrays([made[f.name] if f.name in made else b.column(f.name).cast(f.type) for f in schema], schema=schema)
 
     return rows
@@ -445,14 +445,16 @@ def repeated_spans(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text
     return out
 
 
-def suffix_dedup(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", length: int = 100, kept: bool = True, bucket: int = BUCKET) -> DataFrame:
-    """``docs`` with n_bytes, n_removed, n_spans, kept_sha256, removed (byte spans) and, if wanted, kept (the bytes left).
+def suffix_dedup(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", length: int = 100, kept: str | None = "bytes", bucket: int = BUCKET) -> DataFrame:
+    """``docs`` with n_bytes, n_removed, n_spans, kept_sha256, removed (byte spans) and kept.
+
+    kept: "bytes" for the bytes left, "text" for the whole characters among them, None for no such column.
 
     See the module's text for the method and for nulls, repeated rows and clashing names.
     """
     spans = repeated_spans(docs, doc_id=doc_id, text=text, length=length, bucket=bucket)
     per_doc = spans.groupBy("_id", "_th").agg(F.collect_list(F.struct("lo", "hi")).alias("spans_"))
-    new = "n_bytes long, n_removed long, n_spans long, kept_sha256 string, removed array<struct<start:bigint,end:bigint>>" + ", kept binary" * kept
+    new = "n_bytes long, n_removed long, n_spans long, kept_sha256 string, removed array<struct<start:bigint,end:bigint>>" + {None: "", "bytes": ", kept binary", "text": ", kept string"}[kept]
     names = [x.split()[0] for x in ("n_bytes", "n_removed", "n_spans", "kept_sha256", "removed", "kept", "_id", "_th", "_text", "spans_")]
     if {doc_id.lower(), text.lower()} & set(names):
         raise ValueError(f"the id and text columns cannot be called {names}")
