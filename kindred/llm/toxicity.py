@@ -210,7 +210,7 @@ def score_toxicity(
     sc = docs.sparkSession.sparkContext
     marked = labels.groupBy(F.col(f"`{doc_id}`").cast("long").alias("_id")).agg(F.max(F.col(f"`{label}`").cast("int")).alias("_toxic")).where("_toxic IN (0, 1)")
     src = docs.select(F.col(f"`{doc_id}`").cast("long").alias("_id"), C.fold5(doc_id).alias("_fold"), C.text_col(text).alias("_text"))
-    train = src.join(marked, "_id").select("_text", "_toxic", "_fold")
+    train = src.join(marked.hint("merge"), "_id").select("_text", "_toxic", "_fold")
     counts = train.where(F.col("_fold").isin(*count_folds)).select("_text", "_toxic").mapInArrow(_counts, "h long, n0 long, n1 long, near long")
     llr = log_ratios(counts, slots)
     model = sc.broadcast(llr)
