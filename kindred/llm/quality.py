@@ -192,7 +192,7 @@ def quality_rules(docs: DataFrame, labels: DataFrame, *, doc_id: str = "doc_id",
     """``docs`` with the base counts, base_failed and kept. With probability 1 - delta at most ``risk`` of each
     stratum's good documents fail the learned rules."""
     marked = labels.groupBy(F.col(f"`{doc_id}`").cast("long").alias("_id")).agg(F.max(F.col(f"`{label}`").cast("int")).alias("_good")).where("_good IN (0, 1)")
-    train = docs.select(F.col(f"`{doc_id}`").cast("long").alias("_id"), C.text_col(text).alias("_text")).join(marked, "_id").select("_text", "_good")
+    train = docs.select(F.col(f"`{doc_id}`").cast("long").alias("_id"), C.text_col(text).alias("_text")).join(marked.hint("merge"), "_id").select("_text", "_good")
     seen = train.mapInArrow(_histogram, "stratum int, stat int, bin int, good int, n long").groupBy("stratum", "stat", "bin", "good").agg(F.sum("n").alias("n")).collect()
     cutoffs = certify({(r["stratum"], r["stat"], r["bin"], r["good"]): r["n"] for r in seen}, risk, delta)
     base = C.without(docs, [*_COUNTS, "base_failed", "kept", "_text"])
