@@ -43,6 +43,19 @@ def kernel_distance(pairs: DataFrame, diag: DataFrame, *, compat: bool = False)
     return _with_diagonals(pairs, diag).select("g1", "g2", F.sqrt(F.greatest(F.lit(0.0), half * (F.col("k1") + F.col("k2")) - F.col("k"))).alias("d"))
 
 
+def kernel_distance_gradient(pairs: DataFrame, diag: DataFrame, *, compat: bool = False) -> DataFrame:
+    """(g1, g2, d, dd): as :func:`kernel_distance` with derivatives from the dk arrays of both tables.
+
+    A distance of 0 has derivative 0; ``compat`` divides by d + 0.0001 everywhere instead.
+    """
+    d = lambda k: diag.select(F.col("gid").alias(f"g{k}"), F.col("k").alias(f"k{k}"), F.col("dk").alias(f"d{k}"))
+    half = 0.4999997 if compat else 0.5
+    j = pairs.join(d(1), "g1").join(d(2), "g2").withColumn("d", F.sqrt(F.greatest(F.lit(0.0), half * (F.col("k1") + F.col("k2")) - F.col("k"))))
+    slope = 0.5 / (F.col("d") + 1e-4) if compat else F.when(F.col("d") > 0, 0.5 / F.col("d")).otherwise(0.0)
+    dd = F.transform(F.arrays_zip("d1", "d2", "dk"), lambda z: (0.5 * z["d1"] + 0.5 * z["d2"] - z["dk"]) * F.col("_s"))
+    return j.withColumn("_s", slope).select("g1", "g2", "d", dd.alias("dd"))
+
+
 def nodal_distances(nodal: DataFrame, diag_nodal: DataFrame, *, scale: float = 1.0, compat: bool = False) -> DataFrame:
     """(g1, g2, n1, n2, d) between nodes; scale sqrt(2) gives the unscaled variant."""
     d = lambda k: diag_nodal.select(F.col("gid").alias(f"g{k}"), F.col("nid").alias(f"n{k}"), F.col("r").alias(f"r{k}"))

@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..plans.checkpoint import checkpointed
-from .linalg import inverse, powerh
+from .linalg import inverse, pinvh, powerh
 
 #: Training points whose dense Gramian a driver holds; beyond it the low-rank form is the way.
 LIMIT = 20_000
@@ -52,8 +52,9 @@ class GaussianProcess:
         self.alpha, self.beta, self.regularization = alpha, beta, regularization
 
     def fit(self, pairs: DataFrame, y: DataFrame) -> GaussianProcess:
-        targets = {r.gid: r.y for r in masked_targets(y).collect()}
         ids, k = dense(regularize(pairs, self.alpha, self.regularization))
+        own = pairs.where("g1 = g2").select(F.col("g1").alias("gid"))
+        targets = {r.gid: r.y for r in masked_targets(y).join(own, "gid", "left_semi").collect()}
         keep = [i for i, g in enumerate(ids) if g in targets]
         return self.fit_matrix([ids[i] for i in keep], k[np.ix_(keep, keep)], np.array([targets[ids[i]] for i in keep]))
 
@@ -96,8 +97,47 @@ class GaussianProcess:
         return float(0.5 * ((self.weights / np.diag(self.inverse)) ** 2).sum())
 
 
+def vectors(cross: DataFrame, ids: list, value: str = "k") -> DataFrame:
+    """(g1, r): each row of cross(g1, g2, value) as one array in the order of ``ids`` (a core's, of bounded number)."""
+    at = {g: i for i, g in enumerate(ids)}
+    kind = dict(cross.dtypes)["g1"]
+    packed = cross.groupBy("g1").agg(F.collect_list(F.struct("g2", F.col(value).alias("v"))).alias("r"))
+
+    def rows(batches):
+        for b in batches:
+            k = np.zeros((len(b), len(at)))
+            for i, r in enumerate(b["r"]):
+                for p in r:
+                    k[i, at[p["g2"]]] = p["v"]
+            yield pd.DataFrame({"g1": b["g1"], "r": list(k)})
+
+    return packed.mapInPandas(rows, f"g1 {kind}, r array<double>")
+
+
+def moments(rows: DataFrame, c: int) -> tuple[np.ndarray, np.ndarray]:
+    """Sums of r r' and r y over rows(r, y): partial sums per task, of size c by c, added up by Spark."""
+
+    def sums(batches):
+        rr, ry = np.zeros((c, c)), np.zeros(c)
+        for b in batches:
+            if len(b):
+                r = np.stack(b["r"].to_numpy())
+                rr += r.T @ r
+                ry += r.T @ b["y"].to_numpy()
+        yield pd.DataFrame({"i": np.arange(c + 1), "v": [*rr.tolist(), ry.tolist()]})
+
+    parts = rows.select("r", "y").mapInPandas(sums, "i int, v array<double>").select("i", F.posexplode("v").alias("j", "v")).groupBy("i", "j").agg(F.sum("v").alias("v")).toPandas()
+    m = np.zeros((c + 1, c))
+    m[parts["i"], parts["j"]] = parts["v"]
+    return m[:c], m[c]
+
+
 class LowRankGaussianProcess:
-    """Nystrom form: F = Kxc Kcc^-1/2. Training rows stay in Spark; only core-by-core sums come to the driver."""
+    """Nystrom form: F = Kxc (Kcc + alpha)^-1/2, K = F F'. Training rows stay in Spark; core-by-core sums reach the driver.
+
+    With A = sum of the rows' k k' and b = sum of their k y, the mean at z is Kzc A^-1 b. Every other quantity is a
+    function of A, b and Kcc alone, or of those and a row.
+    """
 
     def __init__(self, alpha: float = 1e-7, beta: float = 1e-7):
         self.alpha, self.beta = alpha, beta
@@ -105,49 +145,80 @@ class LowRankGaussianProcess:
     def fit(self, core: DataFrame, cross: DataFrame, y: DataFrame) -> LowRankGaussianProcess:
         """core(g1, g2, k) with g1 <= g2; cross(g1, g2, k): training points by core points; y(gid, y)."""
         self.ids, kcc = dense(core)
-        return self._fit(kcc, cross, y)
-
-    def _fit(self, kcc: np.ndarray, cross: DataFrame, y: DataFrame) -> LowRankGaussianProcess:
-        self.root = powerh(kcc, -0.5, self.beta, "clamp")
-        rows = self.features(cross).join(masked_targets(y).withColumnRenamed("gid", "g1"), "g1")
-        c = len(self.ids)
-
-        def sums(batches):
-            ff, fy = np.zeros((c, c)), np.zeros(c)
-            for b in batches:
-                if len(b):
-                    f = np.stack(b["f"].to_numpy())
-                    ff += f.T @ f
-                    fy += f.T @ b["y"].to_numpy()
-            yield pd.DataFrame({"i": np.arange(c + 1), "v": [*ff.tolist(), fy.tolist()]})
-
-        parts = rows.mapInPandas(sums, "i int, v array<double>").select("i", F.posexplode("v").alias("j", "v")).groupBy("i", "j").agg(F.sum("v").alias("v")).toPandas()
-        m = np.zeros((c + 1, c))
-        m[parts["i"], parts["j"]] = parts["v"]
-        self.weights = self.root @ np.linalg.solve(m[:c] + self.alpha * np.eye(c), m[c])
-        self.gram = m[:c]
+        rows = vectors(cross, self.ids).join(masked_targets(y).withColumnRenamed("gid", "g1"), "g1")
+        return self.fit_sums(self.ids, kcc, *moments(rows, len(self.ids)))
+
+    def fit_sums(self, ids: list, kcc: np.ndarray, a: np.ndarray, b: np.ndarray) -> LowRankGaussianProcess:
+        self.ids, self.kcc, self.a, self.b = ids, kcc, a, b
+        self.root = powerh(kcc + self.alpha * np.eye(len(kcc)), -0.5, self.beta, "clamp")
+        self.gram = self.root.T @ a @ self.root
+        self.gram_inverse, self.logdet = pinvh(self.gram, self.beta, "clamp")
+        self.weights = self.root @ self.gram_inverse @ (self.root.T @ b)
         return self
 
     def features(self, cross: DataFrame) -> DataFrame:
         """(g1, f): each row's coordinates in the core's space."""
-        at, root = {g: i for i, g in enumerate(self.ids)}, self.root
-        kind = dict(cross.dtypes)["g1"]
-        packed = cross.groupBy("g1").agg(F.collect_list(F.struct("g2", "k")).alias("r"))
-
-        def rows(batches):
-            for b in batches:
-                k = np.zeros((len(b), len(at)))
-                for i, r in enumerate(b["r"]):
-                    for p in r:
-                        k[i, at[p["g2"]]] = p["k"]
-                yield pd.DataFrame({"g1": b["g1"], "f": list(k @ root)})
-
-        return packed.mapInPandas(rows, f"g1 {kind}, f array<double>")
+        return self._rows(cross, lambda k: (list(k @ self.root),), "f array<double>")
 
     def predict(self, cross: DataFrame) -> DataFrame:
         w = cross.sparkSession.createDataFrame(pd.DataFrame({"g2": self.ids, "_w": self.weights}))
         return cross.join(w, "g2").groupBy("g1").agg(F.sum(F.col("k") * F.col("_w")).alias("y"))
 
+    def predict_std(self, cross: DataFrame, diag: DataFrame) -> DataFrame:
+        """(g1, y, std); diag(gid, k) of the predicted points."""
+        w, part = self.weights, self.root @ self.gram @ self.gram_inverse @ self.root.T
+        got = self._rows(cross, lambda k: (k @ w, np.einsum("ij,jk,ik->i", k, part, k)), "y double, _q double")
+        own = diag.select(F.col("gid").alias("g1"), (F.col("k") + self.alpha).alias("_d"))
+        return got.join(own, "g1").select("g1", "y", F.sqrt(F.greatest(F.lit(0.0), F.col("_d") - F.col("_q"))).alias("std"))
+
+    def leave_one_out(self, cross: DataFrame, y: DataFrame, method: str = "auto") -> DataFrame:
+        """(g1, y, std): each training row predicted from the others.
+
+        'ridge-like' removes a row's leverage from a least-squares fit and has no std (null); 'gpr-like' uses the
+        diagonal of the pseudoinverse of F F'. 'auto' takes the first where the sums are of full rank.
+        """
+        if method not in ("auto", "ridge-like", "gpr-like"):
+            raise ValueError(f"not a method: {method}")
+        rows = vectors(cross, self.ids).join(masked_targets(y).withColumnRenamed("gid", "g1"), "g1")
+        a, b = moments(rows, len(self.ids))
+        cov = a + self.alpha * np.eye(len(a))
+        if method == "auto":
+            method = "ridge-like" if np.linalg.eigvalsh(cov).min() > self.alpha else "gpr-like"
+        if method == "ridge-like":
+            inner = np.linalg.inv(cov)
+            w = inner @ b
+        else:
+            g, _ = pinvh(self.root.T @ a @ self.root, self.beta, "clamp")
+            inner = self.root @ g @ g @ self.root.T
+            w = inner @ b
+
+        def out(batches):
+            for t in batches:
+                if not len(t):
+                    continue
+                k, z = np.stack(t["r"].to_numpy()), t["y"].to_numpy()
+                d, m = np.einsum("ij,jk,ik->i", k, inner, k), k @ w
+                ridge = method == "ridge-like"
+                got = z - (z - m) / (1 - d) if ridge else z - m / d
+                yield pd.DataFrame({"g1": t["g1"], "y": got, "std": [None] * len(t) if ridge else np.sqrt(1 / np.maximum(d, 1e-14))})
+
+        return rows.mapInPandas(out, f"g1 {dict(cross.dtypes)['g1']}, y double, std double")
+
+    def objective(self) -> float:
+        """y' K^+ y + log det K over the core's space, to be minimised."""
+        h = self.gram_inverse @ (self.root.T @ self.b)
+        return float(h @ h + self.logdet)
+
+    def _rows(self, cross: DataFrame, make, fields: str) -> DataFrame:
+        names = [f.split()[0] for f in fields.split(", ")]
+
+        def out(batches):
+            for t in batches:
+                if len(t):
+                    yield pd.DataFrame({"g1": t["g1"], **dict(zip(names, make(np.stack(t["r"].to_numpy())), strict=True))})
+
+        return vectors(cross, self.ids).mapInPandas(out, f"g1 {dict(cross.dtypes)['g1']}, {fields}")
+
 
 def propagate_labels(weights: DataFrame, y: DataFrame, *, smoothing: float = 1e-3, tol: float = 1e-10, max_steps: int = 10_000) -> DataFrame:
     """(gid, y): harmonic values of the unlabelled points. weights(i, j, w) in both directions; y null where unknown.
