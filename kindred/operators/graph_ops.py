@@ -116,7 +116,8 @@ def reorder(nodes: DataFrame, edges: DataFrame, method: str = "rcm") -> DataFram
         return pd.DataFrame({"gid": key[0], "nid": order, "pos": range(len(order))})
 
     kind = dict(nodes.dtypes)["gid"]
-    return nodes.select("gid", "nid").groupBy("gid").cogroup(edges.select("gid", "src", "dst").groupBy("gid")).applyInPandas(one, f"gid {kind}, nid int, pos int")
+    own = nodes.select(F.col("gid").alias("_g"), "nid")  # another name: both tables may derive from one
+    return own.groupBy("_g").cogroup(edges.select("gid", "src", "dst").groupBy("gid")).applyInPandas(one, f"gid {kind}, nid int, pos int")
 
 
 def transitions(sequences: DataFrame) -> DataFrame:

@@ -6,6 +6,7 @@ import math
 from collections.abc import Callable
 
 import numpy as np
+import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -65,6 +66,21 @@ class SequenceRewriter:
         return sorted(out)
 
 
+def rewrites(rewriter: SequenceRewriter, seqs: DataFrame, seed: int = 0) -> DataFrame:
+    """(id, s): the offspring of every sequence of seqs(id, s); a row's edits depend on its id and the seed alone."""
+    salted = seqs.select("id", "s", F.xxhash64("id", F.lit(seed)).alias("_h"))
+
+    def out(batches):
+        for t in batches:
+            rows = []
+            for i, text, h in zip(t["id"], t["s"], t["_h"], strict=True):
+                rewriter.rng = np.random.default_rng(int(h) & (2**63 - 1))
+                rows += [(i, x) for x in rewriter(text or "")]
+            yield pd.DataFrame(rows, columns=["id", "s"])
+
+    return salted.mapInPandas(out, f"id {dict(seqs.dtypes)['id']}, s string")
+
+
 class TreeSearch:
     """Monte Carlo tree search for a sequence whose predicted value meets a target.
 

@@ -216,15 +216,21 @@ class GraphKernel:
         """(g1, g2, d, n1, n2, dd): Hausdorff distance over nodes, the node pair it is attained at, and the distance's
         derivatives (order of :meth:`gradient`) there; zeros where the distance is 0. Of tied node pairs the last counts."""
 
+        def own(a: Packed) -> tuple[np.ndarray, np.ndarray]:
+            """Each node with itself; kept with the graph, which lives as long as its group."""
+            if not hasattr(a, "own"):
+                r, g = self.nodal_gradient(a, a)
+                a.own = np.diag(r), np.diagonal(g, axis1=1, axis2=2)
+            return a.own
+
         def result(a: Packed, b: Packed) -> list[tuple]:
             r, g = self.nodal_gradient(a, b)
-            (ra, ga), (rb, gb) = self.nodal_gradient(a, a), self.nodal_gradient(b, b)
-            da, db = np.diag(ra), np.diag(rb)
+            (da, ga), (db, gb) = own(a), own(b)
             norm = r / np.sqrt(np.outer(da, db))
             d = np.sqrt(np.maximum(0.0, 1.0 - norm))
             far = max(d.min(axis=1).max(), d.min(axis=0).max())
             i, j = (int(z[-1]) for z in np.nonzero(d == far))
-            dn = g[:, i, j] / np.sqrt(da[i] * db[j]) - 0.5 * norm[i, j] * (ga[:, i, i] / da[i] + gb[:, j, j] / db[j])
+            dn = g[:, i, j] / np.sqrt(da[i] * db[j]) - 0.5 * norm[i, j] * (ga[:, i] / da[i] + gb[:, j] / db[j])
             slope = -0.5 / far * dn * scale if far > 0 else np.zeros(len(dn))
             return [(float(far * scale), i, j, slope.tolist())]
 

@@ -7,16 +7,16 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .functions.adjacency import CompactBell, Gaussian, Tent
 from .functions.microkernel import Additive, Constant, Convolution, DotProduct, KroneckerDelta, MicroKernel, Normalize, RationalQuadratic, SquareExponential, TensorProduct
 from .operators import graph_ops as G
 from .operators import metrics as M
-from .operators import models, sequences
+from .operators import fitting, models, sequences
 from .plans.kernel import GraphKernel, pack, walk_similarity
-from .sources.graphs import USER_GRAPHS_SQL, user_graphs
+from .sources.graphs import USER_GRAPHS_SQL, from_keyed, radius_edges, user_graphs
 
 NODE = TensorProduct(lab=KroneckerDelta(0.3), val=SquareExponential(10.0))
 EDGE = TensorProduct(len=SquareExponential(10.0))
@@ -176,8 +176,6 @@ def _adjacency(form):
 # --------------------------------------------------------------------------- microkernels over order lines
 def _lines(spark, d) -> DataFrame:
     """Each line item with the next one of the same order in full key order."""
-    from pyspark.sql import Window
-
     key = ["l_linenumber", "l_partkey", "l_suppkey", "l_extendedprice"]
     w = Window.partitionBy("l_orderkey").orderBy(*key)
     li = spark.read.parquet(f"{d}/lineitem.parquet").select("l_orderkey", *key, "l_returnflag", "l_quantity", "l_discount")
@@ -321,6 +319,107 @@ def hierarchical_select(spark, d):
     return models.hierarchical_selection(v, lambda a, b: np.exp(-((a[:, None] - b[None]) ** 2).sum(-1)), 12)
 
 
+def determinant_select(spark, d):
+    import numpy as np
+
+    v = spark.read.parquet(f"{d}/embeddings.parquet").select(F.col("vec_id").alias("gid"), F.col("embedding").alias("v"))
+    return models.hierarchical_selection(v, lambda a, b: np.exp(-((a[:, None] - b[None]) ** 2).sum(-1)), 12, selector=models.determinant_maximizer)
+
+
+def label_entropy(spark, d):
+    return _rounded(models.label_entropy(models.propagate_labels(*_class_weights(spark, d), smoothing=1e-3)), "entropy", digits=4)
+
+
+def _profile(spark, d):
+    """The sources' mean lengths, in thousands, and mean quality: as few rows as there are sources."""
+    docs = spark.read.parquet(f"{d}/documents.parquet").select("doc_id", "source", "n_chars")
+    lab = spark.read.parquet(f"{d}/labels.parquet").select("doc_id", "quality")
+    prof = docs.join(lab, "doc_id", "left").groupBy("source").agg((F.avg("n_chars") / 1000).alias("m"), F.avg("quality").alias("q")).orderBy("source")
+    if (n := prof.count()) > fitting.FIT_LIMIT:
+        raise ValueError(f"{n} sources; the dense models hold {fitting.FIT_LIMIT}")
+    t = prof.toPandas()
+    return t, t[["m"]].to_numpy()
+
+
+def gfr_fit_predict(spark, d):
+    """Quality of the sources whose name ends in 1, with the weights' scale fitted by the label entropy."""
+    t, x = _profile(spark, d)
+    y = [None if s.endswith("1") else q for s, q in zip(t["source"], t["q"], strict=True)]
+    field = fitting.GaussianField(fitting.PointSimilarity(s=(1.0, (1e-3, 1e3))))
+    t["y"] = field.fit_predict(fitting.distances(x, x), y)
+    return spark.createDataFrame(t[["source", "y"]])
+
+
+def outlier_sources(spark, d):
+    """Noise deviation of each source's mean quality as a function of its mean length."""
+    t, x = _profile(spark, d)
+    found = fitting.OutlierDetector(fitting.PointSimilarity(s=(1.0, (0.1, 10.0)))).fit(x, (t["q"] - t["q"].mean()).to_numpy(), w=3.0, repeat=3)
+    t = t[t["q"].notna()].assign(sigma=found.y_uncertainty)
+    return spark.createDataFrame(t[["source", "sigma"]])
+
+
+def nystrom_fit(spark, d):
+    """Every vector's label from its embedding: low-rank model with a fitted length scale, 16 core points."""
+    import numpy as np
+
+    v = spark.read.parquet(f"{d}/embeddings.parquet").select(F.col("vec_id").alias("gid"), F.col("embedding").cast("array<double>").alias("v"), F.col("label").cast("double").alias("y"))
+    core = np.stack([r.v for r in v.orderBy("gid").limit(16).collect()])  # the low-rank form's core points
+    similarity, model = fitting.fit_low_rank(fitting.PointSimilarity(s=(1.0, (0.05, 20.0))), core, v, alpha=1e-6)
+
+    def means(batches):
+        for t in batches:
+            if len(t):
+                yield t[["gid"]].assign(y=similarity(np.stack(t["v"].to_numpy()), core) @ model.weights)
+
+    return v.select("gid", "v").mapInPandas(means, "gid long, y double")
+
+
+def graph_kernel_gradient(spark, d):
+    """Each user's self similarity and its derivatives by q, the node and the edge parameters."""
+    return kernel().diag(_packed(spark, d), gradient=True)
+
+
+def maximin_gradient(spark, d):
+    """All pairs of users: distance, the node pair that attains it, derivatives."""
+    return kernel().maximin_gradient(_packed(spark, d))
+
+
+def user_transitions(spark, d):
+    ev = spark.read.parquet(f"{d}/events.parquet")
+    order = Window.partitionBy("user_id").orderBy("ts", "event_id")
+    return G.transitions(ev.select(F.col("user_id").alias("gid"), F.row_number().over(order).alias("pos"), F.col("event_type").alias("symbol")))
+
+
+def flag_graph(spark, d):
+    """A graph per order from keyed tables: return flags, joined where lines with them follow each other."""
+    lines = _lines(spark, d).select(F.col("l_orderkey").alias("gid"), F.col("x_l_returnflag").alias("src"), F.col("y_l_returnflag").alias("dst"), F.col("x_l_quantity").cast("double").alias("l_quantity"))
+    nodes = lines.select("gid", F.explode(F.array("src", "dst")).alias("key")).distinct()
+    e = from_keyed(nodes, lines, weight="l_quantity")[1]
+    return e.groupBy("gid", "src", "dst").agg(F.sum("w").alias("w"), F.count("*").alias("n"))
+
+
+def radius_graph(spark, d):
+    """A graph per label: vectors as points by their first three coordinates, joined below a distance of 0.15."""
+    v = spark.read.parquet(f"{d}/embeddings.parquet")
+    points = v.select(F.col("label").alias("gid"), F.col("vec_id").alias("nid"), *[F.col("embedding")[k].cast("double").alias(c) for k, c in enumerate("xyz")])
+    return _rounded(radius_edges(points, 0.15, Tent(1).column(F.col("length"), F.lit(0.05))), "w", "length", digits=5)
+
+
+def place_tree(spark, d):
+    """Regions and their nations as a tree, flattened."""
+    region = spark.read.parquet(f"{d}/region.parquet").select(F.concat(F.lit("r"), "r_regionkey").alias("id"), F.lit(None).cast("string").alias("parent"))
+    nation = spark.read.parquet(f"{d}/nation.parquet").select(F.concat(F.lit("n"), "n_nationkey").alias("id"), F.concat(F.lit("r"), "n_regionkey").alias("parent"))
+    return sequences.flatten_tree(region.unionByName(nation))
+
+
+def sequence_rewrites(spark, d):
+    s = _event_sequences(spark, d)
+    return sequences.rewrites(sequences.SequenceRewriter(sequences.ngrams(s, 2), n=2), s)
+
+
+_GFR_SQL = f"""WITH RECURSIVE {_PROFILE_SQL}, w AS (SELECT i, j, w + 1e-3 AS w FROM wt), u AS (SELECT gid AS i FROM y WHERE y IS NULL),
+ d AS (SELECT i, sum(w) AS d FROM w JOIN u USING (i) GROUP BY i), b AS (SELECT u.i, coalesce(sum(w * y), 0) AS b FROM u LEFT JOIN w USING (i) LEFT JOIN (SELECT gid AS j, y FROM y WHERE y IS NOT NULL) USING (j) GROUP BY u.i),
+ z(k, i, z) AS (SELECT 0, i, b / d FROM b JOIN d USING (i) UNION ALL SELECT k + 1, b.i, (b.b + coalesce(s, 0)) / d.d FROM b JOIN d USING (i) JOIN (SELECT k, w.i, sum(w.w * z.z) AS s FROM z JOIN w ON w.j = z.i JOIN u ON u.i = w.i WHERE k < 200 GROUP BY ALL) t ON t.i = b.i)"""
 Query = Callable[[SparkSession, str], DataFrame]
 _T = "WITH " + USER_GRAPHS_SQL
 _BOTH = ", s AS (SELECT gid, src, dst, w FROM edges UNION ALL SELECT gid, dst, src, w FROM edges)"
@@ -354,20 +453,32 @@ REGISTRY: dict[str, tuple[Query, str | None]] = {
     "mk_dotproduct": (mk_dotproduct, f"{_VECTORS_SQL} SELECT vec_id, round({DotProduct().sql('x', 'y')}, 6) AS k FROM v"),
     "mk_convolution": (mk_convolution, f"{_VECTORS_SQL} SELECT vec_id, round({_CONV.sql('x', 'y')}, 6) AS k FROM v"),
     "label_mask_normalize": (label_mask_normalize, "WITH y AS (SELECT doc_id AS gid, CAST(n_chars AS DOUBLE) AS y FROM documents JOIN labels USING (doc_id) WHERE quality IS NOT NULL), m AS (SELECT avg(y) AS m, stddev_pop(y) AS s FROM y) SELECT gid, round((y - m) / s, 6) + 0.0 AS y FROM y, m"),
-    "gfr_predict": (gfr_predict, f"""WITH RECURSIVE {_PROFILE_SQL}, w AS (SELECT i, j, w + 1e-3 AS w FROM wt), u AS (SELECT gid AS i FROM y WHERE y IS NULL),
- d AS (SELECT i, sum(w) AS d FROM w JOIN u USING (i) GROUP BY i), b AS (SELECT u.i, coalesce(sum(w * y), 0) AS b FROM u LEFT JOIN w USING (i) LEFT JOIN (SELECT gid AS j, y FROM y WHERE y IS NOT NULL) USING (j) GROUP BY u.i),
- z(k, i, z) AS (SELECT 0, i, b / d FROM b JOIN d USING (i) UNION ALL SELECT k + 1, b.i, (b.b + coalesce(s, 0)) / d.d FROM b JOIN d USING (i) JOIN (SELECT k, w.i, sum(w.w * z.z) AS s FROM z JOIN w ON w.j = z.i JOIN u ON u.i = w.i WHERE k < 200 GROUP BY ALL) t ON t.i = b.i)
- SELECT i AS gid, round(z, 5) AS y FROM z WHERE k = 200"""),
+    "gfr_predict": (gfr_predict, _GFR_SQL + " SELECT i AS gid, round(z, 5) AS y FROM z WHERE k = 200"),
+    "label_entropy": (label_entropy, _GFR_SQL + " SELECT round(avg(-p * ln(p) - (1 - p) * ln(1 - p)), 4) AS entropy FROM (SELECT least(greatest(z, 1e-7), 1 - 1e-7) AS p FROM z WHERE k = 200)"),
     "gfr_loocv_error": (gfr_loocv_error, f"WITH {_PROFILE_SQL}, k AS (SELECT * FROM y WHERE y IS NOT NULL), m AS (SELECT a.gid, a.y, sum(w * b.y) / sum(w) AS m FROM wt JOIN k a ON a.gid = i JOIN k b ON b.gid = j GROUP BY a.gid, a.y) SELECT round(sqrt(avg((y - m) * (y - m))), 6) AS error FROM m"),
     "rbf_weight": (rbf_weight, f"WITH {_PROFILE_SQL} SELECT i AS g1, j AS g2, round(exp(-(1 - w) * (1 - w) / 0.5), 6) AS k FROM wt"),
     "ngram_counts": (ngram_counts, f"WITH {_GRAM_SQL} SELECT context, symbol, cnt FROM grams"),
     "ngram_frequency": (ngram_frequency, f"WITH {_GRAM_SQL} SELECT context, symbol, cnt, round(cnt / sum(cnt) OVER (PARTITION BY context), 6) AS freq FROM grams"),
     "context_match": (context_match, f"WITH {_GRAM_SQL}, t AS (SELECT id, k, substr(s, length(s) - k + 1, k) AS context FROM (SELECT id, s, unnest(range(0, least(2, length(s)) + 1)) AS k FROM seq)) SELECT id, max_by(context, k) AS context FROM t WHERE context IN (SELECT context FROM grams) GROUP BY id"),
+    "user_transitions": (user_transitions, "WITH e AS (SELECT user_id AS gid, event_type AS a, lead(event_type) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS b FROM events) SELECT gid, a, b, count(*) AS w FROM e WHERE b IS NOT NULL GROUP BY ALL"),
+    "flag_graph": (flag_graph, f"""WITH {_LINES_SQL}, n AS (SELECT gid, key, CAST(dense_rank() OVER (PARTITION BY gid ORDER BY key) - 1 AS INTEGER) AS nid FROM (SELECT l_orderkey AS gid, x_l_returnflag AS key FROM pair UNION SELECT l_orderkey, y_l_returnflag FROM pair))
+ SELECT p.l_orderkey AS gid, least(a.nid, b.nid) AS src, greatest(a.nid, b.nid) AS dst, sum(CAST(l_quantity AS DOUBLE)) AS w, count(*) AS n FROM pair p JOIN n a ON a.gid = l_orderkey AND a.key = x_l_returnflag JOIN n b ON b.gid = l_orderkey AND b.key = y_l_returnflag GROUP BY 1, 2, 3"""),
+    "radius_graph": (radius_graph, """WITH p AS (SELECT label AS gid, vec_id AS nid, CAST(embedding[1] AS DOUBLE) AS x, CAST(embedding[2] AS DOUBLE) AS y, CAST(embedding[3] AS DOUBLE) AS z FROM embeddings),
+ e AS (SELECT a.gid, a.nid AS src, b.nid AS dst, sqrt(pow(a.x - b.x, 2) + pow(a.y - b.y, 2) + pow(a.z - b.z, 2)) AS l FROM p a JOIN p b ON a.gid = b.gid AND a.nid < b.nid)
+ SELECT gid, src, dst, round(1 - l / 0.15, 5) AS w, round(l, 5) AS length FROM e WHERE l < 0.15"""),
+    "place_tree": (place_tree, "SELECT 'r' || r_regionkey AS id, 0 AS level, 'r' || r_regionkey AS path FROM region UNION ALL SELECT 'n' || n_nationkey, 1, 'r' || n_regionkey || '/n' || n_nationkey FROM nation"),
     "reordered_rcm": (reordered, None),
     "reordered_tiles": (reordered_tiles, None),
     "gpr_predict": (gpr_predict, None),
     "nystrom_predict": (nystrom_predict, None),
     "hierarchical_select": (hierarchical_select, None),
+    "determinant_select": (determinant_select, None),
+    "nystrom_fit": (nystrom_fit, None),
+    "gfr_fit_predict": (gfr_fit_predict, None),
+    "outlier_sources": (outlier_sources, None),
+    "graph_kernel_gradient": (graph_kernel_gradient, None),
+    "maximin_gradient": (maximin_gradient, None),
+    "sequence_rewrites": (sequence_rewrites, None),
 }
 
 QUERIES: dict[str, Query] = {k: q for k, (q, _) in REGISTRY.items()}

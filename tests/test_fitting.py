@@ -174,3 +174,17 @@ def test_low_rank_algebra():
     d = np.linspace(0.5, 2, 9)
     assert np.allclose(linalg.shifted_pinvh(low, d), np.linalg.inv(a + np.diag(d)))
     assert np.allclose(linalg.shifted_pinvh(low, np.zeros(9)), np.linalg.pinv(a), atol=1e-8)
+
+
+def test_reorder_and_rewrites_of_derived_tables(spark):
+    from kindred.operators import graph_ops, sequences
+
+    base = spark.createDataFrame([(1, 0, 3), (1, 3, 1), (1, 1, 2), (2, 0, 1)], "gid long, src int, dst int")
+    nodes = base.select("gid", F.explode(F.array("src", "dst")).alias("nid")).distinct()
+    for how in ("rcm", "pbr"):
+        got = graph_ops.reorder(nodes, base, how).collect()
+        assert sorted((r.gid, r.pos) for r in got) == sorted((r.gid, r.nid) for r in got) == [(1, 0), (1, 1), (1, 2), (1, 3), (2, 0), (2, 1)]
+    seqs = spark.createDataFrame([(1, "ABAB"), (2, ""), (3, None)], "id int, s string")
+    make = lambda: sorted(map(tuple, sequences.rewrites(sequences.SequenceRewriter(sequences.ngrams(seqs, 1)), seqs).collect()))
+    got = make()
+    assert got == make() and {i for i, _ in got} >= {1} and all(s and s != "ABAB" and set(s) <= set("AB") for _, s in got)
