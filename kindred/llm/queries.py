@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -117,6 +118,19 @@ QUERIES: dict[str, Query] = {
     "pipeline": pipeline,
 }
 
+
+def _op5_sql() -> str:
+    """A ``?`` of a glob is a character here and a byte in the automaton: the same for these globs, which only ask for one at least."""
+    fits = [f"((host = '{r.host}' OR ends_with(host, '.{r.host}')) AND starts_with(path, '{r.path}'))" for r in URL_RULES]
+    rules = ", ".join(f"CASE WHEN {f} THEN {{'size': {len(r.name)}, 'rule': '{r.name}', 'verdict': '{r.verdict}'}} END" for f, r in zip(fits, URL_RULES, strict=True))
+    globs = " OR ".join("regexp_full_match(host || path, '(?s)" + "".join({"*": ".*", "?": "."}.get(c, re.escape(c)) for c in g) + "')" for g in URL_GLOBS)
+    return f"""
+WITH t AS (SELECT page_id, CASE WHEN instr(url, '://') > 0 THEN substr(url, instr(url, '://') + 3) ELSE '' END AS tail FROM pages),
+u AS (SELECT page_id, translate(regexp_extract(tail, '^[^/?#]*'), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host, regexp_extract(tail, '^[^/?#]*([^?#]*)', 1) AS path FROM t),
+m AS (SELECT *, list_max(list_filter([{rules}], lambda x: x IS NOT NULL)) AS best FROM u)
+SELECT page_id, host, path, best.rule AS rule, CASE WHEN best IS NOT NULL THEN best.verdict WHEN {globs} THEN 'block' ELSE 'allow' END AS verdict FROM m"""
+
+
 _OP9_SQL = r"""
 WITH RECURSIVE words AS (
   SELECT doc_id, coalesce(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+'), []) AS w FROM documents),
@@ -133,4 +147,4 @@ FROM (SELECT DISTINCT doc_id FROM documents) d JOIN reach ON reach.x = d.doc_id
   LEFT JOIN (SELECT x, count(*) AS l FROM edge GROUP BY x) own ON own.x = d.doc_id GROUP BY d.doc_id"""
 
 #: DuckDB SQL for those of the queries that SQL can express.
-ORACLES: dict[str, str] = {"op6_license_scan": _op6_sql(), "op9_ngram_jaccard_join": _OP9_SQL}
+ORACLES: dict[str, str] = {"op5_url_filter": _op5_sql(), "op6_license_scan": _op6_sql(), "op9_ngram_jaccard_join": _OP9_SQL}
