@@ -13,7 +13,9 @@ where none is left.
 
 A document's evidence is the mean over its words of log p_toxic - log p_ordinary (length-normalised). How much of each
 language and subject the two classes hold moves all words of a document alike, so ratios are taken against the document's
-own median, and those within MARGIN of it are ordinary variation and count 0. To this evidence a two-parameter logistic curve, fitted to a part of the labelled rows that the counts leave out, gives a probability.
+own level: the median of its calm words, drawn towards 0 where these are few. Calm are the ratios that CALM of the word
+occurrences in ordinary training rows do not exceed, so a document's toxic words cannot set its level, and a short or
+wholly toxic one has the level 0. What is within MARGIN of the level is ordinary variation and counts 0. To this evidence a two-parameter logistic curve, fitted to a part of the labelled rows that the counts leave out, gives a probability.
 
 Counts cover all labelled training rows and are summed by Spark; every distinct expression is a row of that shuffle.
 What scoring needs is folded into ``slots`` hashed cells (4 bytes each), which is the proven bound of the broadcast.
@@ -41,6 +43,8 @@ _BINS, _SPAN = 1000, 0.25  #: of the evidence, which is clipped to +-_SPAN befor
 #: An expression speaks for itself from so many toxic occurrences, or so many expected among its pooled ones.
 LEAST_TOXIC, LEAST_EXPECTED = 5, 4.0
 MARGIN = 1.0
+#: Share of ordinary rows' occurrences whose ratios are calm, and how many calm words weigh as much as the level 0.
+CALM, LEVEL_WORDS = 0.99, 8
 
 
 #: Bytes of a word's beginnings that are expressions of their own, longest first; no word counts beyond the first.
@@ -109,8 +113,17 @@ def _batch(x: tuple[np.ndarray, ...]) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(x[0].view(np.int64)), pa.array(x[1]), pa.array(x[2]), pa.array(x[3].view(np.int64))], names=["h", "n0", "n1", "near"])
 
 
-def log_ratios(counts: DataFrame, slots: int) -> np.ndarray:
-    """log p_toxic - log p_ordinary per hashed cell; NaN where no expression tells the classes apart."""
+def calm_limit(llr: np.ndarray, n0: np.ndarray) -> float:
+    """The ratio that CALM of the ordinary occurrences do not exceed; 0 at least, since less speaks against toxicity."""
+    by = np.argsort(llr, kind="stable")
+    upto = np.cumsum(n0[by])
+    if not len(upto) or not upto[-1]:
+        return 0.0
+    return max(0.0, float(llr[by][np.searchsorted(upto, CALM * upto[-1])]))
+
+
+def log_ratios(counts: DataFrame, slots: int) -> tuple[np.ndarray, float]:
+    """log p_toxic - log p_ordinary per hashed cell, NaN where no expression tells the classes apart; and the calm limit."""
     types = counts.groupBy("h").agg(F.sum("n0").alias("n0"), F.sum("n1").alias("n1"), F.bit_or("near").alias("near"))
     # linear counting: of 63 cells, those left empty tell how many different neighbours there were
     empty = F.greatest(F.lit(63) - F.bit_count("near"), F.lit(0.5))
@@ -120,7 +133,7 @@ def log_ratios(counts: DataFrame, slots: int) -> np.ndarray:
     llr = np.full(slots, np.nan, np.float32)
     if not t.N0 or not t.N1:
         C.unstash(types)
-        return llr
+        return llr, 0.0
     discount = [t.a0 / (t.a0 + 2 * t.b0) if t.a0 else 0.5, t.a1 / (t.a1 + 2 * t.b1) if t.a1 else 0.5]
     rest = [discount[0] * t.t0 / t.N0, discount[1] * t.t1 / t.N1]
     rest = [max(x, 1e-6) for x in rest]
@@ -129,15 +142,15 @@ def log_ratios(counts: DataFrame, slots: int) -> np.ndarray:
     cells = telling.groupBy(F.pmod("h", F.lit(slots)).cast("int").alias("cell")).agg(F.sum("n0").alias("n0"), F.sum("n1").alias("n1"), F.sum("cont").alias("cont"))
     shared = F.col("cont") / F.lit(float(t.cont) + 1)
     p = [F.greatest(F.col(f"n{c}") - discount[c], F.lit(0.0)) / F.lit(float([t.N0, t.N1][c])) + rest[c] * shared for c in (0, 1)]
-    table = cells.select("cell", F.log(p[1] / p[0]).cast("float").alias("llr")).toPandas()
+    table = cells.select("cell", "n0", F.log(p[1] / p[0]).cast("float").alias("llr")).toPandas()
     llr[table["cell"].to_numpy()] = table["llr"].to_numpy()
     C.unstash(types)
-    return llr
+    return llr, calm_limit(table["llr"].to_numpy(), table["n0"].to_numpy())
 
 
 def _evidence(model):
     def per_row(d: np.ndarray, o: np.ndarray) -> np.ndarray:
-        llr = model.value
+        llr, limit = model.value
         h, row = expressions(d, o)
         found = np.full(len(row), np.nan, np.float32)
         for k in range(len(STEMS)):  # back off from the longest stem to the first that tells
@@ -146,12 +159,13 @@ def _evidence(model):
         size = len(o) - 1
         tells = np.flatnonzero(~np.isnan(found))
         v, r = found[tells].astype(np.float64), row[tells]
-        by = np.lexsort((v, r))
-        v, r = v[by], r[by]
-        count = np.bincount(r, minlength=size)
-        middle = np.minimum(np.cumsum(count) - count + count // 2, max(0, len(v) - 1))
-        base = np.where(count > 0, v[middle], 0.0) if len(v) else np.zeros(size)
-        v = v - base[r]
+        calm = v <= limit
+        calm_v, calm_r = v[calm], r[calm]
+        calm_v = calm_v[np.lexsort((calm_v, calm_r))]
+        count = np.bincount(calm_r, minlength=size)
+        middle = np.minimum(np.cumsum(count) - count + count // 2, max(0, len(calm_v) - 1))
+        level = np.where(count > 0, calm_v[middle], 0.0) * count / (count + LEVEL_WORDS) if len(calm_v) else np.zeros(size)
+        v = v - level[r]
         v[np.abs(v) < MARGIN] = 0
         return np.bincount(r, v, minlength=size) / np.maximum(np.bincount(row, minlength=size), 1)
 
@@ -212,8 +226,8 @@ def score_toxicity(
     src = docs.select(F.col(f"`{doc_id}`").cast("long").alias("_id"), C.fold5(doc_id).alias("_fold"), C.text_col(text).alias("_text"))
     train = src.join(marked.hint("merge"), "_id").select("_text", "_toxic", "_fold")
     counts = train.where(F.col("_fold").isin(*count_folds)).select("_text", "_toxic").mapInArrow(_counts, "h long, n0 long, n1 long, near long")
-    llr = log_ratios(counts, slots)
-    model = sc.broadcast(llr)
+    llr, limit = log_ratios(counts, slots)
+    model = sc.broadcast((llr, limit))
     seen = train.where(F.col("_fold").isin(*curve_folds)).select("_text", "_toxic").mapInArrow(_binned(model), "cell int, _toxic int").groupBy("cell", "_toxic").count().collect()
     zeros, ones = np.zeros(_BINS), np.zeros(_BINS)
     for s in seen:

@@ -70,6 +70,22 @@ def test_toxicity_finds_inflected_words(spark):
     assert toxicity.score_toxicity(docs.limit(0), marks).count() == 0
 
 
+def test_toxicity_of_short_and_wholly_toxic_texts(spark):
+    r = random.Random(6)
+    rows, labels = [], []
+    for i in range(400):
+        words, toxic = prose(r, r.choice(["en", "de"]), r.randint(20, 100)).split(), int(r.random() < 0.3)
+        for _ in range(max(2, len(words) // 10) if toxic else 0):
+            words.insert(r.randrange(len(words)), r.choice(["moron", "scumbag", "trash"]))
+        rows.append((i, " ".join(words)))
+        labels.append((i, toxic))
+    toxic = ["moron", "Trash, moron scumbag!", "the moron and the trash", "moron scumbag trash " * 40]
+    rows += [(1000 + i, t) for i, t in enumerate(toxic)]
+    docs, marks = spark.createDataFrame(rows, "doc_id long, text string"), spark.createDataFrame(labels, "doc_id long, toxic int")
+    got = {g.doc_id: g for g in toxicity.score_toxicity(docs, marks).where("doc_id >= 1000").collect()}
+    assert all(g.evidence > 0.2 and g.predicted == 1 for g in got.values()), got
+
+
 def tokenizer():
     files = pytest.importorskip("public_tokenizers")
     return packing.byte_bpe(str(files.path("byte_bpe_50k.json")), str(files.path("byte_bpe_50k.tiktoken")), files.PATTERN), files
