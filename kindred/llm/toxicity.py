@@ -17,7 +17,8 @@ own level: the median of its calm words, drawn towards 0 where these are few. Ca
 occurrences in ordinary training rows do not exceed, so a document's toxic words cannot set its level, and a short or
 wholly toxic one has the level 0. What is within MARGIN of the level is ordinary variation and counts 0. To this evidence a two-parameter logistic curve, fitted to a part of the labelled rows that the counts leave out, gives a probability.
 
-Counts cover all labelled training rows and are summed by Spark; every distinct expression is a row of that shuffle.
+Counts cover all labelled training rows and are summed by Spark; every distinct pair of an expression and its left
+neighbour is a row of that shuffle, so continuation counts are exact and have no ceiling.
 What scoring needs is folded into ``slots`` hashed cells (4 bytes each), which is the proven bound of the broadcast.
 
 Null or empty text, and text without words, score the curve's value for no evidence. Rows without a label are scored
@@ -76,7 +77,7 @@ def expressions(data: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.ndar
 
 
 def _counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Per task: hash, counts in ordinary and toxic rows, and a bit per hashed left neighbour."""
+    """Per task and pair of expression and left neighbour (0 at a row's start): counts in ordinary and toxic rows."""
     held, size = [], 0
     for b in batches:
         data, offs = C.flat(b.column("_text"))
@@ -90,7 +91,7 @@ def _counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             on = h != 0
             width = on.sum(1)
             t = np.repeat(toxic[i + row], width).astype(np.int64)
-            held.append(_merged(h[on], 1 - t, t, np.repeat(_U(1) << (left % _U(63)), width)))
+            held.append(_merged(h[on], np.repeat(left, width), 1 - t, t))
             size += len(held[-1][0])
         if size > 1_500_000:
             held = [_merged(*(np.concatenate(x) for x in zip(*held, strict=True)))]
@@ -102,15 +103,24 @@ def _counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield _batch(_merged(*(np.concatenate(x) for x in zip(*held, strict=True))))
 
 
-def _merged(h, n0, n1, near) -> tuple[np.ndarray, ...]:
-    by = np.argsort(h, kind="stable")
-    h = h[by]
-    at = np.flatnonzero(np.r_[True, h[1:] != h[:-1]])
-    return h[at], np.add.reduceat(n0[by], at), np.add.reduceat(n1[by], at), np.bitwise_or.reduceat(near[by], at)
+def _merged(h, left, n0, n1) -> tuple[np.ndarray, ...]:
+    by = np.lexsort((left, h))
+    h, left = h[by], left[by]
+    at = np.flatnonzero(np.r_[True, (h[1:] != h[:-1]) | (left[1:] != left[:-1])])
+    return h[at], left[at], np.add.reduceat(n0[by], at), np.add.reduceat(n1[by], at)
 
 
 def _batch(x: tuple[np.ndarray, ...]) -> pa.RecordBatch:
-    return pa.RecordBatch.from_arrays([pa.array(x[0].view(np.int64)), pa.array(x[1]), pa.array(x[2]), pa.array(x[3].view(np.int64))], names=["h", "n0", "n1", "near"])
+    return pa.RecordBatch.from_arrays([pa.array(x[0].view(np.int64)), pa.array(x[1].view(np.int64)), pa.array(x[2]), pa.array(x[3])], names=["h", "near", "n0", "n1"])
+
+
+def continuations(counts: DataFrame) -> DataFrame:
+    """Per expression its counts and cont, the exact number of its different left neighbours; a row's start is one of them.
+
+    Rows are dealt by expression once, which serves both sums.
+    """
+    pairs = counts.repartition("h").groupBy("h", "near").agg(F.sum("n0").alias("n0"), F.sum("n1").alias("n1"))
+    return pairs.groupBy("h").agg(F.sum("n0").alias("n0"), F.sum("n1").alias("n1"), F.count("*").alias("cont"))
 
 
 def calm_limit(llr: np.ndarray, n0: np.ndarray) -> float:
@@ -124,10 +134,7 @@ def calm_limit(llr: np.ndarray, n0: np.ndarray) -> float:
 
 def log_ratios(counts: DataFrame, slots: int) -> tuple[np.ndarray, float]:
     """log p_toxic - log p_ordinary per hashed cell, NaN where no expression tells the classes apart; and the calm limit."""
-    types = counts.groupBy("h").agg(F.sum("n0").alias("n0"), F.sum("n1").alias("n1"), F.bit_or("near").alias("near"))
-    # linear counting: of 63 cells, those left empty tell how many different neighbours there were
-    empty = F.greatest(F.lit(63) - F.bit_count("near"), F.lit(0.5))
-    types = C.stash(types.withColumn("cont", F.greatest(F.lit(1.0), -63 * F.log(empty / 63))))
+    types = C.stash(continuations(counts))
     one = lambda c, k: F.sum((F.col(c) == k).cast("long"))
     t = types.agg(F.sum("n0").alias("N0"), F.sum("n1").alias("N1"), F.sum("cont").alias("cont"), F.count("*").alias("types"), one("n0", 1).alias("a0"), one("n0", 2).alias("b0"), one("n1", 1).alias("a1"), one("n1", 2).alias("b1"), F.sum((F.col("n0") > 0).cast("long")).alias("t0"), F.sum((F.col("n1") > 0).cast("long")).alias("t1")).first()
     llr = np.full(slots, np.nan, np.float32)
@@ -225,7 +232,7 @@ def score_toxicity(
     marked = labels.groupBy(F.col(f"`{doc_id}`").cast("long").alias("_id")).agg(F.max(F.col(f"`{label}`").cast("int")).alias("_toxic")).where("_toxic IN (0, 1)")
     src = docs.select(F.col(f"`{doc_id}`").cast("long").alias("_id"), C.fold5(doc_id).alias("_fold"), C.text_col(text).alias("_text"))
     train = src.join(marked.hint("merge"), "_id").select("_text", "_toxic", "_fold")
-    counts = train.where(F.col("_fold").isin(*count_folds)).select("_text", "_toxic").mapInArrow(_counts, "h long, n0 long, n1 long, near long")
+    counts = train.where(F.col("_fold").isin(*count_folds)).select("_text", "_toxic").mapInArrow(_counts, "h long, near long, n0 long, n1 long")
     llr, limit = log_ratios(counts, slots)
     model = sc.broadcast((llr, limit))
     seen = train.where(F.col("_fold").isin(*curve_folds)).select("_text", "_toxic").mapInArrow(_binned(model), "cell int, _toxic int").groupBy("cell", "_toxic").count().collect()

@@ -6,6 +6,7 @@ import zlib
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from kindred.llm import language, licenses, packing, quality, toxicity
 from kindred.llm.common import fold5
@@ -86,6 +87,16 @@ def test_toxicity_of_short_and_wholly_toxic_texts(spark):
     assert all(g.evidence > 0.2 and g.predicted == 1 for g in got.values()), got
 
 
+def test_toxicity_continuation_counts_are_exact(spark):
+    # 2,000 different left neighbours over several tasks, each twice, and a row's start
+    rows = [(f"l{i} moron l{i} moron moron", i % 2) for i in range(2000)] + [("moron", 1)]
+    df = spark.createDataFrame(rows, "_text string, _toxic int").repartition(4)
+    counts = df.mapInArrow(toxicity._counts, "h long, near long, n0 long, n1 long")
+    h, _ = toxicity.expressions(np.frombuffer(b"moron", np.uint8), np.array([0, 5]))
+    got = toxicity.continuations(counts).where(F.col("h") == int(h[0, 0].view(np.int64))).collect()
+    assert [(g.cont, g.n0, g.n1) for g in got] == [(2002, 3000, 3001)]
+
+
 def tokenizer():
     files = pytest.importorskip("public_tokenizers")
     return packing.byte_bpe(str(files.path("byte_bpe_50k.json")), str(files.path("byte_bpe_50k.tiktoken")), files.PATTERN), files
