@@ -19,7 +19,8 @@ wholly toxic one has the level 0. What is within MARGIN of the level is ordinary
 
 Counts cover all labelled training rows and are summed by Spark; every distinct pair of an expression and its left
 neighbour is a row of that shuffle, so continuation counts are exact and have no ceiling.
-What scoring needs is folded into ``slots`` hashed cells (4 bytes each), which is the proven bound of the broadcast.
+Scoring looks words up by their whole 64-bit hash in the sorted telling expressions, 12 bytes each, which are broadcast;
+their number grows with the labelled rows' vocabulary, and a word never counted finds nothing.
 
 Null or empty text, and text without words, score the curve's value for no evidence. Rows without a label are scored
 but not learnt from; a document with several labels counts with the largest. Without labels of both classes all score 0.
@@ -132,37 +133,38 @@ def calm_limit(llr: np.ndarray, n0: np.ndarray) -> float:
     return max(0.0, float(llr[by][np.searchsorted(upto, CALM * upto[-1])]))
 
 
-def log_ratios(counts: DataFrame, slots: int) -> tuple[np.ndarray, float]:
-    """log p_toxic - log p_ordinary per hashed cell, NaN where no expression tells the classes apart; and the calm limit."""
+def log_ratios(counts: DataFrame) -> tuple[np.ndarray, np.ndarray, float]:
+    """The hashes of the expressions that tell the classes apart, ascending, their log p_toxic - log p_ordinary, and the calm limit."""
     types = C.stash(continuations(counts))
     one = lambda c, k: F.sum((F.col(c) == k).cast("long"))
     t = types.agg(F.sum("n0").alias("N0"), F.sum("n1").alias("N1"), F.sum("cont").alias("cont"), F.count("*").alias("types"), one("n0", 1).alias("a0"), one("n0", 2).alias("b0"), one("n1", 1).alias("a1"), one("n1", 2).alias("b1"), F.sum((F.col("n0") > 0).cast("long")).alias("t0"), F.sum((F.col("n1") > 0).cast("long")).alias("t1")).first()
-    llr = np.full(slots, np.nan, np.float32)
     if not t.N0 or not t.N1:
         C.unstash(types)
-        return llr, 0.0
+        return np.zeros(0, np.int64), np.zeros(0, np.float32), 0.0
     discount = [t.a0 / (t.a0 + 2 * t.b0) if t.a0 else 0.5, t.a1 / (t.a1 + 2 * t.b1) if t.a1 else 0.5]
     rest = [discount[0] * t.t0 / t.N0, discount[1] * t.t1 / t.N1]
     rest = [max(x, 1e-6) for x in rest]
     pooled = F.col("n0") + F.col("n1")
     telling = types.where((F.col("n1") >= LEAST_TOXIC) | (pooled * (t.N1 / (t.N0 + t.N1)) >= LEAST_EXPECTED))
-    cells = telling.groupBy(F.pmod("h", F.lit(slots)).cast("int").alias("cell")).agg(F.sum("n0").alias("n0"), F.sum("n1").alias("n1"), F.sum("cont").alias("cont"))
     shared = F.col("cont") / F.lit(float(t.cont) + 1)
     p = [F.greatest(F.col(f"n{c}") - discount[c], F.lit(0.0)) / F.lit(float([t.N0, t.N1][c])) + rest[c] * shared for c in (0, 1)]
-    table = cells.select("cell", "n0", F.log(p[1] / p[0]).cast("float").alias("llr")).toPandas()
-    llr[table["cell"].to_numpy()] = table["llr"].to_numpy()
+    table = telling.select("h", "n0", F.log(p[1] / p[0]).cast("float").alias("llr")).orderBy("h").toPandas()
     C.unstash(types)
-    return llr, calm_limit(table["llr"].to_numpy(), table["n0"].to_numpy())
+    keys, llr = table["h"].to_numpy(np.int64), table["llr"].to_numpy(np.float32)
+    return keys, llr, calm_limit(llr, table["n0"].to_numpy())
 
 
 def _evidence(model):
     def per_row(d: np.ndarray, o: np.ndarray) -> np.ndarray:
-        llr, limit = model.value
+        keys, llr, limit = model.value
         h, row = expressions(d, o)
         found = np.full(len(row), np.nan, np.float32)
-        for k in range(len(STEMS)):  # back off from the longest stem to the first that tells
-            x = llr[h[:, k].view(np.int64) % np.int64(len(llr))]
-            found = np.where(np.isnan(found) & (h[:, k] != 0), x, found)
+        for k in range(h.shape[1] if len(keys) else 0):  # back off from the longest expression to the first that tells
+            open_ = np.flatnonzero(np.isnan(found) & (h[:, k] != 0))
+            own = h[open_, k].view(np.int64)
+            at = np.minimum(np.searchsorted(keys, own), len(keys) - 1)
+            hit = keys[at] == own
+            found[open_[hit]] = llr[at[hit]]
         size = len(o) - 1
         tells = np.flatnonzero(~np.isnan(found))
         v, r = found[tells].astype(np.float64), row[tells]
@@ -225,7 +227,7 @@ def _scored(model, curve, schema: pa.Schema, outs):
 
 
 def score_toxicity(
-    docs: DataFrame, labels: DataFrame, *, doc_id: str = "doc_id", text: str = "text", label: str = "toxic", count_folds: tuple[int, ...] = (1, 2, 3), curve_folds: tuple[int, ...] = (4,), slots: int = 1 << 21, outs: tuple[str, str, str] = ("score", "predicted", "evidence")
+    docs: DataFrame, labels: DataFrame, *, doc_id: str = "doc_id", text: str = "text", label: str = "toxic", count_folds: tuple[int, ...] = (1, 2, 3), curve_folds: tuple[int, ...] = (4,), outs: tuple[str, str, str] = ("score", "predicted", "evidence")
 ) -> DataFrame:
     """``docs`` with a toxicity score, its decision at 0.5 and the mean log ratio. Folds are crc32(id) mod 5."""
     sc = docs.sparkSession.sparkContext
@@ -233,14 +235,14 @@ def score_toxicity(
     src = docs.select(F.col(f"`{doc_id}`").cast("long").alias("_id"), C.fold5(doc_id).alias("_fold"), C.text_col(text).alias("_text"))
     train = src.join(marked.hint("merge"), "_id").select("_text", "_toxic", "_fold")
     counts = train.where(F.col("_fold").isin(*count_folds)).select("_text", "_toxic").mapInArrow(_counts, "h long, near long, n0 long, n1 long")
-    llr, limit = log_ratios(counts, slots)
-    model = sc.broadcast((llr, limit))
+    keys, llr, limit = log_ratios(counts)
+    model = sc.broadcast((keys, llr, limit))
     seen = train.where(F.col("_fold").isin(*curve_folds)).select("_text", "_toxic").mapInArrow(_binned(model), "cell int, _toxic int").groupBy("cell", "_toxic").count().collect()
     zeros, ones = np.zeros(_BINS), np.zeros(_BINS)
     for s in seen:
         (ones if s["_toxic"] else zeros)[s["cell"]] += s["count"]
     x = (np.arange(_BINS) + 0.5) * (2 * _SPAN / _BINS) - _SPAN
-    curve = fit_curve(x, zeros, ones) if not np.isnan(llr).all() and zeros.sum() and ones.sum() else None
+    curve = fit_curve(x, zeros, ones) if len(keys) and zeros.sum() and ones.sum() else None
     base = C.without(docs, [*outs, "_text"])
     schema, arrow = C.widened(base, f"`{outs[0]}` double, `{outs[1]}` int, `{outs[2]}` double")
     return base.select("*", C.text_col(text).alias("_text")).mapInArrow(_scored(model, curve, arrow, outs), schema)

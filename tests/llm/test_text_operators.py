@@ -97,6 +97,24 @@ def test_toxicity_continuation_counts_are_exact(spark):
     assert [(g.cont, g.n0, g.n1) for g in got] == [(2002, 3000, 3001)]
 
 
+def test_toxicity_keeps_words_apart_that_share_a_cell(spark):
+    # two words whose hashes agree modulo 2**21: only one is ever counted
+    words = [f"x{i:03x}" for i in range(4096)]
+    text = " ".join(words).encode()
+    h, _ = toxicity.expressions(np.frombuffer(text, np.uint8), np.array([0, len(text)]))
+    seen, pair = {}, None
+    for w, c in zip(words, (h[:, 0].view(np.int64) % np.int64(1 << 21)).tolist(), strict=True):
+        if c in seen and pair is None:
+            pair = (seen[c], w)
+        seen[c] = w
+    r = random.Random(7)
+    rows = [(i, prose(r, "en", 30) + (f" {pair[0]}" * 3 if i % 3 == 0 else "")) for i in range(300)]
+    docs = spark.createDataFrame([*rows, (1000, pair[0]), (1001, pair[1])], "doc_id long, text string")
+    marks = spark.createDataFrame([(i, int(i % 3 == 0)) for i in range(300)], "doc_id long, toxic int")
+    got = {g.doc_id: g.evidence for g in toxicity.score_toxicity(docs, marks).where("doc_id >= 1000").collect()}
+    assert got[1000] > 0.2 and got[1001] == 0
+
+
 def tokenizer():
     files = pytest.importorskip("public_tokenizers")
     return packing.byte_bpe(str(files.path("byte_bpe_50k.json")), str(files.path("byte_bpe_50k.tiktoken")), files.PATTERN), files
