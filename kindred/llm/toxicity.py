@@ -1,7 +1,8 @@
 """Toxicity by class-conditional Kneser-Ney models.
 
 Each class (toxic, ordinary) has a model of expressions: words without case and outer punctuation, and their stems (the
-first 8, 6, 5 and 4 bytes). A model has its class's counts, discounted, plus a backoff that both classes share. The
+first 8, 6, 5 and 4 characters). Where a script has no spaces between words, every character begins a word of its own
+that is up to three characters long, with stems of two and one. A model has its class's counts, discounted, plus a backoff that both classes share. The
 backoff is Kneser-Ney's continuation count, the number of different left neighbours an expression has been seen with, so
 a rare expression that one class happened to show once is worth no more than how freely it combines elsewhere.
 
@@ -49,14 +50,27 @@ MARGIN = 1.0
 CALM, LEVEL_WORDS = 0.99, 8
 
 
-#: Bytes of a word's beginnings that are expressions of their own, longest first; no word counts beyond the first.
+#: Characters of a word's beginnings that are expressions of their own after the whole word, longest first.
 STEMS = (8, 6, 5, 4)
+#: The same for scripts without spaces, whose words are overlapping runs of GRAM characters.
+GRAM, GRAM_STEMS = 3, (2, 1)
+
+
+def _spaceless(low: np.ndarray, first: np.ndarray) -> np.ndarray:
+    """Which characters, given by their first bytes, are Thai, Lao, Burmese, Khmer, kana or Han."""
+    a = low[first].astype(np.int32)
+    b = low[np.minimum(first + 1, len(low) - 1)].astype(np.int32)
+    south = ((a == 0xE0) & (b >= 0xB8) & (b <= 0xBB)) | ((a == 0xE1) & ((b == 0x80) | (b == 0x81) | (b == 0x82) | (b == 0x9E) | (b == 0x9F)))
+    kana = (a == 0xE3) & (b >= 0x81)  # 0xE3 0x80 is punctuation
+    han = ((a >= 0xE4) & (a <= 0xE9)) | ((a == 0xEF) & ((b == 0xA4) | (b == 0xA5) | (b == 0xA6) | (b == 0xA7) | (b == 0xA8) | (b == 0xA9) | (b == 0xAB)))
+    return south | kana | han | ((a == 0xF0) & (b >= 0xA0) & (b <= 0xB3))
 
 
 def expressions(data: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """(hashes, row) of each word, A-Z lower-cased, up to six punctuation bytes at each end left off.
 
-    A column per length of :data:`STEMS`, of the word's first bytes; 0 where that is no shorter than the one before.
+    The first column is the whole word, then one per length of :data:`STEMS`, of the word's first characters; 0 where
+    that is no shorter than the word.
     """
     low = C.LOWER[data]
     start, end, row = C.words(low, offs)
@@ -65,18 +79,52 @@ def expressions(data: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.ndar
         end = end - (_EDGE[low[end - 1]] & (start < end)) if len(end) else end
     some = start < end
     start, end, row = start[some], end[some], row[some]
-    h = np.zeros((len(start), len(STEMS)), _U)
-    if len(start):
-        sums = C.running(C.BYTE[low])
-        for k, n in enumerate(STEMS):
-            on = slice(None) if k == 0 else end - start > n
-            stop = np.minimum(end[on], start[on] + n)
-            x = C.between(sums, start[on], stop)
-            x ^= (stop - start[on]).astype(_U) * C.ODD[60]
-            h[on, k] = C.mix(x) | _U(1)
+    h = np.zeros((len(start), 1 + len(STEMS)), _U)
+    if not len(start):
+        return h, row
+    lead = (low & 0xC0) != 0x80
+    lead[start] = True
+    first = np.flatnonzero(lead)
+    gram = np.zeros(len(start), bool)
+    if (low >= 0xE0).any():
+        start, end, row, gram = _split(low, first, start, end, row)
+        h = np.zeros((len(start), 1 + len(STEMS)), _U)
+    sums = C.running(C.BYTE[low])
+    at = np.searchsorted(first, start)
+    first = np.r_[first, len(low)]
+
+    def hashed(on: np.ndarray, stop: np.ndarray) -> np.ndarray:
+        x = C.between(sums, start[on], stop)
+        x ^= (stop - start[on]).astype(_U) * C.ODD[60]
+        return C.mix(x) | _U(1)
+
+    h[:, 0] = hashed(np.arange(len(start)), end)
+    for lengths, which in ((STEMS, ~gram), (GRAM_STEMS, gram)):
+        of = np.flatnonzero(which)
+        for k, n in enumerate(lengths, 1):
+            stop = first[np.minimum(at[of] + n, len(first) - 1)]
+            less = stop < end[of]
+            h[of[less], k] = hashed(of[less], stop[less])
     return h, row
 
 
+def _split(low, first, start, end, row) -> tuple[np.ndarray, ...]:
+    """Words cut where a script has no spaces: (start, end, row, whether it is a run of GRAM characters)."""
+    own = np.searchsorted(start, first, side="right") - 1
+    first = first[(own >= 0) & (first < end[own])]
+    own = np.searchsorted(start, first, side="right") - 1
+    bare = _spaceless(low, first)
+    new = bare.copy()
+    new[1:] |= bare[:-1]
+    new |= first == start[own]
+    head = np.flatnonzero(new)
+    word, gram = own[head], bare[head]
+    upto = np.minimum(np.r_[first[head[1:]], len(low)], end[word])
+    after = np.r_[first, np.full(GRAM, len(low))][head + GRAM]
+    upto = np.where(gram, np.minimum(after, end[word]), upto)
+    return first[head], upto, row[word], gram
+
+
 def _counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Per task and pair of expression and left neighbour (0 at a row's start): counts in ordinary and toxic rows."""
     held, size = [], 0

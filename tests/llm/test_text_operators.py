@@ -115,6 +115,20 @@ def test_toxicity_keeps_words_apart_that_share_a_cell(spark):
     assert got[1000] > 0.2 and got[1001] == 0
 
 
+def test_toxicity_expressions_cover_whole_words():
+    def of(t):
+        return [[x for x in r if x] for r in toxicity.expressions(np.frombuffer(t.encode(), np.uint8), np.array([0, len(t.encode())]))[0].tolist()]
+
+    long, other = of("understatement, Underst4nd")
+    assert long[0] != other[0] and long[2:] == other[2:]  # whole words differ, stems of 6, 5 and 4 agree
+    assert [len(x) for x in of("abc abcd abcdefghi мор дурачина")] == [1, 1, 5, 1, 4]
+    assert of("дурачина")[0][2] == of("дурачок")[0][2] == of("дурач")[0][0]  # five letters, not five bytes
+    clause, word = of("今天天气很好但是他是笨蛋"), of("笨蛋")
+    assert len(clause) == 12 and word[0] in clause  # also at the end of a clause
+    assert of("笨蛋x")[0][1] == word[0][0]  # the two letters are a stem of what begins with them
+    assert [len(x) for x in of("ab今b-c 한국어말씀")] == [1, 3, 1, 2]
+
+
 def tokenizer():
     files = pytest.importorskip("public_tokenizers")
     return packing.byte_bpe(str(files.path("byte_bpe_50k.json")), str(files.path("byte_bpe_50k.tiktoken")), files.PATTERN), files
