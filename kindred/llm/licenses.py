@@ -16,6 +16,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from . import common as C
+from .license_texts import TEXTS
 
 LIMIT = 10_000
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
@@ -66,8 +67,9 @@ def scan_licenses(docs: DataFrame, known: dict[str, str], *, text: str = "text")
     return joined.select(*[F.col(f"`{c}`") for c in base.columns], "digest", "license", F.col("license").isNotNull().alias("is_license"))
 
 
-#: Short public licence texts and notices by name.
+#: Public licence texts and notices by name.
 KNOWN = {
+    **TEXTS,
     "MIT": """Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the "Software"), to deal in the Software without restriction, including without limitation the rights to use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies of the Software, and to permit persons to whom the Software is furnished to do so, subject to the following conditions:
 
 The above copyright notice and this permission notice shall be included in all copies or substantial portions of the Software.

@@ -245,3 +245,14 @@ def test_licenses(spark):
     rows = [(1, mit), (2, messy), (3, mit + " and more"), (4, None), (5, ""), (6, "released under the mit licence!"), (7, "Copyright 2020 x")]
     got = {r.doc_id: r.license for r in licenses.scan_licenses(spark.createDataFrame(rows, "doc_id long, text string"), licenses.KNOWN).collect()}
     assert got == {1: "MIT", 2: "MIT", 3: None, 4: None, 5: None, 6: "MIT notice", 7: None}
+
+
+def test_common_whole_licence_texts_are_known(spark):
+    names = ["Apache-2.0", "BSD-2-Clause", "BSD-3-Clause", "CC0-1.0", "GPL-2.0", "GPL-3.0", "LGPL-2.1", "LGPL-3.0", "MPL-2.0", "Unlicense"]
+    rows = [(n, "Copyright (c) 2020 Somebody\n\n" + licenses.KNOWN[n].upper().replace("\n", "\n  ")) for n in names]
+    rows += [("", licenses.KNOWN[n][: len(licenses.KNOWN[n]) // 2]) for n in names]
+    got = licenses.scan_licenses(spark.createDataFrame(rows, "name string, text string"), licenses.KNOWN).collect()
+    assert [(g.license or "", g.is_license) for g in got] == [(n, n != "") for n, _ in rows]
+    duckdb = pytest.importorskip("duckdb")
+    sql = f"SELECT sha256({licenses.canonical_sql('?')})"
+    assert [g.digest for g in got] == [duckdb.execute(sql, [t]).fetchone()[0] for _, t in rows]
