@@ -30,6 +30,8 @@ def shared_dir(spark: SparkSession) -> str:
     """The folder all executors share: spark.checkpoint.dir, or one of our own where that is unset."""
     at = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not at:
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
         at = "file://" + tempfile.mkdtemp(prefix="kindred-shared-")
         spark.sparkContext.setCheckpointDir(at)
         at = spark.sparkContext.getCheckpointDir()
@@ -81,6 +83,28 @@ def without(df: DataFrame, names: Iterable[str]) -> DataFrame:
     return df.select([F.col(f"`{c}`") for c in df.columns if c.lower() not in low])
 
 
+def apart(taken: Iterable[str], *wanted: str) -> list[str]:
+    """Names like ``wanted`` that are not ``taken`` (ignoring case)."""
+    low, out = {n.lower() for n in taken}, []
+    for n in wanted:
+        while n.lower() in low:
+            n += "_"
+        low.add(n.lower())
+        out.append(n)
+    return out
+
+
+def with_helpers(df: DataFrame, outs: Iterable[str], **helpers: Column) -> tuple[DataFrame, list[str]]:
+    """``df`` less the columns that ``outs`` replaces, plus helper columns last, and the names these got.
+
+    Helpers may read replaced columns, and their names differ from all others.
+    """
+    outs = list(outs)
+    kept = without(df, outs).columns
+    names = apart([*kept, *outs], *helpers)
+    return df.select(*[F.col(f"`{c}`") for c in kept], *[c.alias(n) for c, n in zip(helpers.values(), names, strict=True)]), names
+
+
 # --------------------------------------------------------------------------- Arrow text
 def flat(arr: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """Bytes and offsets (int64, one more than rows) of a string or binary array; null counts as empty."""

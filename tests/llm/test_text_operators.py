@@ -1,5 +1,6 @@
 """Language, toxicity, packing, quality and licences against brute force, held-out accuracy and edge cases."""
 
+import math
 import random
 import re
 import zlib
@@ -87,46 +88,74 @@ def test_toxicity_of_short_and_wholly_toxic_texts(spark):
     assert all(g.evidence > 0.2 and g.predicted == 1 for g in got.values()), got
 
 
-def test_toxicity_continuation_counts_are_exact(spark):
-    # 2,000 different left neighbours over several tasks, each twice, and a row's start
-    rows = [(f"l{i} moron l{i} moron moron", i % 2) for i in range(2000)] + [("moron", 1)]
-    df = spark.createDataFrame(rows, "_text string, _toxic int").repartition(4)
-    counts = df.mapInArrow(toxicity._counts, "h long, near long, n0 long, n1 long")
-    h, _ = toxicity.expressions(np.frombuffer(b"moron", np.uint8), np.array([0, 5]))
-    got = toxicity.continuations(counts).where(F.col("h") == int(h[0, 0].view(np.int64))).collect()
-    assert [(g.cont, g.n0, g.n1) for g in got] == [(2002, 3000, 3001)]
-
-
-def test_toxicity_keeps_words_apart_that_share_a_cell(spark):
-    # two words whose hashes agree modulo 2**21: only one is ever counted
-    words = [f"x{i:03x}" for i in range(4096)]
-    text = " ".join(words).encode()
-    h, _ = toxicity.expressions(np.frombuffer(text, np.uint8), np.array([0, len(text)]))
-    seen, pair = {}, None
-    for w, c in zip(words, (h[:, 0].view(np.int64) % np.int64(1 << 21)).tolist(), strict=True):
-        if c in seen and pair is None:
-            pair = (seen[c], w)
-        seen[c] = w
-    r = random.Random(7)
-    rows = [(i, prose(r, "en", 30) + (f" {pair[0]}" * 3 if i % 3 == 0 else "")) for i in range(300)]
-    docs = spark.createDataFrame([*rows, (1000, pair[0]), (1001, pair[1])], "doc_id long, text string")
-    marks = spark.createDataFrame([(i, int(i % 3 == 0)) for i in range(300)], "doc_id long, toxic int")
-    got = {g.doc_id: g.evidence for g in toxicity.score_toxicity(docs, marks).where("doc_id >= 1000").collect()}
-    assert got[1000] > 0.2 and got[1001] == 0
-
-
-def test_toxicity_expressions_cover_whole_words():
+def brute_ratio(texts, words, context=toxicity.CONTEXT):
+    """log p_toxic - log p_ordinary of each word, by dictionaries."""
+    n, END = [{}, {}], 32
+    split = lambda t: [w for w in (x.strip(b".,;:!?\"'()[]{}*#$%&|<>-_/\\~`^+=") for x in t.lower().encode().split()) if w]
+    steps = lambda w: [((w[max(0, j - context) : j], min(j, context + 1)), w[j - 1] if j else END, w[j] if j < len(w) else END) for j in range(len(w) + 1)]
+    for t, toxic in texts:
+        for w in split(t):
+            for u, v, x in steps(w):
+                n[toxic][u, v, x] = n[toxic].get((u, v, x), 0) + 1
+    both = {k: n[0].get(k, 0) + n[1].get(k, 0) for k in n[0].keys() | n[1].keys()}
+    discount = lambda c: sum(v == 1 for v in c.values()) / max(1, sum(v == 1 for v in c.values()) + 2 * sum(v == 2 for v in c.values())) or 0.5
+    d0, d1, d = discount(n[0]), discount(n[1]), discount(both)
+    out = {}
+    for word in words:
+        s = 0.0
+        for u, v, x in steps(word.encode()):
+            total = [sum(c for k, c in m.items() if k[0] == u) for m in n]
+            if not total[0] or not total[1] or (u, v, x) not in both:
+                continue
+            free = sum(k[1:] == (v, x) for k in both) / sum(k[1] == v for k in both)
+            shared = (both[u, v, x] - d + d * sum(k[0] == u for k in both) * free) / sum(total)
+            p = [(max(m.get((u, v, x), 0) - off, 0) + (toxicity.STRENGTH + off * sum(k[0] == u for k in m)) * shared) / (t + toxicity.STRENGTH) for m, off, t in zip(n, (d0, d1), total, strict=True)]
+            s += math.log(p[1] / p[0])
+        out[word] = s
+    return out
+
+
+def test_toxicity_evidence_equals_brute_force(spark):
+    r = random.Random(3)
+    texts = [(prose(r, r.choice(["en", "de", "fr"]), r.randint(1, 30)) + (" moron, (scumbag)" * (i % 4 == 0)), int(i % 4 == 0)) for i in range(80)]
+    texts += [("", 1), ("antidisestablishmentarianism antidisestablishment " * 2, 0), ("antidisestablishmentarian 'anti'", 1)]
+    train = spark.createDataFrame(texts, "_text string, _toxic int").repartition(4)
+    ratios = toxicity.log_ratios(toxicity.count_events(train)).cache()
+    words = ["moron", "scumbag", "scum", "the", "antidisestablishmentarianism", "unseenword"]
+    want = brute_ratio(texts, words)
+    docs = spark.createDataFrame([(w, w) for w in words] + [("all", " ".join(words)), ("none", " ... ")], "name string, text string")
+    for blocks in (1, 3):  # the documents pass one block of the ratios after the other
+        got = {g.name: g.e for g in toxicity.add_evidence(docs, ratios, blocks, "text", "e").collect()}
+        for w in words:
+            assert got[w] == pytest.approx(math.log1p(toxicity.RATE * math.expm1(want[w])), rel=1e-4, abs=1e-7), w
+        assert got["all"] == pytest.approx(sum(got[w] for w in words) / len(words), rel=1e-6) and got["none"] == 0
+    assert want["moron"] > 2 and abs(want["the"]) < 1
+
+
+def test_toxicity_edge_cases(spark):
+    r = random.Random(4)
+    rows = [(i, prose(r, "en", 30) + (" moron trash" if i % 3 == 0 else "")) for i in range(300)]
+    extra = [(1000, "moron"), (1000, "moron"), (1001, ""), (None, None), (1002, "word " * 300_000 + "moron " * 30_000), (1003, "x" * 2_000_000), (1004, "... !")]
+    docs = spark.createDataFrame(rows + extra, "doc_id long, text string").selectExpr("*", "doc_id AS _text", "'kept' AS _toxic", "1 AS SCORE", "2 AS _sums")
+    marks = spark.createDataFrame([(i, int(i % 3 == 0)) for i in range(300)] + [(5, None), (None, 1), (1003, 7)], "doc_id long, toxic int")
+    got = toxicity.score_toxicity(docs, marks, block=300)
+    assert got.columns == ["doc_id", "text", "_text", "_toxic", "_sums", "evidence", "score", "predicted"]
+    found = got.where("doc_id >= 1000 OR doc_id IS NULL").collect()
+    assert len(found) == len(extra) and all(g["_toxic"] == "kept" and g["_text"] == g["doc_id"] for g in found)
+    by = {g.doc_id: g for g in found}
+    assert by[1000].predicted == 1 and by[1002].predicted == 1 and by[1001].evidence == by[None].evidence == by[1004].evidence == 0
+    assert all(0 <= g.score <= 1 for g in found) and by[1001].predicted == 0 and by[1003].predicted == 0
+    assert len({g.score for g in found if g.doc_id == 1000}) == 1
+
+
+def test_toxicity_words():
     def of(t):
-        return [[x for x in r if x] for r in toxicity.expressions(np.frombuffer(t.encode(), np.uint8), np.array([0, len(t.encode())]))[0].tolist()]
-
-    long, other = of("understatement, Underst4nd")
-    assert long[0] != other[0] and long[2:] == other[2:]  # whole words differ, stems of 6, 5 and 4 agree
-    assert [len(x) for x in of("abc abcd abcdefghi мор дурачина")] == [1, 1, 5, 1, 4]
-    assert of("дурачина")[0][2] == of("дурачок")[0][2] == of("дурач")[0][0]  # five letters, not five bytes
-    clause, word = of("今天天气很好但是他是笨蛋"), of("笨蛋")
-    assert len(clause) == 12 and word[0] in clause  # also at the end of a clause
-    assert of("笨蛋x")[0][1] == word[0][0]  # the two letters are a stem of what begins with them
-    assert [len(x) for x in of("ab今b-c 한국어말씀")] == [1, 3, 1, 2]
+        b = np.frombuffer(t.encode(), np.uint8)
+        return [bytes(b[s:e]).decode() for s, e, _ in zip(*toxicity.words(b, np.array([0, len(b)])), strict=True)]
+
+    assert of("abc (abcd), 'x.y' -- ...") == ["abc", "abcd", "x.y"]
+    assert of("ab今b-c 한국어말씀") == ["ab", "今b-", "b-c", "한국어말씀"]
+    assert "笨蛋" in of("他是笨蛋") and len(of("今天天气很好")) == 6  # also at the end of a clause
 
 
 def tokenizer():
