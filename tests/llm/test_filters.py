@@ -3,6 +3,7 @@
 import fnmatch
 import random
 import re
+import time
 
 import numpy as np
 import pytest
@@ -135,6 +136,83 @@ def test_host_consensus_overrides_a_page(spark):
     assert set(got.values()) == {("main words here and there " * 8).strip()}
 
 
+def test_article_parts_stay_and_its_surroundings_go():
+    page = """<body><header><h1>Site header of some length</h1></header><article class="a"><header><h1>Head</h1></header><h2 id="search">Find it</h2>
+    <p class="alert">A paragraph of the article, whatever its class is called.</p><div class="ad">Buy this now, really.</div>
+    <section id="comments"><p>A reader's comment that is quite long.</p></section><footer>Tags</footer></article>
+    <article class="b"><p>Second part of the text, beside the first.</p></article><aside>Side</aside></body>"""
+    want = "Head\nFind it\nA paragraph of the article, whatever its class is called.\nSecond part of the text, beside the first."
+    assert H.extract(page, "body>article.a") == H.extract(page, None) == H.extract(page, "body>div.elsewhere") == want
+
+
+def brute_extract(html, winner):
+    """The same by a plain tree: well-formed pages of div, article and p with unique classes."""
+    import xml.etree.ElementTree as ET
+
+    found = []
+
+    def walk(e, path):
+        path = [*path, e.tag + ("." + e.get("class") if e.get("class") else "")] if e.tag in ("body", "div", "article") else path
+        if e.text and e.text.strip():
+            found.append((path, " ".join(e.text.split())))
+        for c in e:
+            walk(c, path)
+            if c.tail and c.tail.strip():
+                found.append((path, " ".join(c.tail.split())))
+
+    walk(ET.fromstring(html), [])
+    top = winner.split(">") if winner else None
+    if not top or not any(p[: len(top)] == top for p, _ in found):
+        score = {}
+        for p, t in found:
+            points = len(t) * (1.0 if len(t) >= 25 else 0.25)
+            for q, part in ((tuple(p), points), (tuple(p[:-1]), points / 3)):
+                if q:
+                    score[q] = score.get(q, 0) + part
+        top = list(max(score, key=lambda k: score[k])) if score else []
+    same = lambda p: p[: len(top)] == top or (top[-1:] and top[-1].startswith("article") and len(p) >= len(top) and p[: len(top) - 1] == top[:-1] and p[len(top) - 1].startswith("article"))
+    return "\n".join(t for p, t in found if same(p))
+
+
+def test_extraction_equals_brute_force():
+    r = random.Random(12)
+    for n in range(150):
+        names = iter(range(1000))
+
+        def part(depth, names=names):
+            tag = r.choice(["div", "article", "p"]) if depth < 4 else "p"
+            if tag == "p":
+                return "<p>" + " ".join(r.choice(["word", "other", "longer-one"]) for _ in range(r.randint(1, 12))) + f" {r.random()}</p>"
+            return f'<{tag} class="{chr(97 + next(names) % 26)}x">' + "".join(part(depth + 1) for _ in range(r.randint(0, 4))) + f"</{tag}>"
+
+        html = "<body>" + "".join(part(0) for _ in range(r.randint(1, 4))) + "</body>"
+        page = H.Page(html)
+        paths = [page.path(k) for k in range(1, len(page.parent))]
+        for winner in (None, r.choice(paths) if paths else None, "body>none"):
+            assert H.extract(html, winner) == brute_extract(html, winner), (n, winner, html)
+
+
+def test_deep_and_long_pages_take_linear_time():
+    start = time.time()
+    deep = "<body>" + "<div>" * 20_000 + "the text at the bottom of it all" + "</div>" * 20_000
+    assert H.extract(deep, None) == "the text at the bottom of it all"
+    H.extract("<body><article>" + "<div>text <p>" * 20_000, None)
+    H.extract("<body>" + "<b><article>" + "<i></b>" * 20_000, None)
+    assert len(H.extract("<body><article>" + "<p>words and more words</p>" * 100_000, None)) > 2_000_000
+    assert time.time() - start < 10
+
+
+def test_ties_clashing_columns_and_repeated_pages(spark):
+    page = "<body><article><p>One text, as long as the other is.</p></article><div><p>Two text, as long as the other is.</p></div></body>"
+    rows = [(1, "http://h/1", page, "x", 0, 7), (1, "http://h/1", page, "x", 0, 7), (2, None, None, None, 0, 7)]
+    got = H.extract_main_text(spark.createDataFrame(rows, "page_id long, url string, html string, text string, n_chars int, _path int").selectExpr("*", "1 AS _host", "2 AS _html", "3 AS _salt"))
+    assert got.columns == ["page_id", "url", "html", "_path", "_host", "_html", "_salt", "text", "n_chars"]
+    found = sorted((g.page_id, g.text, g._path, g._host, g._html, g._salt) for g in got.collect())
+    assert found == [(1, "One text, as long as the other is.", 7, 1, 2, 3)] * 2 + [(2, "", 7, 1, 2, 3)]
+    renamed = spark.createDataFrame([(1, "http://h/1", page)], "page_id long, url string, text string")
+    assert [tuple(g) for g in H.extract_main_text(renamed, html="text").collect()] == [(1, "http://h/1", "One text, as long as the other is.", 34)]
+
+
 @pytest.mark.parametrize("bad", ["<", "<p", "</", "<!--", "<script>", "&#xZZ;", "<p class=", "<a href='", "<p/><br/><div/>x"])
 def test_broken_markup_does_not_crash(bad):
     H.extract("<body><p>some text that is fine</p>" + bad, None)
