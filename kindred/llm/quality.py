@@ -1,15 +1,21 @@
 """Quality rules with risk-controlled thresholds.
 
 Fixed base rules (very few words, too much repetition) come first. The learned rules are cutoffs on statistics of the
-text, one per statistic and stratum (a class of document length). A cutoff may reject at most ``risk`` of a stratum's
-good documents, and that is certified on the labelled rows: for each candidate cutoff the exact (Clopper-Pearson) upper
-confidence bound of the false-rejection rate, at level ``delta`` divided by the number of all candidates tried
-(Bonferroni), must stay under the risk that the statistic is allotted. The most rejecting certified cutoff is taken; a
-stratum with too few labels certifies nothing and rejects nothing.
-
-Labels come to the driver only as counts per stratum, statistic and bin (at most 5 x 4 x 101 x 2 numbers). Null text has
-no words, so it fails the base rules. Rows without a label are judged but not learnt from. Repeated rows get equal
-results; input columns that have the name of an output are replaced.
+text, per stratum (a class of document length): a document fails if any of its statistics reaches its cutoff.
+
+The labelled rows are split by a hash of their id. One third chooses: it gives each stratum a ladder of rules, each of which
+rejects what the one before it does and more; on rung t the cutoff of a statistic is the lowest that at most LADDER[t]
+of the good documents reach, and a larger share of the bad ones. The other two thirds are a holdout that certifies: rung after
+rung, the exact (Clopper-Pearson) upper confidence bound of the rate of good documents that the whole rung rejects must
+stay under ``risk``. Testing stops at the first rung that fails, and the last that passed is used. As the order of the tests was
+fixed before the holdout was seen, each is made at the full level of its stratum, which is ``delta`` divided by the number
+of strata (Bonferroni). A stratum whose holdout is too small certifies nothing and rejects nothing.
+
+Labels come to the driver only as counts per stratum, statistic and bin, or per stratum and rung (at most 5 x 4 x 101 x 2
+numbers). Null text has no words, so it fails the base rules; a very long text is read whole, by one task. Rows without a
+label are judged but not learnt from; a document with several labels counts with the largest; without labels, or in an
+empty table, the base rules alone decide. Statistics that tie with a cutoff fail. Repeated rows get equal results; input
+columns that have the name of an output are replaced and all others returned.
 """
 
 from __future__ import annotations
@@ -31,6 +37,8 @@ _SYMBOL[[ord(c) for c in "#*$%&|<>"]] = True
 BINS = 100
 STATISTICS = ("symbols", "duplicate_lines", "repeated_words", "short_words")
 _EDGES = np.array([50, 200, 800, 3200])
+#: Share of a stratum's good documents that a statistic's cutoff may reject among the choosing rows, by rung.
+LADDER = (0.0, 0.0005, 0.001, 0.002, 0.003, 0.005, 0.0075, 0.01)
 
 
 def measure(data: np.ndarray, offs: np.ndarray) -> dict[str, np.ndarray]:
@@ -122,65 +130,103 @@ def _histogram(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield pa.RecordBatch.from_pandas(t.astype({"n": "int64"}), schema=pa.schema([("stratum", pa.int32()), ("stat", pa.int32()), ("bin", pa.int32()), ("good", pa.int32()), ("n", pa.int64())]), preserve_index=False)
 
 
+def beta_tail(x: float, a: float, b: float) -> float:
+    """The regularised incomplete beta function I_x(a, b), by its continued fraction."""
+    if x <= 0 or x >= 1:
+        return float(x >= 1)
+    if x > (a + 1) / (a + b + 2):
+        return 1 - beta_tail(1 - x, b, a)
+    front = math.exp(math.lgamma(a + b) - math.lgamma(a) - math.lgamma(b) + a * math.log(x) + b * math.log1p(-x)) / a
+    tiny, c, d = 1e-300, 1.0, 1 - (a + b) * x / (a + 1)
+    d = 1 / (d if abs(d) > tiny else tiny)
+    f = d
+    for m in range(1, 100_000):
+        for step in (m * (b - m) * x / ((a + 2 * m - 1) * (a + 2 * m)), -(a + m) * (a + b + m) * x / ((a + 2 * m) * (a + 2 * m + 1))):
+            d, c = 1 + step * d, 1 + step / c
+            d, c = 1 / (d if abs(d) > tiny else tiny), c if abs(c) > tiny else tiny
+            f *= d * c
+        if abs(d * c - 1) < 1e-14:
+            break
+    return front * f
+
+
 def upper_bound(k: int, n: int, level: float) -> float:
-    """Exact upper confidence bound of a rate, k of n seen: the p at which P(X <= k) falls to ``level``."""
+    """Exact upper confidence bound of a rate, k of n seen: the p at which P(X <= k) = I_(1-p)(n - k, k + 1) falls to ``level``."""
     if k >= n:
         return 1.0
-    log_choose = [math.lgamma(n + 1) - math.lgamma(i + 1) - math.lgamma(n - i + 1) for i in range(max(0, k - 4000), k + 1)]
-
-    def tail(p: float) -> float:
-        logs = [c + i * math.log(p) + (n - i) * math.log1p(-p) for i, c in zip(range(max(0, k - 4000), k + 1), log_choose, strict=True)]
-        top = max(logs)
-        return math.exp(top) * sum(math.exp(x - top) for x in logs)
-
     lo, hi = k / n, 1.0
     for _ in range(60):
         mid = (lo + hi) / 2
-        if mid <= 0 or mid >= 1:
-            break
-        if tail(mid) > level:
+        if beta_tail(1 - mid, n - k, k + 1) > level:
             lo = mid
         else:
             hi = mid
     return hi
 
 
-def certify(counts: dict[tuple[int, int, int, int], int], risk: float, delta: float) -> dict[tuple[int, int], int]:
-    """The cutoff (reject from this bin on) for each stratum and statistic that has a certified one."""
-    strata = sorted({k[0] for k in counts})
-    tests = max(1, len(strata) * len(STATISTICS) * BINS)
-    share, level = risk / len(STATISTICS), delta / tests
-    out = {}
-    for s in strata:
+def ladder(counts: dict[tuple[int, int, int, int], int]) -> np.ndarray:
+    """Cutoffs (reject from this bin on) by stratum, rung and statistic, from counts by (stratum, statistic, bin, good)."""
+    table = np.full((len(_EDGES) + 1, len(LADDER), len(STATISTICS)), BINS + 1)
+    for s in range(len(table)):
         for x in range(len(STATISTICS)):
-            good = np.array([counts.get((s, x, b, 1), 0) for b in range(BINS + 1)])
-            bad = np.array([counts.get((s, x, b, 0), 0) for b in range(BINS + 1)])
-            n = int(good.sum())
-            lost = np.cumsum(good[::-1])[::-1]
-            caught = np.cumsum(bad[::-1])[::-1]
-            for c in range(1, BINS + 1):  # from the most rejecting cutoff on
-                if n and lost[c] <= share * n and upper_bound(int(lost[c]), n, level) <= share:
-                    if caught[c] > lost[c]:
-                        out[s, x] = c
-                    break
+            good, bad = (np.array([counts.get((s, x, b, g), 0) for b in range(BINS + 1)]) for g in (1, 0))
+            lost, caught = (np.cumsum(v[::-1])[::-1] for v in (good, bad))
+            tells = caught * good.sum() > lost * bad.sum()
+            for t, share in enumerate(LADDER):
+                able = np.flatnonzero(tells & (lost <= share * good.sum()) & (np.arange(BINS + 1) > 0))
+                if len(able):
+                    table[s, t, x] = able[0]
+    return table
+
+
+def rungs(m: dict[str, np.ndarray], table: np.ndarray) -> np.ndarray:
+    """Per row the first rung that rejects it, len(LADDER) if none does."""
+    level = statistics(m)
+    hit = np.any(np.stack([level[x] for x in STATISTICS], 1)[:, None] >= table[stratum(m["n_words"])], 2)
+    return np.where(hit.any(1), hit.argmax(1), len(LADDER)).astype(np.int32)
+
+
+def certify(counts: dict[tuple[int, int, int], int], risk: float, delta: float) -> list[int]:
+    """The last certified rung of each stratum, -1 for none, from holdout counts by (stratum, rung, good)."""
+    out = []
+    for s in range(len(_EDGES) + 1):
+        good = [counts.get((s, t, 1), 0) for t in range(len(LADDER) + 1)]
+        last = -1
+        while last + 1 < len(LADDER) and upper_bound(sum(good[: last + 2]), sum(good), delta / (len(_EDGES) + 1)) <= risk:
+            last += 1
+        out.append(last)
     return out
 
 
-def _judge(cutoffs: dict, schema: pa.Schema):
-    table = np.full((len(_EDGES) + 1, len(STATISTICS)), BINS + 1)
-    for (s, x), c in cutoffs.items():
-        table[s, x] = c
-
+def _rung_counts(table: np.ndarray):
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             data, offs = C.flat(b.column("_text"))
+            good = b.column("_good").to_numpy()
+            held = []
+            for i, j, d, o in C.chunks(data, offs):
+                m = measure(d, o)
+                on = ~_base_failed(m)
+                held.append(pd.DataFrame({"stratum": stratum(m["n_words"])[on], "rung": rungs(m, table)[on], "good": good[i:j][on]}))
+            if held:
+                t = pd.concat(held).groupby(["stratum", "rung", "good"]).size().reset_index(name="n")
+                yield pa.RecordBatch.from_pandas(t.astype({"n": "int64"}), schema=pa.schema([("stratum", pa.int32()), ("rung", pa.int32()), ("good", pa.int32()), ("n", pa.int64())]), preserve_index=False)
+
+    return rows
+
+
+def _judge(limits: np.ndarray, schema: pa.Schema, text: str):
+    """``limits`` has a cutoff per stratum and statistic."""
+
+    def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            data, offs = C.flat(b.column(text))
             parts = []
             for _, _, d, o in C.chunks(data, offs):
                 m = measure(d, o)
-                level = statistics(m)
-                limit = table[stratum(m["n_words"])]
+                fails = rungs(m, limits[:, None]) == 0
                 m["base_failed"] = _base_failed(m)
-                m["kept"] = ~m["base_failed"] & np.all(np.stack([level[x] for x in STATISTICS], 1) < limit, 1)
+                m["kept"] = ~m["base_failed"] & ~fails
                 parts.append(m)
             made = {k: pa.array(np.concatenate([p[k] for p in parts])) for k in parts[0]} if parts else {}
             yield pa.RecordBatch.from_arrays([made[f.name] if f.name in made else b.column(f.name).cast(f.type) for f in schema], schema=schema)
@@ -188,13 +234,23 @@ def _judge(cutoffs: dict, schema: pa.Schema):
     return rows
 
 
+def learn_limits(docs: DataFrame, labels: DataFrame, *, doc_id: str, text: str, label: str, risk: float, delta: float) -> np.ndarray:
+    """Certified cutoffs by stratum and statistic, BINS + 1 where there is none."""
+    marked = labels.groupBy(F.col(f"`{doc_id}`").cast("long").alias("_id")).agg(F.max(F.col(f"`{label}`").cast("int")).alias("_good")).where("_good IN (0, 1)")
+    chooses = F.pmod(F.xxhash64("_id"), F.lit(3)) == 0
+    src = docs.select(F.col(f"`{doc_id}`").cast("long").alias("_id"), C.text_col(text).alias("_text"))
+    part = lambda on: src.where(on).join(marked.where(on).hint("merge"), "_id").select("_text", "_good")
+    seen = part(chooses).mapInArrow(_histogram, "stratum int, stat int, bin int, good int, n long").groupBy("stratum", "stat", "bin", "good").agg(F.sum("n").alias("n")).collect()
+    table = ladder({(r["stratum"], r["stat"], r["bin"], r["good"]): r["n"] for r in seen})
+    held = part(~chooses).mapInArrow(_rung_counts(table), "stratum int, rung int, good int, n long").groupBy("stratum", "rung", "good").agg(F.sum("n").alias("n")).collect()
+    last = certify({(r["stratum"], r["rung"], r["good"]): r["n"] for r in held}, risk, delta)
+    return np.stack([table[s, t] if t >= 0 else np.full(len(STATISTICS), BINS + 1) for s, t in enumerate(last)])
+
+
 def quality_rules(docs: DataFrame, labels: DataFrame, *, doc_id: str = "doc_id", text: str = "text", label: str = "quality", risk: float = 0.01, delta: float = 0.05) -> DataFrame:
     """``docs`` with the base counts, base_failed and kept. With probability 1 - delta at most ``risk`` of each
     stratum's good documents fail the learned rules."""
-    marked = labels.groupBy(F.col(f"`{doc_id}`").cast("long").alias("_id")).agg(F.max(F.col(f"`{label}`").cast("int")).alias("_good")).where("_good IN (0, 1)")
-    train = docs.select(F.col(f"`{doc_id}`").cast("long").alias("_id"), C.text_col(text).alias("_text")).join(marked.hint("merge"), "_id").select("_text", "_good")
-    seen = train.mapInArrow(_histogram, "stratum int, stat int, bin int, good int, n long").groupBy("stratum", "stat", "bin", "good").agg(F.sum("n").alias("n")).collect()
-    cutoffs = certify({(r["stratum"], r["stat"], r["bin"], r["good"]): r["n"] for r in seen}, risk, delta)
-    base = C.without(docs, [*_COUNTS, "base_failed", "kept", "_text"])
-    schema, arrow = C.widened(base, ", ".join(f"{c} long" for c in _COUNTS) + ", base_failed boolean, kept boolean")
-    return base.select("*", C.text_col(text).alias("_text")).mapInArrow(_judge(cutoffs, arrow), schema)
+    limits = learn_limits(docs, labels, doc_id=doc_id, text=text, label=label, risk=risk, delta=delta)
+    src, (tmp,) = C.with_helpers(docs, [*_COUNTS, "base_failed", "kept"], _text=C.text_col(text))
+    schema, arrow = C.widened(src.drop(tmp), ", ".join(f"{c} long" for c in _COUNTS) + ", base_failed boolean, kept boolean")
+    return src.mapInArrow(_judge(limits, arrow, tmp), schema)

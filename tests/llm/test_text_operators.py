@@ -263,9 +263,66 @@ def test_binomial_bound_and_certification():
         import math
 
         assert abs(sum(math.comb(n, i) * p**i * (1 - p) ** (n - i) for i in range(k + 1)) - 0.01) < 1e-6
-    good = {(0, 0, 2, 1): 20_000, (0, 0, 60, 0): 500, (1, 0, 2, 1): 30, (1, 0, 60, 0): 30}
-    cut = quality.certify(good, 0.01, 0.05)
-    assert (0, 0) in cut and 2 < cut[0, 0] <= 60 and (1, 0) not in cut
+    assert quality.upper_bound(30_000, 1_000_000, 0.01) == pytest.approx(0.0304, abs=1e-4) and quality.upper_bound(5, 5, 0.01) == 1
+    table = quality.ladder({(0, 0, 2, 1): 20_000, (0, 0, 5, 1): 10, (0, 0, 60, 0): 500, (0, 0, 2, 0): 100})
+    assert table[0, 0, 0] == 6 and table[0, 1, 0] == 3 and (table[0, :, 1:] == quality.BINS + 1).all() and (table[1:] == quality.BINS + 1).all()
+    none = len(quality.LADDER)
+    counts = {(0, none, 1): 995, (0, 1, 1): 1, (0, 3, 1): 40, (0, 0, 0): 9, (1, none, 1): 30, (2, none, 1): 600, (3, 0, 1): 9, (3, none, 1): 500}
+    assert quality.certify(counts, 0.01, 0.05) == [2, -1, none - 1, -1, -1]
+
+
+def brute_limits(rows, labels, risk, delta, third):
+    """Cutoffs by trying every rung on every labelled text; ``rows`` are distinct ids with texts."""
+    def stats(t):
+        n, chars, sym, dup, rep = brute_counts(t)
+        share = [sym / max(chars, 1), dup / (dup + 3), rep / max(n, 1), min(1, max(0, 1 - chars / max(n, 1) / 12))]
+        return sum(n >= e for e in (50, 200, 800, 3200)), [min(int(x * 100), 100) for x in share], n < 10 or 100 * rep > 20 * n
+
+    seen = [(third[i] == 0, labels[i], *stats(t)[:2]) for i, t in rows if i in labels and not stats(t)[2]]
+    limits = []
+    for s in range(5):
+        choose, hold = ([(g, x) for c, g, k, x in seen if k == s and c == want] for want in (True, False))
+        nested = []
+        for share in quality.LADDER:
+            cut = []
+            for k in range(4):
+                good, bad = ([x[k] for g, x in choose if g == want] for want in (1, 0))
+                fits = [c for c in range(1, 101) if sum(v >= c for v in good) <= share * len(good) and sum(v >= c for v in bad) * len(good) > sum(v >= c for v in good) * len(bad)]
+                cut.append(min(fits, default=101))
+            nested.append(cut)
+        best = [101] * 4
+        for cut in nested:
+            lost = sum(g == 1 and any(v >= c for v, c in zip(x, cut, strict=True)) for g, x in hold)
+            n = sum(g for g, _ in hold)
+            p = risk  # certified if so few losses are unlikely at this rate
+            if not n or sum(math.comb(n, i) * p**i * (1 - p) ** (n - i) for i in range(lost + 1)) > delta / 5:
+                break
+            best = cut
+        limits.append(best)
+    return limits, stats
+
+
+def test_quality_verdicts_equal_brute_force(spark):
+    r = random.Random(21)
+    rows = []
+    for i in range(900):
+        words = prose(r, r.choice(["en", "de", "fr"]), r.choice([12, 30, 45, 60, 120])).split()
+        junk = r.random() < 0.3
+        if junk:
+            words = [w + r.choice(["###", "$", "%%", "", ""]) for w in words]
+        rows.append((i, " ".join(words), int(not junk or r.random() < 0.01)))
+    docs = spark.createDataFrame([x[:2] for x in rows] + [(5000, "# $ % " * 10), (None, None), (5001, "ab " * 400_000)], "doc_id long, text string").repartition(3).selectExpr("*", "7 AS _text", "8 AS KEPT")
+    labels = spark.createDataFrame([(i, g) for i, _, g in rows[:800]] + [(3, None), (None, 1)], "doc_id long, quality int")
+    third = {x.id: x.k for x in spark.range(900).selectExpr("id", "pmod(xxhash64(id), 3) AS k").collect()}
+    limits, stats = brute_limits([x[:2] for x in rows], {i: g for i, _, g in rows[:800]}, 0.05, 0.2, third)
+    out = quality.quality_rules(docs, labels, risk=0.05, delta=0.2)
+    assert out.columns == ["doc_id", "text", "_text", *quality._COUNTS, "base_failed", "kept"]
+    got = {g.doc_id: g for g in out.collect()}
+    assert len(got) == len(rows) + 3 and got[5001].base_failed and got[None].base_failed
+    for i, t, _ in rows:
+        s, x, failed = stats(t)
+        assert got[i].kept == (not failed and all(v < c for v, c in zip(x, limits[s], strict=True))), i
+    assert any(not g.kept and not g.base_failed for g in got.values())
 
 
 def test_licenses(spark):
