@@ -1,13 +1,14 @@
 """Language identification by a small byte convolutional network, trained in numpy.
 
 Bytes (A-Z lower-cased) are embedded, filters of several widths slide over fixed-length windows, each filter keeps its
-maximum over the window, and a softmax layer names the language. Training reads a bounded sample of labelled rows
-(``per_language`` rows of each language, up to ``languages`` languages); prediction cuts every whole text into windows,
-runs them in batches and averages their probabilities by length.
+maximum over the window, and a softmax layer names the language. Training reads a bounded sample of the labelled rows:
+``crop`` characters from anywhere in the texts of at most ``per_language`` rows of each language, whatever the number of
+languages. Prediction cuts every whole text into windows, runs them in batches and averages their probabilities by
+length, so a very long text is read whole and a window at a time.
 
 Null text and text without a letter give ``und`` with score 0. Rows with null language are not learnt from. Without
-labelled rows everything is ``und``. Repeated rows get equal results; input columns that have the name of an output are
-replaced.
+labelled rows everything is ``und``; empty tables give empty results. Of languages that tie, the alphabetically first is named.
+Repeated rows get equal results; input columns that have the name of an output are replaced and all others returned.
 """
 
 from __future__ import annotations
@@ -111,19 +112,21 @@ def train(texts: list[bytes], labels: list[str], *, steps: int = 500, batch: int
     return net
 
 
-def sample(docs: DataFrame, *, doc_id: str, text: str, lang: str, learn: Column, per_language: int, languages: int) -> tuple[list[bytes], list[str]]:
-    """At most ``per_language`` rows of each of the ``languages`` most frequent languages, 600 characters of each."""
-    rows = docs.where(learn & F.col(f"`{lang}`").isNotNull() & C.text_col(text).rlike(r"\p{L}"))
-    counts = rows.groupBy(F.col(f"`{lang}`").cast("string").alias("lang")).count().orderBy(F.desc("count"), "lang").limit(languages).collect()
+def sample(docs: DataFrame, *, doc_id: str, text: str, lang: str, learn: Column, per_language: int, crop: int) -> tuple[list[bytes], list[str]]:
+    """At most ``per_language`` rows of each language, ``crop`` characters of each.
+
+    One hash of a row decides whether it is drawn and another where its crop begins, so crops come from everywhere in
+    the texts however small the share of rows that is drawn.
+    """
+    rows = docs.where(learn & F.col(f"`{lang}`").isNotNull() & C.text_col(text).rlike(r"\p{L}")).select(F.col(f"`{lang}`").cast("string").alias("lang"), F.col(f"`{doc_id}`").cast("string").alias("id"), C.text_col(text).alias("t"))
+    counts = rows.groupBy("lang").count().orderBy("lang").collect()
     if not counts:
         return [], []
-    draw = F.pmod(F.xxhash64(F.col(f"`{doc_id}`"), C.text_col(text)), F.lit(1_000_003)) / F.lit(1_000_003.0)
-    share = F.lit(0.0)
-    for c in counts:
-        share = F.when(F.col(f"`{lang}`") == c.lang, min(1.0, 1.5 * per_language / c["count"])).otherwise(share)
-    size = F.length(C.text_col(text))
-    crop = F.substring(C.text_col(text), F.lit(1) + (draw * F.greatest(size - 600, F.lit(0))).cast("int"), F.lit(600))
-    got = rows.where(draw < share).select(crop.alias("t"), F.col(f"`{lang}`").cast("string").alias("lang"), draw.alias("draw")).orderBy("draw").limit(2 * per_language * len(counts)).collect()
+    unit = lambda *of: F.pmod(F.xxhash64(*of), F.lit(1_000_003)) / F.lit(1_000_003.0)
+    shares = F.create_map(*[F.lit(x) for c in counts for x in (c.lang, min(1.0, (1.5 * per_language + 10) / c["count"]))])
+    at = F.lit(1) + (unit("t", F.lit("crop"), "id") * F.greatest(F.length("t") - crop, F.lit(0))).cast("int")
+    drawn = rows.withColumn("draw", unit("id", "t")).where(F.col("draw") < shares[F.col("lang")])
+    got = drawn.select(F.substring(F.col("t"), at, F.lit(crop)).alias("t"), "lang", "draw").orderBy("draw", "lang", "t").limit((2 * per_language + 20) * len(counts)).collect()
     texts, labels, used = [], [], dict.fromkeys((c.lang for c in counts), 0)
     for g in got:
         if used[g.lang] < per_language:
@@ -133,15 +136,15 @@ def sample(docs: DataFrame, *, doc_id: str, text: str, lang: str, learn: Column,
     return texts, labels
 
 
-def _predict(model, schema: pa.Schema, outs: tuple[str, str]):
+def _predict(model, schema: pa.Schema, outs: tuple[str, str], text: str, has_letter: str):
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         net: ByteConvNet = model.value
         for b in batches:
-            data, offs = C.flat(b.column("_text"))
+            data, offs = C.flat(b.column(text))
             p = np.zeros((b.num_rows, max(1, len(net.languages))))
             for i, j, d, o in C.chunks(data, offs, 1 << 18):
                 p[i:j] = window_means(net, d, o)
-            letter = b.column("_letter").to_numpy(zero_copy_only=False)
+            letter = b.column(has_letter).to_numpy(zero_copy_only=False)
             best = p.argmax(1)
             known = letter & bool(net.languages)
             lang = [net.languages[k] if ok else "und" for k, ok in zip(best, known, strict=True)]
@@ -175,12 +178,11 @@ def window_means(net: ByteConvNet, d: np.ndarray, o: np.ndarray) -> np.ndarray:
 
 
 def identify_language(
-    docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", lang: str = "lang", learn: Column | None = None, per_language: int = 400, languages: int = 64, outs: tuple[str, str] = ("lang_pred", "score")
+    docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", lang: str = "lang", learn: Column | None = None, per_language: int = 400, crop: int = 600, outs: tuple[str, str] = ("lang_pred", "score")
 ) -> DataFrame:
     """``docs`` with the predicted language and its probability; learns from rows where ``learn`` holds."""
-    texts, labels = sample(docs, doc_id=doc_id, text=text, lang=lang, learn=F.lit(True) if learn is None else learn, per_language=per_language, languages=languages)
+    texts, labels = sample(docs, doc_id=doc_id, text=text, lang=lang, learn=F.lit(True) if learn is None else learn, per_language=per_language, crop=crop)
     model = docs.sparkSession.sparkContext.broadcast(train(texts, labels))
-    base = C.without(docs, [*outs, "_text", "_letter"])
-    schema, arrow = C.widened(base, f"`{outs[0]}` string, `{outs[1]}` double")
-    src = base.select("*", C.text_col(text).alias("_text"), C.text_col(text).rlike(r"\p{L}").alias("_letter"))
-    return src.mapInArrow(_predict(model, arrow, outs), schema)
+    src, (tmp, letter) = C.with_helpers(docs, outs, _text=C.text_col(text), _letter=C.text_col(text).rlike(r"\p{L}"))
+    schema, arrow = C.widened(src.drop(tmp, letter), f"`{outs[0]}` string, `{outs[1]}` double")
+    return src.mapInArrow(_predict(model, arrow, outs, tmp, letter), schema)

@@ -6,8 +6,8 @@ licence; a licence quoted inside other text has another digest. All of it is Dat
 are a small table given by the caller, joined by broadcast (``LIMIT`` rows at most, else by shuffle).
 
 Null text counts as empty. An empty canonical form matches nothing. Where known texts share a canonical form, the
-alphabetically first name is given. Repeated rows get equal results; input columns that have the name of an output are
-replaced.
+alphabetically first name is given. A very long text is normalised whole, by one task. Repeated rows get equal results,
+empty tables give empty results; input columns that have the name of an output are replaced and all others returned.
 """
 
 from __future__ import annotations
@@ -58,13 +58,14 @@ def canonical_sql(text: str) -> str:
 
 def scan_licenses(docs: DataFrame, known: dict[str, str], *, text: str = "text") -> DataFrame:
     """``docs`` with digest, license (null if none) and is_license. ``known``: texts by licence name."""
-    base = C.without(docs, {"digest", "license", "is_license"} - {text.lower()})
+    keyed, (own,) = C.with_helpers(docs, ("digest", "license", "is_license"), _own=F.sha2(canonical(F.col(f"`{text}`")), 256))
+    (theirs,) = C.apart([*keyed.columns, "digest", "license", "is_license"], "_digest")
     table = docs.sparkSession.createDataFrame(list(known.items()), "license string, body string")
-    table = table.withColumn("_c", canonical(F.col("body"))).where("_c <> ''").groupBy(F.sha2("_c", 256).alias("_digest")).agg(F.min("license").alias("license"))
+    table = table.withColumn("_c", canonical(F.col("body"))).where("_c <> ''").groupBy(F.sha2("_c", 256).alias(theirs)).agg(F.min("license").alias("license"))
     table = F.broadcast(table) if len(known) <= LIMIT else table
-    keyed = base.withColumn("digest", F.sha2(canonical(F.col(f"`{text}`")), 256))
-    joined = keyed.join(table, keyed.digest == table._digest, "left")
-    return joined.select(*[F.col(f"`{c}`") for c in base.columns], "digest", "license", F.col("license").isNotNull().alias("is_license"))
+    joined = keyed.join(table, F.col(own) == F.col(theirs), "left")
+    kept = keyed.drop(own).columns
+    return joined.select(*[F.col(f"`{c}`") for c in kept], F.col(own).alias("digest"), "license", F.col("license").isNotNull().alias("is_license"))
 
 
 #: Public licence texts and notices by name.

@@ -16,7 +16,9 @@ dealt into buckets by content:
 4. *Cut.* Marks meet their document again by id.
 
 Rows with equal id and text count as the same document (none repeats the other). A null text is empty, a null id sorts
-before all others, and an empty table gives an empty result. Input columns that have the name of an output are replaced.
+before all others, and an empty table gives an empty result. Very long texts are cut
+into parts that overlap. Input columns that have the name of an output are replaced and all others returned. Content is
+compared by 64-bit hashes of whole extents where a bucket has one distinct extent, and byte by byte where it has more.
 """
 
 from __future__ import annotations
@@ -373,11 +375,11 @@ def _sort_rows(length: int):
 
 
 # --------------------------------------------------------------------------- result
-def _result_rows(schema: pa.Schema, kept: str | None):
+def _result_rows(schema: pa.Schema, kept: str | None, text: str, found: str):
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            data, offs = C.flat(b.column("_text"))
-            lists = b.column("spans_").to_pylist()
+            data, offs = C.flat(b.column(text))
+            lists = b.column(found).to_pylist()
             n_removed, n_spans, sha, texts, spans = [], [], [], [], []
             for i, pairs in enumerate(lists):
                 x = data[offs[i] : offs[i + 1]]
@@ -455,12 +457,12 @@ def suffix_dedup(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text",
     spans = repeated_spans(docs, doc_id=doc_id, text=text, length=length, bucket=bucket)
     per_doc = spans.groupBy("_id", "_th").agg(F.collect_list(F.struct("lo", "hi")).alias("spans_"))
     new = "n_bytes long, n_removed long, n_spans long, kept_sha256 string, removed array<struct<start:bigint,end:bigint>>" + {None: "", "bytes": ", kept binary", "text": ", kept string"}[kept]
-    names = [x.split()[0] for x in ("n_bytes", "n_removed", "n_spans", "kept_sha256", "removed", "kept", "_id", "_th", "_text", "spans_")]
-    if {doc_id.lower(), text.lower()} & set(names):
-        raise ValueError(f"the id and text columns cannot be called {names}")
-    base = C.without(docs, names)
     key = C.row_key(doc_id, text)
-    keyed = base.select("*", F.coalesce(key[0], F.lit(-(2**63))).alias("_id"), key[1], C.text_col(text).alias("_text"))
-    joined = keyed.join(per_doc, ["_id", "_th"], "left")
+    made = [x.split()[0] for x in new.split(", ")]
+    keyed, (i, h, whole) = C.with_helpers(docs, made, _id=F.coalesce(key[0], F.lit(-(2**63))), _th=key[1], _text=C.text_col(text))
+    i_, h_, found = C.apart([*keyed.columns, *made], "_id_of", "_th_of", "spans_")
+    per_doc = per_doc.select(F.col("_id").alias(i_), F.col("_th").alias(h_), F.col("spans_").alias(found))
+    joined = keyed.join(per_doc, (F.col(i) == F.col(i_)) & (F.col(h) == F.col(h_)), "left")
+    base = keyed.drop(i, h, whole)
     schema, arrow = C.widened(base, new)
-    return joined.select(*[F.col(f"`{c}`") for c in base.columns], "_text", "spans_").mapInArrow(_result_rows(arrow, kept), schema)
+    return joined.select(*[F.col(f"`{c}`") for c in base.columns], whole, found).mapInArrow(_result_rows(arrow, kept, whole, found), schema)

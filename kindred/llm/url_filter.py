@@ -149,11 +149,13 @@ def _judge(rules: list[Rule], globs: list[str], schema: pa.Schema):
 
 def filter_urls(pages: DataFrame, rules: list[Rule], block_globs: list[str], *, url: str = "url") -> DataFrame:
     """``pages`` with host, path, rule and verdict; see the module's text."""
-    base = C.without(pages, {"host", "path", "rule", "verdict"} - {url.lower()})
     u = F.coalesce(F.col(f"`{url}`").cast("string"), F.lit(""))
+    src, (tmp,) = C.with_helpers(pages, ("host", "path", "rule", "verdict"), _url=u)
+    u = F.col(tmp)
     at = F.instr(u, "://")
     tail = F.when(at > 0, F.substring(u, at + 3, F.length(u))).otherwise("")
     host = F.translate(F.regexp_extract(tail, r"(?s)^[^/?#]*", 0), "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
     path = F.regexp_extract(tail, r"(?s)^[^/?#]*([^?#]*)", 1)
-    schema, arrow = C.widened(base.select("*", host.alias("host"), path.alias("path")), "rule string, verdict string")
-    return base.select("*", host.alias("host"), path.alias("path")).mapInArrow(_judge(rules, block_globs, arrow), schema)
+    parsed = src.select("*", host.alias("host"), path.alias("path")).drop(tmp)
+    schema, arrow = C.widened(parsed, "rule string, verdict string")
+    return parsed.mapInArrow(_judge(rules, block_globs, arrow), schema)

@@ -92,3 +92,12 @@ def test_blind_tries_sort_suffixes():
         assert got == sorted(got)
         for a, b, n in zip(got, got[1:], lcp[i], strict=False):
             assert n == next((k for k in range(40) if a[k] != b[k]), 40)
+
+
+def test_clashing_columns_stay(spark):
+    a = "".join(random.Random(1).choices("abcdefgh", k=150))
+    rows = [(2, "x" + a), (1, a + "y"), (None, "")]
+    df = spark.createDataFrame(rows, "_id long, _text string").selectExpr("*", "1 AS _th", "2 AS spans_", "3 AS n_bytes", "4 AS kept")
+    got = S.suffix_dedup(df, doc_id="_id", text="_text", kept="text")
+    assert got.columns == ["_id", "_text", "_th", "spans_", "n_bytes", "n_removed", "n_spans", "kept_sha256", "removed", "kept"]
+    assert {(g._id, g._th, g.spans_, g.n_bytes, g.n_removed, g.kept) for g in got.collect()} == {(None, 1, 2, 0, 0, ""), (1, 1, 2, 151, 0, a + "y"), (2, 1, 2, 151, 150, "x")}

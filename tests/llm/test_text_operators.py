@@ -33,6 +33,25 @@ def test_language_held_out_accuracy_and_edges(spark):
     assert language.identify_language(df.limit(0)).count() == 0
 
 
+def test_language_long_texts_many_languages_and_clashing_columns(spark):
+    r = random.Random(9)
+    letters = [chr(97 + k) + chr(97 + (k * 7 + 3) % 26) for k in range(26)]
+    names = [f"l{k:02}{v}" for k in range(26) for v in "abc"]  # more than 64
+    word = lambda n: letters[int(n[1:3])] + n[3] * 2
+    rows = [(i, " ".join([word(n)] * 40), n) for i, n in enumerate(names * 6)]
+    rows += [(9000, ("noise " * 3 + word("l05b") + " ") * 60_000, None), (9001, rows[0][1], None), (9001, rows[0][1], None)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string").selectExpr("*", "1 AS _text", "'z' AS _letter", "0 AS SCORE")
+    texts, labels = language.sample(df, doc_id="doc_id", text="text", lang="lang", learn=F.lit(True), per_language=2, crop=50)
+    assert set(labels) == set(names) and max(map(len, texts)) == 50 and max(labels.count(n) for n in names) == 2
+    starts = df.where("lang IS NOT NULL").selectExpr("doc_id", "lang", "array_join(transform(sequence(1, 2000), x -> lpad(string(x), 4, '0')), ' ') AS text")
+    at = [int(t[:4]) if t[:4].isdigit() else int(t.split()[1].decode()) for t in language.sample(starts.selectExpr("doc_id", "'one' AS lang", "concat('a ', text) AS text"), doc_id="doc_id", text="text", lang="lang", learn=F.lit(True), per_language=20, crop=50)[0]]
+    assert len(at) == 20 and min(at) < 700 and max(at) > 1300  # crops of few rows out of many lie everywhere
+    out = language.identify_language(df, per_language=2, crop=50)
+    assert out.columns == ["doc_id", "text", "lang", "_text", "_letter", "lang_pred", "score"]
+    got = out.where("doc_id >= 9000").collect()
+    assert len(got) == 3 and len({g.score for g in got if g.doc_id == 9001}) == 1 and {(g._text, g._letter) for g in got} == {(1, "z")}
+
+
 def test_convolution_equals_loops():
     net = language.train([b"abc def", b"xyz uvw"], ["a", "b"], steps=3)
     x = np.frombuffer(b"hello world of bytes", np.uint8)[None]
@@ -333,6 +352,17 @@ def test_licenses(spark):
     assert got == {1: "MIT", 2: "MIT", 3: None, 4: None, 5: None, 6: "MIT notice", 7: None}
 
 
+def test_licences_with_clashing_columns_long_and_repeated_texts(spark):
+    mit = licenses.KNOWN["MIT"]
+    rows = [(1, mit), (1, mit), (2, "word " * 400_000), (3, None)]
+    df = spark.createDataFrame(rows, "doc_id long, text string").selectExpr("*", "1 AS _digest", "2 AS DIGEST", "3 AS _own", "4 AS license")
+    got = licenses.scan_licenses(df, licenses.KNOWN)
+    assert got.columns == ["doc_id", "text", "_digest", "_own", "digest", "license", "is_license"]
+    assert sorted((g.doc_id, g._digest, g._own, g.license or "") for g in got.collect()) == [(1, 1, 3, "MIT")] * 2 + [(2, 1, 3, ""), (3, 1, 3, "")]
+    assert [g.license for g in licenses.scan_licenses(df.where("doc_id = 1").selectExpr("text AS license"), licenses.KNOWN, text="license").collect()] == ["MIT", "MIT"]
+    assert licenses.scan_licenses(df.limit(0), licenses.KNOWN).count() == 0
+
+
 def test_common_whole_licence_texts_are_known(spark):
     names = ["Apache-2.0", "BSD-2-Clause", "BSD-3-Clause", "CC0-1.0", "GPL-2.0", "GPL-3.0", "LGPL-2.1", "LGPL-3.0", "MPL-2.0", "Unlicense"]
     rows = [(n, "Copyright (c) 2020 Somebody\n\n" + licenses.KNOWN[n].upper().replace("\n", "\n  ")) for n in names]
