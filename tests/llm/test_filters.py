@@ -7,6 +7,7 @@ import time
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from kindred.llm import decontamination as D
 from kindred.llm import html_text as H
@@ -72,12 +73,12 @@ def test_leaks_equal_brute_force(spark):
     text = lambda n: " ".join(word() for _ in range(n))
     items = [(i, text(r.randint(8, 40))) for i in range(12)] + [(90, "short"), (91, None), (92, "")]
     docs, planted = [], {}
-    for d in range(60):
+    for d in range(96):
         t = text(r.randint(0, 120))
         if d % 3 == 0:
             i, s = items[r.randrange(12)]
             size = len(s.lower().encode())
-            budget = int(size * 0.05)
+            budget = int(size * D.EDIT_RATE)
             s = list(s)
             n = r.choice([0, 1, budget, budget * 3 + 4])
             for p in sorted(r.sample(range(len(s)), min(n, len(s))), reverse=True):
@@ -92,14 +93,14 @@ def test_leaks_equal_brute_force(spark):
     for d, t in docs:
         for i, s in items:
             a = norm(s)
-            if len(a) >= 32 and edits(a, norm(t)) <= int(len(a) * 0.05):
+            if len(a) >= 32 and edits(a, norm(t)) <= int(len(a) * D.EDIT_RATE):
                 want.add((d, i))
     df, bench = spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")
     got = D.find_leaks(df, bench, block_bytes=400).collect()
     assert {(g.doc_id, g.item_id) for g in got} == want and 8 < len(want) < len(planted) + 5
     for g in got:
         a = norm(dict(items)[g.item_id])
-        assert edits(a, norm(dict(docs)[g.doc_id].encode()[g.start : g.end].decode("utf-8", "ignore"))) <= int(len(a) * 0.05)
+        assert edits(a, norm(dict(docs)[g.doc_id].encode()[g.start : g.end].decode("utf-8", "ignore"))) <= int(len(a) * D.EDIT_RATE)
     kept = D.drop_leaks(df, bench).collect()
     assert sorted(k.doc_id for k in kept) == sorted(d for d, _ in docs if d not in {w[0] for w in want})
     assert D.find_leaks(df.limit(0), bench).count() == 0 and D.find_leaks(df, bench.limit(0)).count() == 0
@@ -108,6 +109,41 @@ def test_leaks_equal_brute_force(spark):
     assert [(g.item_id, g.edits) for g in found] == [(0, 0)]
 
 
+def test_short_items_match_as_whole_words(spark):
+    rows = [(1, "Say  HELLO\nworld, now"), (2, "say hello worlds"), (3, "othello world"), (4, "hello world"), (5, "hello"), (6, "hello world hello world"), (7, None)]
+    df, bench = spark.createDataFrame(rows, "doc_id long, text string"), spark.createDataFrame([(0, "hello world,"), (1, "Hello world"), (1, "hello World"), (2, "")], "item_id long, text string")
+    got = sorted((g.doc_id, g.item_id, g.start, g.end, g.edits) for g in D.find_leaks(df, bench).collect())
+    assert got == [(1, 0, 5, 17, 0), (4, 1, 0, 11, 0), (6, 1, 0, 11, 0), (6, 1, 12, 23, 0)]
+    for rate, least in ((0.2, 32), (-0.1, 32), (0.05, 8)):
+        with pytest.raises(ValueError):
+            D.find_leaks(df, bench, edit_rate=rate, min_bytes=least)
+
+
+def test_leaks_with_clashing_columns_and_many_blocks(spark):
+    r = random.Random(5)
+    items = [(i, " ".join("".join(r.choice("abcdef") for _ in range(6)) for _ in range(12))) for i in range(6)]
+    rows = [(i, f"before {items[i][1]} after" if i < 6 else f"clean {i}") for i in range(12)]
+    df = spark.createDataFrame(rows, "doc_id long, text string").selectExpr("*", "doc_id + 1 AS _text", "'x' AS _id", "7 AS item_id")
+    bench = spark.createDataFrame(items, "item_id long, text string")
+    for size in (100, 1 << 20):
+        kept = D.drop_leaks(df, bench, block_bytes=size)
+        assert kept.columns == df.columns
+        assert sorted((k.doc_id, k._text, k._id) for k in kept.collect()) == [(i, i + 1, "x") for i in range(6, 12)]
+        assert sorted((g.doc_id, g.item_id) for g in D.find_leaks(df, bench, block_bytes=size).collect()) == [(i, i) for i in range(6)]
+    assert D.drop_leaks(df.limit(0), bench).count() == 0 and D.drop_leaks(df, bench.limit(0)).count() == 12
+
+
+def test_urls_keep_clashing_columns(spark):
+    rows = [(1, "HTTP://Sub.Example.com/de/x?y", "h", "p"), (2, None, "h", "p"), (3, "x://a/" + "ads/" * 50_000, "h", "p")]
+    df = spark.createDataFrame(rows, "page_id long, url string, host string, path string").selectExpr("*", "5 AS _url")
+    got = filter_urls(df, URL_RULES, URL_GLOBS)
+    assert got.columns == ["page_id", "url", "_url", "host", "path", "rule", "verdict"]
+    assert [(g._url, g.host, g.rule, g.verdict) for g in sorted(got.collect())] == [(5, "sub.example.com", "example.com/de/", "block"), (5, "", None, "allow"), (5, "a", None, "block")]
+    named = filter_urls(df.select("page_id", F.col("url").alias("host")), URL_RULES, URL_GLOBS, url="host")
+    assert sorted(g.host for g in named.collect()) == ["", "a", "sub.example.com"]
+    assert filter_urls(df.limit(0), URL_RULES, URL_GLOBS).count() == 0
+
+
 PAGE = """<!DOCTYPE html><html><head><title>T</title><style>p{}</style></head><body class="x">
 <header><a href="/">Site name which is long enough to count</a></header><nav><ul><li><a>Menu</a></li></ul></nav>
 <div class="cookie-notice">We use cookies and other things here, accept them please.</div>
