@@ -15,7 +15,8 @@ from ..plans.checkpoint import checkpointed
 from .linalg import inverse, pinvh, powerh
 
 #: Training points whose dense Gramian a driver holds; beyond it the low-rank form is the way.
-LIMIT = 20_000
+#: Its pair table (32 million rows of 24 bytes) stays below Spark's default limit of 1 GB for a result.
+LIMIT = 8_000
 
 
 def masked_targets(y: DataFrame, *, normalize: bool = False) -> DataFrame:
@@ -71,20 +72,23 @@ class GaussianProcess:
 
     def predict_std(self, cross: DataFrame, diag: DataFrame) -> DataFrame:
         """(g1, y, std); diag(gid, k) of the predicted points, regularised like the training diagonal."""
-        ids, inv, w = self.ids, self.inverse, self.weights
-        at = {g: i for i, g in enumerate(ids)}
-        kind = dict(cross.dtypes)["g1"]
+        held = cross.sparkSession.sparkContext.broadcast((self.inverse, self.weights))
 
-        def one(key: tuple, t: pd.DataFrame) -> pd.DataFrame:
-            row = np.zeros(len(ids))
-            known = t["g2"].isin(at)
-            row[t["g2"][known].map(at)] = t["k"][known]
-            return pd.DataFrame({"g1": [key[0]], "y": [row @ w], "_q": [row @ inv @ row]})
+        def rows(batches):
+            inv, w = held.value
+            for t in batches:
+                if len(t):
+                    k = np.stack(t["r"].to_numpy())
+                    yield pd.DataFrame({"g1": t["g1"], "y": k @ w, "_q": np.einsum("ij,ij->i", k @ inv, k)})
 
-        part = cross.groupBy("g1").applyInPandas(one, f"g1 {kind}, y double, _q double")
+        part = vectors(cross, self.ids).mapInPandas(rows, f"g1 {dict(cross.dtypes)['g1']}, y double, _q double")
         own = F.col("k") + self.alpha if self.regularization == "+" else F.col("k") * (1 + self.alpha)
         return part.join(diag.select(F.col("gid").alias("g1"), own.alias("_d")), "g1").select("g1", "y", F.sqrt(F.greatest(F.lit(0.0), F.col("_d") - F.col("_q"))).alias("std"))
 
+    def predict_cov(self, cross: DataFrame, among: DataFrame) -> DataFrame:
+        """(g1, g2, cov), at least 0; among(g1, g2, k): the wanted pairs of predicted points, their own regularised."""
+        return _posterior(cross, regularize(among, self.alpha, self.regularization), self.ids, self.inverse)
+
     def leave_one_out(self) -> tuple[np.ndarray, np.ndarray]:
         d = np.diag(self.inverse)
         return self.y - self.weights / d, np.sqrt(np.maximum(1 / d, 1e-14))
@@ -97,6 +101,21 @@ class GaussianProcess:
         return float(0.5 * ((self.weights / np.diag(self.inverse)) ** 2).sum())
 
 
+def _posterior(cross: DataFrame, among: DataFrame, ids: list, inner: np.ndarray) -> DataFrame:
+    """(g1, g2, cov = max(0, k - r1' inner r2)): one product per point, then an inner product per wanted pair."""
+    held = cross.sparkSession.sparkContext.broadcast(inner)
+
+    def rows(batches):
+        for t in batches:
+            if len(t):
+                yield pd.DataFrame({"g1": t["g1"], "r": t["r"], "_u": list(np.stack(t["r"].to_numpy()) @ held.value)})
+
+    known = vectors(cross, ids).mapInPandas(rows, f"g1 {dict(cross.dtypes)['g1']}, r array<double>, _u array<double>")
+    both = among.join(known.select("g1", F.col("_u").alias("_1")), "g1").join(known.select(F.col("g1").alias("g2"), F.col("r").alias("_2")), "g2")
+    shared = F.aggregate(F.zip_with("_1", "_2", lambda a, b: a * b), F.lit(0.0), lambda s, z: s + z)
+    return both.select("g1", "g2", F.greatest(F.lit(0.0), F.col("k") - shared).alias("cov"))
+
+
 def vectors(cross: DataFrame, ids: list, value: str = "k") -> DataFrame:
     """(g1, r): each row of cross(g1, g2, value) as one array in the order of ``ids`` (a core's, of bounded number)."""
     at = {g: i for i, g in enumerate(ids)}
@@ -108,7 +127,8 @@ def vectors(cross: DataFrame, ids: list, value: str = "k") -> DataFrame:
             k = np.zeros((len(b), len(at)))
             for i, r in enumerate(b["r"]):
                 for p in r:
-                    k[i, at[p["g2"]]] = p["v"]
+                    if p["g2"] in at:  # others are no training points
+                        k[i, at[p["g2"]]] = p["v"]
             yield pd.DataFrame({"g1": b["g1"], "r": list(k)})
 
     return packed.mapInPandas(rows, f"g1 {kind}, r array<double>")
@@ -171,6 +191,10 @@ class LowRankGaussianProcess:
         own = diag.select(F.col("gid").alias("g1"), (F.col("k") + self.alpha).alias("_d"))
         return got.join(own, "g1").select("g1", "y", F.sqrt(F.greatest(F.lit(0.0), F.col("_d") - F.col("_q"))).alias("std"))
 
+    def predict_cov(self, cross: DataFrame, among: DataFrame) -> DataFrame:
+        """(g1, g2, cov), at least 0; among(g1, g2, k): the wanted pairs of predicted points."""
+        return _posterior(cross, regularize(among, self.alpha), self.ids, self.root @ self.gram @ self.gram_inverse @ self.root.T)
+
     def leave_one_out(self, cross: DataFrame, y: DataFrame, method: str = "auto") -> DataFrame:
         """(g1, y, std): each training row predicted from the others.
 
@@ -223,17 +247,18 @@ class LowRankGaussianProcess:
 def propagate_labels(weights: DataFrame, y: DataFrame, *, smoothing: float = 1e-3, tol: float = 1e-10, max_steps: int = 10_000) -> DataFrame:
     """(gid, y): harmonic values of the unlabelled points. weights(i, j, w) in both directions; y null where unknown.
 
-    A fixed point by join and sum: z = (W_uu z + W_ul y) / D. Stops when no value moves more than ``tol``.
+    A fixed point by join and sum: z = (W_uu z + W_ul y) / D. Stops when no value moves more than ``tol``, and raises if
+    ``max_steps`` do not suffice. A point without weights has no value (null).
     """
     known = y.where("y IS NOT NULL").select(F.col("gid").alias("j"), F.col("y").cast("double").alias("z"))
     unknown = y.where("y IS NULL").select(F.col("gid").alias("i"))
     if unknown.limit(1).count() == 0:
         raise ValueError("nothing is unlabelled")
     w = weights.where("i <> j").select("i", "j", (F.col("w") + smoothing).alias("w"))
-    total = w.join(unknown, "i", "left_semi").groupBy("i").agg(F.sum("w").alias("d")).cache()
+    total = w.join(unknown, "i", "left_semi").groupBy("i").agg(F.sum("w").alias("d"))
     inside = w.join(unknown, "i", "left_semi").join(unknown.withColumnRenamed("i", "j"), "j", "left_semi").cache()
     fixed = w.join(unknown, "i", "left_semi").join(known, "j").groupBy("i").agg(F.sum(F.col("w") * F.col("z")).alias("b"))
-    base = total.join(fixed, "i", "left").select("i", "d", F.coalesce("b", F.lit(0.0)).alias("b")).cache()
+    base = unknown.join(total, "i", "left").join(fixed, "i", "left").select("i", "d", F.coalesce("b", F.lit(0.0)).alias("b")).cache()
     z = base.select("i", (F.col("b") / F.col("d")).alias("z"))
     for _ in range(max_steps):
         got = inside.join(z.withColumnRenamed("i", "j"), "j").groupBy("i").agg(F.sum(F.col("w") * F.col("z")).alias("s"))
@@ -241,8 +266,8 @@ def propagate_labels(weights: DataFrame, y: DataFrame, *, smoothing: float = 1e-
         moved = new.join(z.withColumnRenamed("z", "o"), "i").agg(F.max(F.abs(F.col("z") - F.col("o")))).first()[0]
         z = new
         if moved is None or moved < tol:
-            break
-    return z.select(F.col("i").alias("gid"), F.col("z").alias("y"))
+            return z.select(F.col("i").alias("gid"), F.col("z").alias("y"))
+    raise ArithmeticError(f"the labels still moved by {moved} after {max_steps} steps")
 
 
 def label_entropy(z: DataFrame) -> DataFrame:

@@ -11,6 +11,10 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 
+#: Rows of an n-gram table that a rewriter holds, here and in each task.
+GRAM_LIMIT = 2_000_000
+
+
 def ngrams(seqs: DataFrame, n: int) -> DataFrame:
     """(context, symbol, cnt): occurrences of each symbol after each context of 0 to n symbols. seqs(id, s)."""
     s = seqs.select("s").where("length(s) > 0")
@@ -36,6 +40,8 @@ class SequenceRewriter:
 
     def __init__(self, grams: DataFrame, n: int = 1, b: int = 3, min_edits: int = 1, max_edits: int = 5, seed: int = 0):
         self.n, self.b, self.edits = n, b, (min_edits, max_edits)
+        if (found := grams.count()) > GRAM_LIMIT:
+            raise ValueError(f"{found} n-grams; the rewriter holds {GRAM_LIMIT}, take a smaller n")
         self.table: dict[str, tuple[list[str], np.ndarray]] = {}
         for r in frequencies(grams).groupBy("context").agg(F.sort_array(F.collect_list(F.struct("symbol", "freq"))).alias("t")).toLocalIterator():
             self.table[r.context] = ([x.symbol for x in r.t], np.array([x.freq for x in r.t]))

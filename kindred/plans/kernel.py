@@ -143,11 +143,11 @@ class GraphKernel:
             x += step * s
             r -= step * t
             if np.sqrt(r @ r) < self.tol * np.sqrt(rhs @ rhs):
-                break
+                return x
             z = v / d * r
             new = r @ z
             s, rz = z + new / rz * s, new
-        return x
+        raise ArithmeticError("conjugate gradients did not converge")
 
     def similarity(self, a: Packed, b: Packed) -> float:
         return float(a.p @ self.solve(a, b) @ b.p)
@@ -304,25 +304,45 @@ def block_pairs(x: DataFrame, y: DataFrame | None, result: Callable, fields: str
     return dealt.groupBy("_i", "_j").applyInPandas(solve, f"g1 {kind}, g2 {kind}, {fields}")
 
 
-def walk_similarity(nodes: DataFrame, edges: DataFrame, node: Callable[[Column, Column], Column], edge: Callable[[Column, Column], Column], *, q: float, steps: int) -> DataFrame:
-    """(g1, g2, k) by joins and sums alone: ``steps`` walk steps x <- (v / D) (D + W x), from x = v."""
+def upper_pairs(ids: DataFrame, block: int = 64) -> DataFrame:
+    """(g1, g2) with g1 <= g2 of all ids, by equi-joins of blocks: an id is copied once per block it meets."""
+    n = max(1, -(-ids.count() // block))
+    own = F.pmod(F.xxhash64("gid"), F.lit(n)).cast("int")
+    met = ids.select("gid", own.alias("_b"), F.explode(F.sequence(F.lit(0), F.lit(n - 1))).alias("_o"))
+    met = met.select("gid", "_b", F.least("_b", "_o").alias("_i"), F.greatest("_b", "_o").alias("_j"))
+    side = lambda k: met.select(F.col("gid").alias(f"g{k}"), F.col("_b").alias(f"_b{k}"), "_i", "_j")
+    both = side(1).join(side(2), ["_i", "_j"]).where("g1 <= g2 AND (_i = _j OR _b1 <> _b2)")
+    return both.select("g1", "g2")
+
+
+def walk_similarity(nodes: DataFrame, edges: DataFrame, node: Callable[[Column, Column], Column], edge: Callable[[Column, Column], Column], *, q: float, pairs: DataFrame | None = None, tol: float = 1e-8, max_steps: int = 1000, check: int = 8) -> DataFrame:
+    """(g1, g2, k) by joins and sums alone: walk steps x <- (v / D) (D + W x), from x = v, until none moves by ``tol``.
+
+    ``pairs`` (g1, g2) are all with g1 <= g2 unless given. Movement is looked at every ``check`` steps, where the lineage
+    is cut; raises if ``max_steps`` do not suffice.
+    """
+    pairs = upper_pairs(nodes.select("gid").distinct()) if pairs is None else pairs.select("g1", "g2")
     full = degree(nodes, edges).join(nodes, ["gid", "nid"])
     side = lambda k: full.select(F.col("gid").alias(f"g{k}"), F.col("nid").alias(f"i{k}"), F.col("d").alias(f"d{k}"), F.struct(*nodes.columns).alias(f"s{k}"))
     v = node(F.col("s1"), F.col("s2"))
-    pn = side(1).join(side(2), F.col("g1") <= F.col("g2")).select("g1", "g2", "i1", "i2", v.alias("v"), (F.col("d1") * F.col("d2") / (1 - q) ** 2).alias("d"))
+    pn = pairs.join(side(1), "g1").join(side(2), "g2").select("g1", "g2", "i1", "i2", v.alias("v"), (F.col("d1") * F.col("d2") / (1 - q) ** 2).alias("d"))
     both = symmetrized(edges)
     eside = lambda k: both.select(F.col("gid").alias(f"g{k}"), F.col("src").alias(f"i{k}"), F.col("dst").alias(f"j{k}"), F.col("w").alias(f"w{k}"), F.struct(*edges.columns).alias(f"s{k}"))
-    pe = eside(1).join(eside(2), F.col("g1") <= F.col("g2")).select("g1", "g2", "i1", "i2", "j1", "j2", (F.col("w1") * F.col("w2") * edge(F.col("s1"), F.col("s2"))).alias("w"))
+    pe = pairs.join(eside(1), "g1").join(eside(2), "g2").select("g1", "g2", "i1", "i2", "j1", "j2", (F.col("w1") * F.col("w2") * edge(F.col("s1"), F.col("s2"))).alias("w"))
     pn, pe = checkpointed(pn), checkpointed(pe)
-    x = pn.select("g1", "g2", "i1", "i2", F.col("v").alias("x"))
     keys = ["g1", "g2", "i1", "i2"]
-    for step in range(1, steps + 1):
-        near = x.withColumnsRenamed({"i1": "j1", "i2": "j2"})
+    x = pn.select(*keys, F.col("v").alias("x"))
+    for step in range(1, max_steps + 1):
+        near = x.select("g1", "g2", F.col("i1").alias("j1"), F.col("i2").alias("j2"), "x")
         got = pe.join(near, ["g1", "g2", "j1", "j2"]).groupBy(keys).agg(F.sum(F.col("w") * F.col("x")).alias("s"))
-        x = pn.join(got, keys, "left").select(*keys, (F.col("v") / F.col("d") * (F.col("d") + F.coalesce("s", F.lit(0.0)))).alias("x"))
-        if step % 4 == 0 and step < steps:
-            x = checkpointed(x)
-    return x.groupBy("g1", "g2").agg(F.sum("x").alias("k"))
+        new = pn.join(got, keys, "left").select(*keys, (F.col("v") / F.col("d") * (F.col("d") + F.coalesce("s", F.lit(0.0)))).alias("x"))
+        if step % check == 0:
+            new = checkpointed(new)
+            moved = new.join(x.withColumnRenamed("x", "_x"), keys).agg(F.max(F.abs(F.col("x") - F.col("_x")))).first()[0]
+            if moved is None or moved < tol:
+                return new.groupBy("g1", "g2").agg(F.sum("x").alias("k"))
+        x = new
+    raise ArithmeticError("the walk iteration did not converge")
 
 
 def molecular_kernel(stopping: float = 0.01, element_prior: float = 0.2, edge_length_scale: float = 0.05) -> GraphKernel:

@@ -14,6 +14,7 @@ from .functions.adjacency import CompactBell, Gaussian, Tent
 from .functions.microkernel import Additive, Constant, Convolution, DotProduct, KroneckerDelta, MicroKernel, Normalize, RationalQuadratic, SquareExponential, TensorProduct
 from .operators import graph_ops as G
 from .operators import metrics as M
+from . import model_queries
 from .operators import fitting, models, sequences
 from .plans.kernel import GraphKernel, pack, walk_similarity
 from .sources.graphs import USER_GRAPHS_SQL, from_keyed, radius_edges, user_graphs
@@ -72,9 +73,9 @@ def graph_kernel_pairs(spark, d):
 
 
 def graph_kernel_walk(spark, d):
-    """All pairs of users, by joins and sums only."""
+    """Every user and the next one, by joins and sums only, to convergence: the form for pairs too large for a task."""
     nodes, edges = _graphs(spark, d)
-    return _rounded(walk_similarity(nodes, edges, NODE.column, EDGE.column, q=Q, steps=12), "k", digits=4)
+    return _rounded(walk_similarity(nodes, edges, NODE.column, EDGE.column, q=Q, pairs=_next(spark, d), tol=1e-7), "k", digits=5)
 
 
 def graph_kernel_diag(spark, d):
@@ -273,12 +274,14 @@ def rbf_weight(spark, d):
 
 
 def _event_sequences(spark, d) -> DataFrame:
-    """A symbol per event (its type's first letter), a sequence per user."""
-    ev = spark.read.parquet(f"{d}/events.parquet").groupBy("user_id").agg(F.sort_array(F.collect_list(F.struct("ts", "event_id", F.substring("event_type", 1, 1).alias("c")))).alias("s"))
-    return ev.select(F.col("user_id").alias("id"), F.array_join(F.col("s.c"), "").alias("s"))
+    """A symbol per event, one per event type in alphabetical order from A, a sequence per user."""
+    ev = spark.read.parquet(f"{d}/events.parquet").select("user_id", "ts", "event_id", "event_type")
+    kinds = ev.select("event_type").distinct().select("event_type", F.char(F.lit(64) + F.rank().over(Window.orderBy("event_type"))).alias("c"))  # as few rows as there are event types
+    named = ev.join(F.broadcast(kinds), "event_type").groupBy("user_id").agg(F.sort_array(F.collect_list(F.struct("ts", "event_id", "c"))).alias("s"))
+    return named.select(F.col("user_id").alias("id"), F.array_join(F.col("s.c"), "").alias("s"))
 
 
-_SEQ_SQL = "seq AS (SELECT user_id AS id, string_agg(substr(event_type, 1, 1), '' ORDER BY ts, event_id) AS s FROM events GROUP BY user_id)"
+_SEQ_SQL = "kinds AS (SELECT event_type, chr(CAST(64 + row_number() OVER (ORDER BY event_type) AS INTEGER)) AS c FROM (SELECT DISTINCT event_type FROM events)), seq AS (SELECT user_id AS id, string_agg(c, '' ORDER BY ts, event_id) AS s FROM events JOIN kinds USING (event_type) GROUP BY user_id)"
 _GRAM_SQL = f"""{_SEQ_SQL}, pos AS (SELECT s, unnest(range(1, length(s) + 1)) AS p FROM seq), ctx AS (SELECT s, p, unnest(range(0, least(2, p - 1) + 1)) AS k FROM pos),
 grams AS (SELECT substr(s, p - k, k) AS context, substr(s, p, 1) AS symbol, count(*) AS cnt FROM ctx GROUP BY ALL)"""
 
@@ -427,7 +430,7 @@ _BOTH = ", s AS (SELECT gid, src, dst, w FROM edges UNION ALL SELECT gid, dst, s
 #: name -> (query, SQL or None)
 REGISTRY: dict[str, tuple[Query, str | None]] = {
     "graph_kernel_pairs": (graph_kernel_pairs, _walk_sql(_UPPER, "SELECT g1, g2, round(sum(x), 6) AS k FROM x GROUP BY g1, g2")),
-    "graph_kernel_walk": (graph_kernel_walk, _walk_sql(_UPPER, "SELECT g1, g2, round(sum(x), 4) AS k FROM x GROUP BY g1, g2", 12)),
+    "graph_kernel_walk": (graph_kernel_walk, _walk_sql("a.gid + 1 = b.gid", "SELECT g1, g2, round(sum(x), 5) AS k FROM x GROUP BY g1, g2", 60)),
     "graph_kernel_diag": (graph_kernel_diag, _walk_sql(_SAME, "SELECT g1 AS gid, round(sum(x), 6) AS k FROM x GROUP BY g1")),
     "graph_kernel_nodal": (graph_kernel_nodal, _walk_sql(_SAME, "SELECT g1 AS gid, i1 AS nid, round(x, 6) AS r FROM x WHERE i1 = i2")),
     "graph_kernel_lmin1": (graph_kernel_lmin1, _walk_sql(_SAME, "SELECT g1 AS gid, round(sum(x - v), 6) AS k FROM x GROUP BY g1")),
@@ -479,6 +482,7 @@ REGISTRY: dict[str, tuple[Query, str | None]] = {
     "graph_kernel_gradient": (graph_kernel_gradient, None),
     "maximin_gradient": (maximin_gradient, None),
     "sequence_rewrites": (sequence_rewrites, None),
+    **model_queries.REGISTRY,
 }
 
 QUERIES: dict[str, Query] = {k: q for k, (q, _) in REGISTRY.items()}
