@@ -17,7 +17,7 @@ from .operators import metrics as M
 from . import model_queries
 from .operators import fitting, models, sequences
 from .plans.kernel import GraphKernel, pack, walk_similarity
-from .sources.graphs import USER_GRAPHS_SQL, from_keyed, radius_edges, user_graphs
+from .sources.graphs import USER_GRAPHS_SQL, edge_list, from_keyed, radius_edges, user_graphs
 
 NODE = TensorProduct(lab=KroneckerDelta(0.3), val=SquareExponential(10.0))
 EDGE = TensorProduct(len=SquareExponential(10.0))
@@ -154,14 +154,6 @@ def tile_count(spark, d):
     return G.tile_count(_graphs(spark, d)[1], 2)
 
 
-def reordered(spark, d):
-    return G.reorder(*_graphs(spark, d), method="rcm")
-
-
-def reordered_tiles(spark, d):
-    return G.reorder(*_graphs(spark, d), method="pbr")
-
-
 def transition_graph(spark, d):
     return _graphs(spark, d)[1].select("gid", "src", "dst", "w", "len")
 
@@ -304,7 +296,7 @@ def gpr_predict(spark, d):
     p = _packed(spark, d)
     y = _graphs(spark, d)[0].groupBy("gid").agg(F.avg("val").alias("y"))
     train, rest = p.where("gid % 2 = 0"), p.where("gid % 2 = 1")
-    return models.GaussianProcess(alpha=1e-2).fit(kernel().pairs(train), y).predict(kernel().pairs(rest, train))
+    return _rounded(models.GaussianProcess(alpha=1e-2).fit(kernel().pairs(train), y).predict(kernel().pairs(rest, train)), "y", digits=2)
 
 
 def nystrom_predict(spark, d):
@@ -312,7 +304,7 @@ def nystrom_predict(spark, d):
     y = _graphs(spark, d)[0].groupBy("gid").agg(F.avg("val").alias("y"))
     core = p.orderBy("gid").limit(16)  # the low-rank form's core points
     cross = kernel().pairs(p, core)
-    return models.LowRankGaussianProcess(alpha=1e-2).fit(kernel().pairs(core), cross, y).predict(cross)
+    return _rounded(models.LowRankGaussianProcess(alpha=1e-2).fit(kernel().pairs(core), cross, y).predict(cross), "y", digits=2)
 
 
 def hierarchical_select(spark, d):
@@ -379,7 +371,8 @@ def nystrom_fit(spark, d):
 
 def graph_kernel_gradient(spark, d):
     """Each user's self similarity and its derivatives by q, the node and the edge parameters."""
-    return kernel().diag(_packed(spark, d), gradient=True)
+    got = kernel().diag(_packed(spark, d), gradient=True)
+    return _rounded(got.select("gid", "k", *[F.col("dk")[n].alias(c) for n, c in enumerate(("dq", "dh", "dval", "dlen"))]), "k", "dq", "dh", "dval", "dlen", digits=4)
 
 
 def maximin_gradient(spark, d):
@@ -387,6 +380,86 @@ def maximin_gradient(spark, d):
     return kernel().maximin_gradient(_packed(spark, d))
 
 
+def graph_kernel_pcg(spark, d):
+    """Each user's self similarity by conjugate gradients."""
+    return _rounded(kernel(solver="pcg").diag(_packed(spark, d)), "k")
+
+
+def _label_graphs(spark, d) -> tuple[DataFrame, DataFrame]:
+    """A graph per label: its vectors as nodes with their fourth coordinate, joined where the first three are near."""
+    v = spark.read.parquet(f"{d}/embeddings.parquet").select(F.col("label").cast("long").alias("gid"), "vec_id", *[F.col("embedding")[k].cast("double").alias(c) for k, c in enumerate("xyzv")])
+    n = v.withColumn("nid", (F.row_number().over(Window.partitionBy("gid").orderBy("vec_id")) - 1).cast("int"))
+    return n.select("gid", "nid", F.round("v", 4).alias("v")), radius_edges(n.select("gid", "nid", "x", "y", "z"), 0.12).select("gid", "src", "dst", "w", F.round("length", 4).alias("length"))
+
+
+_LABEL_NODE, _LABEL_EDGE = TensorProduct(v=SquareExponential(0.5)), TensorProduct(length=SquareExponential(0.5))
+
+
+def graph_kernel_large(spark, d):
+    """Self similarity of graphs of some fifty nodes and more, whose products are solved without their matrix."""
+    return _rounded(GraphKernel(_LABEL_NODE, _LABEL_EDGE, q=0.3).diag(pack(*_label_graphs(spark, d))), "k", digits=4)
+
+
+def graph_kernel_start(spark, d):
+    """Each user and the next one, walks starting in proportion to the nodes' mean values."""
+    nodes, edges = _graphs(spark, d)
+    return _rounded(kernel().listed(pack(nodes, edges, start=F.col("val") / 100), _next(spark, d)), "k")
+
+
+def graph_kernel_block(spark, d):
+    """Each user's nodal self similarities, all nodes by all nodes."""
+    r = kernel().diag_block(_packed(spark, d))
+    rows = r.select("gid", F.posexplode("r").alias("i", "_r")).select("gid", "i", F.posexplode("_r").alias("j", "r"))
+    return _rounded(rows, "r")
+
+
+def maximin_hotspot(spark, d):
+    """The node pair at the Hausdorff distance of each user and the next one."""
+    far = _nodal(spark, d).join(_next(spark, d), ["g1", "g2"]).withColumn("d", F.round("d", 7))
+    return M.hotspot(far, M.maximin(far)).select("g1", "g2", F.col("n1").cast("int").alias("n1"), F.col("n2").cast("int").alias("n2"))
+
+
+def minimax_distance(spark, d):
+    """The unscaled Hausdorff distance of all pairs of users."""
+    packed = _packed(spark, d)
+    return _rounded(M.maximin(M.nodal_distances(kernel().nodal(packed), kernel().diag_nodal(packed), scale=2**0.5)), "d", digits=4).where("g1 < g2")
+
+
+def graph_edge_list(spark, d):
+    """The users' graphs with names for node numbers."""
+    return edge_list(*_graphs(spark, d), key="lab").select("gid", "src", "dst", "w", "len")
+
+
+def periodic_graph(spark, d):
+    """A graph per label in a cell of side 1, periodic along two axes."""
+    v = spark.read.parquet(f"{d}/embeddings.parquet")
+    points = v.select(F.col("label").alias("gid"), F.col("vec_id").alias("nid"), *[(F.col("embedding")[k].cast("double") - F.floor(F.col("embedding")[k].cast("double"))).alias(c) for k, c in enumerate("xyz")])
+    axis = lambda k: F.array(*[F.lit(1.0 if k == n else 0.0) for n in range(3)])
+    cells = points.select("gid").distinct().select("gid", *[axis(k).alias(c) for k, c in enumerate("abc")], F.array(F.lit(True), F.lit(True), F.lit(False)).alias("pbc"))
+    return _rounded(radius_edges(points, 0.15, cells=cells).select("gid", "src", "dst", "length"), "length", digits=5)
+
+
+def _reordering(method: str):
+    def query(spark, d):
+        """What a reordering must keep: a new place for every node, and no more tiles than before."""
+        nodes, edges = _graphs(spark, d)
+        order = G.reorder(nodes, edges, method=method)
+        places = order.groupBy("gid").agg(F.count("nid").alias("n"), F.count_distinct("nid").alias("nodes"), F.count_distinct("pos").alias("places"), F.min("pos").alias("first"), F.max("pos").alias("last"))
+        before, after = G.tile_count(edges, 2), G.tile_count(G.permute(nodes, edges, order)[1], 2)
+        grown = before.join(after.withColumnRenamed("tiles", "_after"), "gid").select("gid", (F.col("_after") > F.col("tiles")).alias("grown"))
+        out = places.join(grown, "gid", "left").withColumn("grown", F.coalesce("grown", F.lit(False)))
+        return out if method == "pbr" else out.drop("grown")
+
+    return query
+
+
+def rbf_vectors(spark, d):
+    """A formula of the Euclidean distance of each vector and the next."""
+    far = F.sqrt(F.aggregate(F.zip_with("x", "y", lambda a, b: (a.cast("double") - b.cast("double")) ** 2), F.lit(0.0), lambda s, z: s + z))
+    pairs = _next_vectors(spark, d).select(F.col("vec_id").alias("g1"), (F.col("vec_id") + 1).alias("g2"), far.alias("d"))
+    return _rounded(fitting.PointSimilarity("exp(-x**2 / (2 * s**2)) + a * x", s=(1.5, "fixed"), a=(0.25, "fixed")).pairs(pairs), "k")
+
+
 def user_transitions(spark, d):
     ev = spark.read.parquet(f"{d}/events.parquet")
     order = Window.partitionBy("user_id").orderBy("ts", "event_id")
@@ -423,6 +496,55 @@ def sequence_rewrites(spark, d):
 _GFR_SQL = f"""WITH RECURSIVE {_PROFILE_SQL}, w AS (SELECT i, j, w + 1e-3 AS w FROM wt), u AS (SELECT gid AS i FROM y WHERE y IS NULL),
  d AS (SELECT i, sum(w) AS d FROM w JOIN u USING (i) GROUP BY i), b AS (SELECT u.i, coalesce(sum(w * y), 0) AS b FROM u LEFT JOIN w USING (i) LEFT JOIN (SELECT gid AS j, y FROM y WHERE y IS NOT NULL) USING (j) GROUP BY u.i),
  z(k, i, z) AS (SELECT 0, i, b / d FROM b JOIN d USING (i) UNION ALL SELECT k + 1, b.i, (b.b + coalesce(s, 0)) / d.d FROM b JOIN d USING (i) JOIN (SELECT k, w.i, sum(w.w * z.z) AS s FROM z JOIN w ON w.j = z.i JOIN u ON u.i = w.i WHERE k < 200 GROUP BY ALL) t ON t.i = b.i)"""
+#: Means by the graph kernel: elimination of the Gramian of the walk iteration's values.
+_P_SQL = ", p AS (SELECT g1, g2, sum(x) AS k FROM x GROUP BY g1, g2), pp AS (SELECT g1, g2, k FROM p UNION ALL SELECT g2, g1, k FROM p WHERE g1 <> g2), y AS (SELECT gid, avg(val) AS y FROM nodes GROUP BY gid)"
+_GPR_SQL = f"""{_P_SQL}, t AS (SELECT gid, y, row_number() OVER (ORDER BY gid) AS i FROM y WHERE gid % 2 = 0),
+{model_queries._eliminate('g', "SELECT a.i, b.i AS j, k + CASE WHEN a.i = b.i THEN 0.01 ELSE 0 END AS v FROM pp JOIN t a ON a.gid = g1 JOIN t b ON b.gid = g2")},
+w AS (SELECT g_inv.i, sum(v * y) AS w FROM g_inv JOIN t ON t.i = g_inv.j GROUP BY g_inv.i) SELECT g1, round(sum(k * w), 2) + 0.0 AS y FROM pp JOIN t ON t.gid = g2 JOIN w USING (i) WHERE g1 % 2 = 1 GROUP BY g1"""
+_NYSTROM_SQL = f"""{_P_SQL}, c AS (SELECT gid, row_number() OVER (ORDER BY gid) AS i FROM y ORDER BY gid LIMIT 16), r AS (SELECT g1 AS gid, i, k FROM pp JOIN c ON c.gid = g2),
+{model_queries._eliminate('a', "SELECT a.i, b.i AS j, sum(a.k * b.k) AS v FROM r a JOIN r b USING (gid) GROUP BY a.i, b.i")},
+b AS (SELECT i, sum(k * y) AS b FROM r JOIN y USING (gid) GROUP BY i), w AS (SELECT a_inv.i, sum(v * b) AS w FROM a_inv JOIN b ON b.i = a_inv.j GROUP BY a_inv.i) SELECT gid AS g1, round(sum(k * w), 2) + 0.0 AS y FROM r JOIN w USING (i) GROUP BY gid"""
+_OWN_SQL = """, own AS (SELECT g1 AS g, i1 AS n, x AS r FROM x WHERE g1 = g2 AND i1 = i2),
+ d AS (SELECT x.g1, x.g2, x.i1, x.i2, round(sqrt(greatest(0, 1 - x.x / sqrt(a.r * b.r))), 7) AS d FROM x JOIN own a ON a.g = x.g1 AND a.n = x.i1 JOIN own b ON b.g = x.g2 AND b.n = x.i2 WHERE x.g1 < x.g2)"""
+
+
+def _gradient_sql(steps: int = 120) -> str:
+    """The walk iteration of each user with itself together with its derivatives by q, the node and the edge parameters."""
+    l, h = 10.0, 0.3
+    same, val, edge = "CASE WHEN a.lab = b.lab THEN 1.0 ELSE 0.3 END", f"exp(-pow(a.val - b.val, 2) / (2 * {l} * {l}))", f"exp(-pow(a.len - b.len, 2) / (2 * {l} * {l}))"
+    names = ("q", "h", "val", "len")
+    step = {
+        "q": f"p.v / p.d * (s.sq - 2 / {1 - Q!r} * s.s)",
+        "h": "p.vh * (1 + s.s / p.d) + p.v / p.d * s.sh",
+        "val": "p.vval * (1 + s.s / p.d) + p.v / p.d * s.sval",
+        "len": "p.v / p.d * s.slen",
+    }
+    return f"""WITH RECURSIVE {USER_GRAPHS_SQL},
+both_ways AS (SELECT gid, src, dst, w, len FROM edges UNION ALL SELECT gid, dst, src, w, len FROM edges WHERE src <> dst),
+deg AS (SELECT n.gid, n.nid, CASE WHEN coalesce(sum(w), 0) = 0 THEN 1.0 ELSE sum(w) END AS d FROM nodes n LEFT JOIN both_ways e ON e.gid = n.gid AND e.src = n.nid GROUP BY ALL),
+f AS (SELECT n.*, d FROM nodes n JOIN deg USING (gid, nid)),
+pn AS (SELECT a.gid, a.nid AS i1, b.nid AS i2, {same} * {val} AS v, CASE WHEN a.lab = b.lab THEN 0.0 ELSE 1.0 END * {val} AS vh, {same} * {val} * pow(a.val - b.val, 2) / pow({l}, 3) AS vval, a.d * b.d / {(1 - Q) ** 2!r} AS d FROM f a JOIN f b ON a.gid = b.gid),
+pe AS (SELECT a.gid, a.src AS i1, b.src AS i2, a.dst AS j1, b.dst AS j2, a.w * b.w * {edge} AS w, a.w * b.w * {edge} * pow(a.len - b.len, 2) / pow({l}, 3) AS wlen FROM both_ways a JOIN both_ways b ON a.gid = b.gid),
+it(k, gid, i1, i2, x, xq, xh, xval, xlen) AS (
+  SELECT 0, gid, i1, i2, v, 0.0::DOUBLE, vh, vval, 0.0::DOUBLE FROM pn
+  UNION ALL
+  SELECT s.k + 1, p.gid, p.i1, p.i2, p.v / p.d * (p.d + s.s), {', '.join(step[n] for n in names)}
+  FROM pn p JOIN (SELECT k, t.gid, p.i1, p.i2, coalesce(sum(e.w * t.x), 0) AS s, coalesce(sum(e.w * t.xq), 0) AS sq, coalesce(sum(e.w * t.xh), 0) AS sh, coalesce(sum(e.w * t.xval), 0) AS sval, coalesce(sum(e.w * t.xlen + e.wlen * t.x), 0) AS slen
+    FROM it t JOIN pe e ON e.gid = t.gid AND e.j1 = t.i1 AND e.j2 = t.i2 JOIN pn p ON p.gid = e.gid AND p.i1 = e.i1 AND p.i2 = e.i2 WHERE k < {steps} GROUP BY ALL) s USING (gid, i1, i2))
+SELECT gid, round(sum(x), 4) AS k, round(sum(xq), 4) + 0.0 AS dq, round(sum(xh), 4) + 0.0 AS dh, round(sum(xval), 4) + 0.0 AS dval, round(sum(xlen), 4) + 0.0 AS dlen FROM it WHERE k = {steps} GROUP BY gid"""
+
+
+_GRADIENT_SQL = _gradient_sql()
+_LARGE_SQL = f"""WITH RECURSIVE n AS (SELECT CAST(label AS BIGINT) AS gid, CAST(row_number() OVER (PARTITION BY label ORDER BY vec_id) - 1 AS INTEGER) AS nid, CAST(embedding[1] AS DOUBLE) AS x, CAST(embedding[2] AS DOUBLE) AS y, CAST(embedding[3] AS DOUBLE) AS z, round(CAST(embedding[4] AS DOUBLE), 4) AS v FROM embeddings),
+e AS (SELECT a.gid, a.nid AS src, b.nid AS dst, sqrt(pow(a.x - b.x, 2) + pow(a.y - b.y, 2) + pow(a.z - b.z, 2)) AS l FROM n a JOIN n b ON a.gid = b.gid AND a.nid < b.nid),
+bw AS (SELECT gid, src, dst, round(l, 4) AS len FROM e WHERE l < 0.12 UNION ALL SELECT gid, dst, src, round(l, 4) FROM e WHERE l < 0.12),
+f AS (SELECT n.gid, n.nid, n.v, greatest(count(src), 1) AS d FROM n LEFT JOIN bw ON bw.gid = n.gid AND bw.src = n.nid GROUP BY ALL),
+pn AS (SELECT a.gid, a.nid AS i1, b.nid AS i2, exp(-pow(a.v - b.v, 2) / 0.5) AS v, a.d * b.d / 0.49 AS d FROM f a JOIN f b ON a.gid = b.gid),
+pe AS (SELECT a.gid, a.src AS i1, b.src AS i2, a.dst AS j1, b.dst AS j2, exp(-pow(a.len - b.len, 2) / 0.5) AS w FROM bw a JOIN bw b ON a.gid = b.gid),
+it(k, gid, i1, i2, x) AS (SELECT 0, gid, i1, i2, v FROM pn UNION ALL
+ SELECT p.k + 1, p.gid, p.i1, p.i2, p.v / p.d * (p.d + coalesce(s, 0)) FROM (SELECT DISTINCT it.k, pn.* FROM it JOIN pn USING (gid, i1, i2) WHERE k < 40) p
+ LEFT JOIN (SELECT e.gid, e.i1, e.i2, sum(e.w * t.x) AS s FROM it t JOIN pe e ON e.gid = t.gid AND e.j1 = t.i1 AND e.j2 = t.i2 GROUP BY ALL) s ON s.gid = p.gid AND s.i1 = p.i1 AND s.i2 = p.i2)
+SELECT gid, round(sum(x), 4) AS k FROM it WHERE k = 40 GROUP BY gid"""
 Query = Callable[[SparkSession, str], DataFrame]
 _T = "WITH " + USER_GRAPHS_SQL
 _BOTH = ", s AS (SELECT gid, src, dst, w FROM edges UNION ALL SELECT gid, dst, src, w FROM edges)"
@@ -470,16 +592,30 @@ REGISTRY: dict[str, tuple[Query, str | None]] = {
  e AS (SELECT a.gid, a.nid AS src, b.nid AS dst, sqrt(pow(a.x - b.x, 2) + pow(a.y - b.y, 2) + pow(a.z - b.z, 2)) AS l FROM p a JOIN p b ON a.gid = b.gid AND a.nid < b.nid)
  SELECT gid, src, dst, round(1 - l / 0.15, 5) AS w, round(l, 5) AS length FROM e WHERE l < 0.15"""),
     "place_tree": (place_tree, "SELECT 'r' || r_regionkey AS id, 0 AS level, 'r' || r_regionkey AS path FROM region UNION ALL SELECT 'n' || n_nationkey, 1, 'r' || n_regionkey || '/n' || n_nationkey FROM nation"),
-    "reordered_rcm": (reordered, None),
-    "reordered_tiles": (reordered_tiles, None),
-    "gpr_predict": (gpr_predict, None),
-    "nystrom_predict": (nystrom_predict, None),
+    "reordered_rcm": (_reordering("rcm"), f"{_T} SELECT gid, count(*) AS n, count(*) AS nodes, count(*) AS places, 0 AS first, CAST(count(*) - 1 AS INTEGER) AS last FROM nodes GROUP BY gid"),
+    "reordered_tiles": (_reordering("pbr"), f"{_T} SELECT gid, count(*) AS n, count(*) AS nodes, count(*) AS places, 0 AS first, CAST(count(*) - 1 AS INTEGER) AS last, false AS grown FROM nodes GROUP BY gid"),
+    "gpr_predict": (gpr_predict, _walk_sql(_UPPER, _GPR_SQL, 90)),
+    "nystrom_predict": (nystrom_predict, _walk_sql(_UPPER, _NYSTROM_SQL, 90)),
+    "graph_kernel_pcg": (graph_kernel_pcg, _walk_sql(_SAME, "SELECT g1 AS gid, round(sum(x), 6) AS k FROM x GROUP BY g1")),
+    "graph_kernel_large": (graph_kernel_large, _LARGE_SQL),
+    "graph_kernel_start": (graph_kernel_start, _walk_sql("a.gid + 1 = b.gid", "SELECT g1, g2, round(sum(x * a.val / 100 * b.val / 100), 6) AS k FROM x JOIN nodes a ON a.gid = g1 AND a.nid = i1 JOIN nodes b ON b.gid = g2 AND b.nid = i2 GROUP BY g1, g2")),
+    "graph_kernel_block": (graph_kernel_block, _walk_sql(_SAME, "SELECT g1 AS gid, i1 AS i, i2 AS j, round(x, 6) AS r FROM x")),
+    "maximin_hotspot": (maximin_hotspot, _walk_sql("a.gid = b.gid OR a.gid + 1 = b.gid", _OWN_SQL + """,
+ r AS (SELECT g1, g2, max(m) AS a FROM (SELECT g1, g2, i1, min(d) AS m FROM d GROUP BY ALL) GROUP BY ALL), c AS (SELECT g1, g2, max(m) AS b FROM (SELECT g1, g2, i2, min(d) AS m FROM d GROUP BY ALL) GROUP BY ALL),
+ h AS (SELECT d.g1, d.g2, max({'n1': i1, 'n2': i2}) AS s FROM d JOIN r USING (g1, g2) JOIN c USING (g1, g2) WHERE d = greatest(a, b) GROUP BY ALL) SELECT g1, g2, s.n1 AS n1, s.n2 AS n2 FROM h""", 80)),
+    "minimax_distance": (minimax_distance, _walk_sql(_UPPER, _OWN_SQL.replace("round(sqrt", "(sqrt(2) * sqrt").replace(", 7)", ")") + """,
+ r AS (SELECT g1, g2, max(m) AS a FROM (SELECT g1, g2, i1, min(d) AS m FROM d GROUP BY ALL) GROUP BY ALL), c AS (SELECT g1, g2, max(m) AS b FROM (SELECT g1, g2, i2, min(d) AS m FROM d GROUP BY ALL) GROUP BY ALL) SELECT g1, g2, round(greatest(a, b), 4) AS d FROM r JOIN c USING (g1, g2)""")),
+    "graph_edge_list": (graph_edge_list, _T + " SELECT e.gid, a.lab AS src, b.lab AS dst, w, len FROM edges e JOIN nodes a ON a.gid = e.gid AND a.nid = src JOIN nodes b ON b.gid = e.gid AND b.nid = dst"),
+    "periodic_graph": (periodic_graph, """WITH v AS (SELECT label AS gid, vec_id AS nid, CAST(embedding[1] AS DOUBLE) AS x, CAST(embedding[2] AS DOUBLE) AS y, CAST(embedding[3] AS DOUBLE) AS z FROM embeddings), p AS (SELECT gid, nid, x - floor(x) AS x, y - floor(y) AS y, z - floor(z) AS z FROM v),
+ s AS (SELECT unnest([-1, 0, 1]) AS s), e AS (SELECT a.gid, a.nid AS src, b.nid AS dst, min(sqrt(pow(a.x - b.x - i.s, 2) + pow(a.y - b.y - j.s, 2) + pow(a.z - b.z, 2))) AS length FROM p a JOIN p b ON a.gid = b.gid AND a.nid < b.nid JOIN s i ON true JOIN s j ON true GROUP BY ALL)
+ SELECT gid, src, dst, round(length, 5) AS length FROM e WHERE length < 0.15"""),
+    "rbf_vectors": (rbf_vectors, f"{_VECTORS_SQL} SELECT vec_id AS g1, vec_id + 1 AS g2, round(exp(-d * d / (2 * 1.5 * 1.5)) + 0.25 * d, 6) + 0.0 AS k FROM (SELECT vec_id, sqrt(list_sum(list_transform(x, lambda a, i: pow(CAST(a AS DOUBLE) - CAST(y[i] AS DOUBLE), 2)))) AS d FROM v)"),
     "hierarchical_select": (hierarchical_select, None),
     "determinant_select": (determinant_select, None),
     "nystrom_fit": (nystrom_fit, None),
     "gfr_fit_predict": (gfr_fit_predict, None),
     "outlier_sources": (outlier_sources, None),
-    "graph_kernel_gradient": (graph_kernel_gradient, None),
+    "graph_kernel_gradient": (graph_kernel_gradient, _GRADIENT_SQL),
     "maximin_gradient": (maximin_gradient, None),
     "sequence_rewrites": (sequence_rewrites, None),
     **model_queries.REGISTRY,

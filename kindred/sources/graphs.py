@@ -24,6 +24,14 @@ def from_keyed(nodes: DataFrame, edges: DataFrame, *, gid: str = "gid", key: str
     return numbered.select(F.col(gid).alias("gid"), "nid", *[c for c in nodes.columns if c not in (gid, key)], F.col(key).alias("key")), out
 
 
+def edge_list(nodes: DataFrame, edges: DataFrame, *, key: str = "key") -> DataFrame:
+    """The edges with a node feature in the place of the numbers of their ends, as other graph tools take them."""
+    for end in ("src", "dst"):
+        edges = edges.join(nodes.select("gid", F.col("nid").alias(end), F.col(key).alias(f"_{end}")), ["gid", end])
+    rest = [c for c in edges.columns if c not in ("gid", "src", "dst", "_src", "_dst")]
+    return edges.select("gid", F.col("_src").alias("src"), F.col("_dst").alias("dst"), *rest)
+
+
 def check_complete(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     """(gid, problem) for graphs with a missing feature, an edge to no node, or no edge; empty when all is well."""
     null = reduce_or([F.col(f"`{c}`").isNull() for c in nodes.columns])
