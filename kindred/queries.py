@@ -14,7 +14,7 @@ from .functions.adjacency import CompactBell, Gaussian, Tent
 from .functions.microkernel import Additive, Constant, Convolution, DotProduct, KroneckerDelta, MicroKernel, Normalize, RationalQuadratic, SquareExponential, TensorProduct
 from .operators import graph_ops as G
 from .operators import metrics as M
-from . import model_queries
+from . import model_queries, table_queries
 from .operators import fitting, models, sequences
 from .plans.kernel import GraphKernel, pack, walk_similarity
 from .sources.graphs import USER_GRAPHS_SQL, edge_list, from_keyed, radius_edges, user_graphs
@@ -619,6 +619,7 @@ REGISTRY: dict[str, tuple[Query, str | None]] = {
     "maximin_gradient": (maximin_gradient, None),
     "sequence_rewrites": (sequence_rewrites, None),
     **model_queries.REGISTRY,
+    **table_queries.REGISTRY,
 }
 
 QUERIES: dict[str, Query] = {k: q for k, (q, _) in REGISTRY.items()}
