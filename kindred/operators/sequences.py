@@ -90,43 +90,50 @@ def rewrites(rewriter: SequenceRewriter, seqs: DataFrame, seed: int = 0) -> Data
 class TreeSearch:
     """Monte Carlo tree search for a sequence whose predicted value meets a target.
 
-    ``rewrite`` proposes children, ``predict`` gives mean and deviation for a list of sequences. Values propagate upwards
-    as precision-weighted means; a child is chosen by closeness to the target plus an exploration term.
+    ``rewrite`` proposes children, ``predict`` gives mean and deviation for a list of sequences. A node with children has
+    their precision-weighted mean and spread; a child is chosen by the density of the target under its values, no
+    narrower than ``precision``, plus an exploration term. A sequence enters the tree once; nodes without new children
+    keep their own values.
     """
 
     def __init__(self, rewrite: Callable[[str], list[str]], predict: Callable[[list[str]], tuple[np.ndarray, np.ndarray]], exploration: float = 1.0, precision: float = 0.01):
         self.rewrite, self.predict, self.exploration, self.precision = rewrite, predict, exploration, precision
 
-    def seek(self, start: str, target: float, steps: int = 500) -> list[tuple[str, float, float]]:
-        """(sequence, mean, deviation), nearest to the target first."""
+    def seek(self, start: str, target: float, steps: int = 500) -> list[tuple[str, float, float, float]]:
+        """(sequence, mean, deviation, likelihood of the target), likeliest first; ties keep the order of discovery."""
         m, s = self.predict([start])
         nodes = [{"s": start, "up": None, "own": (m[0], s[0]), "m": m[0], "sd": s[0], "n": 1, "kids": []}]
         seen = {start}
         for _ in range(steps):
             i = 0
+            nodes[i]["n"] += 1
             while nodes[i]["kids"]:
                 i = max(nodes[i]["kids"], key=lambda k, i=i: self._score(nodes[k], nodes[i]["n"], target))
-            new = [x for x in self.rewrite(nodes[i]["s"]) if x not in seen]
+                nodes[i]["n"] += 1
+            new = list(dict.fromkeys(x for x in self.rewrite(nodes[i]["s"]) if x not in seen))
             if new:
                 means, devs = self.predict(new)
                 for x, a, b in zip(new, means, devs, strict=True):
                     seen.add(x)
                     nodes[i]["kids"].append(len(nodes))
                     nodes.append({"s": x, "up": i, "own": (a, b), "m": a, "sd": b, "n": 1, "kids": []})
-            up = i
+            up = i if new else nodes[i]["up"]
             while up is not None:
                 p = nodes[up]
-                parts = [p["own"], *((nodes[k]["m"], nodes[k]["sd"]) for k in p["kids"])]
-                w = np.array([1 / max(b, 1e-6) ** 2 for _, b in parts])
-                p["m"], p["sd"], p["n"] = float(w @ [a for a, _ in parts] / w.sum()), float(w.sum() ** -0.5), p["n"] + 1
+                m, sd = (np.array([nodes[k][c] for k in p["kids"]], float) for c in ("m", "sd"))
+                w = np.maximum(sd, 1e-6) ** -2  # a child without spread still has a finite weight
+                p["m"] = float(w @ m / w.sum())
+                p["sd"] = float((w @ (m - p["m"]) ** 2 / w.sum()) ** 0.5)
                 up = p["up"]
-            if any(abs(x["own"][0] - target) < self.precision for x in nodes[-max(1, len(new)) :]):
-                break
-        return sorted(((x["s"], float(x["own"][0]), float(x["own"][1])) for x in nodes), key=lambda x: abs(x[1] - target))
+        found = [(x["s"], float(x["own"][0]), float(x["own"][1]), self._likelihood(x, target)) for x in nodes]
+        return sorted(found, key=lambda x: -x[3])
+
+    def _likelihood(self, node: dict, target: float) -> float:
+        sd = max(node["sd"], self.precision)
+        return math.exp(-0.5 * ((target - node["m"]) / sd) ** 2) / (sd * math.sqrt(2 * math.pi))
 
-    def _score(self, c: dict, visits: int, target: float) -> float:
-        sd = max(c["sd"], 1e-6)
-        return math.exp(-0.5 * ((target - c["m"]) / sd) ** 2) / (sd * math.sqrt(2 * math.pi)) + self.exploration * math.sqrt(math.log(visits + 1) / c["n"])
+    def _score(self, child: dict, visits: int, target: float) -> float:
+        return self._likelihood(child, target) + self.exploration * math.sqrt(math.log(visits) / child["n"])
 
 
 def flatten_tree(tree: DataFrame) -> DataFrame:

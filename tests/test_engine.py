@@ -216,6 +216,13 @@ def test_sequences(spark):
     assert 0 < len(rw("ABC")) <= 3 and "ABC" not in rw("ABC")
     found = sequences.TreeSearch(rw, lambda s: (np.array([len(x) for x in s], float), np.full(len(s), 0.5))).seek("ABC", 6.0, 60)
     assert abs(found[0][1] - 6) < 2
+    kids = {"a": ["b", "c", "b"], "b": ["d"]}
+    value = {"a": (9.0, 1.0), "b": (1.0, 0.5), "c": (4.0, 1.0), "d": (2.0, 2.0)}
+    found = sequences.TreeSearch(lambda x: kids.get(x, []), lambda xs: np.array([value[x] for x in xs]).T).seek("a", 1.6, 1)
+    density = lambda m, sd: np.exp(-0.5 * ((1.6 - m) / sd) ** 2) / (sd * np.sqrt(2 * np.pi))
+    mean = (4 * 1 + 1 * 4) / 5  # of the children alone, by precision
+    assert [x[0] for x in found] == ["b", "a", "c"] and np.isclose(found[1][3], density(mean, np.sqrt((4 * (1 - mean) ** 2 + (4 - mean) ** 2) / 5)))
+    assert {x[0] for x in sequences.TreeSearch(lambda x: kids.get(x, []), lambda xs: np.array([value[x] for x in xs]).T).seek("a", 1.6, 9)} == set("abcd")
     tree = sequences.flatten_tree(spark.createDataFrame([(1, None), (2, 1), (3, 2), (4, 1)], "id int, parent int")).collect()
     assert {r.id: r.level for r in tree} == {1: 0, 2: 1, 3: 2, 4: 1}
 
