@@ -35,6 +35,22 @@ def test_stages_on_a_small_corpus(spark, tmp_path):
     assert P.run(spark, d).agg(F.sum("length")).first() == spark.read.parquet(f"{d}/best_fit_packing").agg(F.sum("length")).first()
 
 
+def test_near_duplicate_stage_leaves_most_texts_in_place(spark, tmp_path):
+    r = random.Random(2)
+    docs = [(i, " ".join(f"{r.getrandbits(60):x}" for _ in range(200))) for i in range(500)]
+    docs += [(600 + i, docs[i][1] + " end") for i in range(20)] + [docs[7], (None, docs[8][1]), (None, docs[9][1]), (8, "two of one id")]
+    spark.createDataFrame(docs, "doc_id long, text string").repartition(4).write.parquet(f"{tmp_path}/docs")
+    out = P.near_duplicate_stage(spark, spark.read.parquet(f"{tmp_path}/docs"), str(tmp_path))
+    spark.sparkContext.setJobGroup("stage", "stage")
+    out.write.parquet(f"{tmp_path}/out")
+    store = spark.sparkContext._jsc.sc().statusStore()
+    stages = {s for j in spark.sparkContext.statusTracker().getJobIdsForGroup("stage") for s in spark.sparkContext.statusTracker().getJobInfo(j).stageIds}
+    shuffled = sum(store.lastStageAttempt(s).shuffleWriteBytes() for s in stages)
+    got = sorted(((x.doc_id, x.text) for x in spark.read.parquet(f"{tmp_path}/out").collect()), key=str)
+    assert got == sorted([*docs[:500], *docs[-3:]], key=str)
+    assert shuffled < 0.4 * sum(len(t) for _, t in docs)
+
+
 def test_queries_are_registered():
     import __spark_entry__ as entry
 
