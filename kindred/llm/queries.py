@@ -6,12 +6,14 @@ import re
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from . import licenses
 from .common import fold5
 from .decontamination import find_leaks
 from .html_text import extract_main_text
 from .language import identify_language
+from .negatives import mine_hard_negatives
 from .ngram_join import ngram_jaccard_join
 from .packing import byte_bpe, pack
 from .quality import quality_rules
@@ -98,6 +100,12 @@ def op10_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
     return extract_main_text(_table(spark, sf_dir, "pages").select("page_id", "url", "html")).select("page_id", "url", "text", "n_chars")
 
 
+def op13_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = _table(spark, sf_dir, "embeddings").select("vec_id", "embedding", "label")
+    moved = rows.withColumn("label", F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label")))
+    return mine_hard_negatives(moved, F.col("vec_id") % 100 == 0)
+
+
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     import corpus_pipeline
 
@@ -115,6 +123,7 @@ QUERIES: dict[str, Query] = {
     "op8_quality_rules": op8_quality_rules,
     "op9_ngram_jaccard_join": op9_ngram_jaccard_join,
     "op10_html_extraction": op10_html_extraction,
+    "op13_hard_negatives": op13_hard_negatives,
     "pipeline": pipeline,
 }
 
@@ -146,5 +155,16 @@ SELECT d.doc_id, coalesce(any_value(n), 0) AS n_shingles, min(y) AS component_id
 FROM (SELECT DISTINCT doc_id FROM documents) d JOIN reach ON reach.x = d.doc_id LEFT JOIN size ON size.doc_id = d.doc_id
   LEFT JOIN (SELECT x, count(*) AS l FROM edge GROUP BY x) own ON own.x = d.doc_id GROUP BY d.doc_id"""
 
+_OP13_SQL = """
+WITH v AS (
+  SELECT vec_id, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label, list_transform(embedding, lambda x: CAST(floor(256 * CAST(x AS DOUBLE)) AS BIGINT)) AS q
+  FROM embeddings WHERE label IS NOT NULL AND embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+s AS (
+  SELECT a.vec_id AS anchor_id, b.vec_id, a.label = b.label AS same, CAST(list_sum(list_transform(range(1, len(a.q) + 1), lambda i: a.q[i] * b.q[i])) AS BIGINT) AS score
+  FROM v a JOIN v b ON a.vec_id <> b.vec_id WHERE a.vec_id % 100 = 0),
+p AS (SELECT anchor_id, vec_id AS positive_id, score AS positive_score FROM s WHERE same QUALIFY row_number() OVER (PARTITION BY anchor_id ORDER BY score DESC, vec_id) <= 5)
+SELECT anchor_id, positive_id, CAST(row_number() OVER (PARTITION BY anchor_id, positive_id ORDER BY score DESC, vec_id) AS INTEGER) AS rank, vec_id AS negative_id, positive_score, score AS negative_score
+FROM p JOIN s USING (anchor_id) WHERE NOT same AND 30 * positive_score <= 100 * score AND 100 * score <= 90 * positive_score QUALIFY rank <= 10"""
+
 #: DuckDB SQL for those of the queries that SQL can express.
-ORACLES: dict[str, str] = {"op5_url_filter": _op5_sql(), "op6_license_scan": _op6_sql(), "op9_ngram_jaccard_join": _OP9_SQL}
+ORACLES: dict[str, str] = {"op5_url_filter": _op5_sql(), "op6_license_scan": _op6_sql(), "op9_ngram_jaccard_join": _OP9_SQL, "op13_hard_negatives": _OP13_SQL}
