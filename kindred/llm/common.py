@@ -202,12 +202,12 @@ LOWER = np.arange(256, dtype=np.uint8)
 LOWER[65:91] += 32
 
 
-def words(data: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(start, end, row) of each maximal run of bytes other than space and \\t..\\r; runs never cross rows."""
+def words(data: np.ndarray, offs: np.ndarray, gaps: np.ndarray = _SPACE) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(start, end, row) of each maximal run of bytes other than space and \\t..\\r (or ``gaps``); runs never cross rows."""
     if not len(data):
         z = np.zeros(0, np.int64)
         return z, z, z
-    ink = ~_SPACE[data]
+    ink = ~gaps[data]
     first, last = ink.copy(), ink.copy()
     first[1:] &= ~ink[:-1]
     last[:-1] &= ~ink[1:]

@@ -13,10 +13,12 @@ from .common import fold5
 from .decontamination import find_leaks
 from .html_text import extract_main_text
 from .language import identify_language
+from .lexical import search
 from .negatives import mine_hard_negatives
 from .ngram_join import ngram_jaccard_join
 from .packing import byte_bpe, pack
 from .quality import quality_rules
+from .sharding import kd_shards
 from .suffix_dedup import suffix_dedup
 from .toxicity import score_toxicity
 from .url_filter import Rule, filter_urls
@@ -100,6 +102,15 @@ def op10_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
     return extract_main_text(_table(spark, sf_dir, "pages").select("page_id", "url", "html")).select("page_id", "url", "text", "n_chars")
 
 
+def op11_kd_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents").select("doc_id", "text", "source", "lang")
+    return kd_shards(docs, shards=8, dims=["source", "lang", "doc_id"]).select("doc_id", "size", "text_crc32", "law", "shard", "slot", "grown_shard")
+
+
+def op12_ranked_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return search(_table(spark, sf_dir, "documents").select("doc_id", "text"), _table(spark, sf_dir, "benchmark").select("item_id", "text"))
+
+
 def op13_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = _table(spark, sf_dir, "embeddings").select("vec_id", "embedding", "label")
     moved = rows.withColumn("label", F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label")))
@@ -123,6 +134,8 @@ QUERIES: dict[str, Query] = {
     "op8_quality_rules": op8_quality_rules,
     "op9_ngram_jaccard_join": op9_ngram_jaccard_join,
     "op10_html_extraction": op10_html_extraction,
+    "op11_kd_sharding": op11_kd_sharding,
+    "op12_ranked_search": op12_ranked_search,
     "op13_hard_negatives": op13_hard_negatives,
     "pipeline": pipeline,
 }
@@ -155,6 +168,18 @@ SELECT d.doc_id, coalesce(any_value(n), 0) AS n_shingles, min(y) AS component_id
 FROM (SELECT DISTINCT doc_id FROM documents) d JOIN reach ON reach.x = d.doc_id LEFT JOIN size ON size.doc_id = d.doc_id
   LEFT JOIN (SELECT x, count(*) AS l FROM edge GROUP BY x) own ON own.x = d.doc_id GROUP BY d.doc_id"""
 
+_OP12_SQL = r"""
+WITH d AS (SELECT row_number() OVER () AS r, doc_id, regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+') AS t FROM documents),
+own AS (SELECT r, doc_id, len(t) AS n FROM d WHERE len(t) > 0),
+total AS (SELECT CAST(count(*) AS BIGINT) AS n_docs, CAST(sum(n) AS BIGINT) AS n_terms FROM own),
+tf AS (SELECT r, term, CAST(count(*) AS BIGINT) AS tf FROM (SELECT r, unnest(t) AS term FROM d) GROUP BY ALL),
+item AS (SELECT DISTINCT item_id, unnest(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')) AS term FROM benchmark),
+weight AS (SELECT term, CAST(floor(1000 * ln((2 * n_docs + 2)::DOUBLE / (2 * df + 1)::DOUBLE)) AS BIGINT) AS w FROM (SELECT term, count(*) AS df FROM tf GROUP BY term), total),
+scored AS (
+  SELECT item_id, doc_id, r, CAST(sum(w * ((1000000000 * tf) // (1000 * tf + 20 * (100 - 50 + (50 * n * n_docs) // n_terms)))) AS BIGINT) AS score
+  FROM item JOIN tf USING (term) JOIN weight USING (term) JOIN own USING (r), total GROUP BY item_id, doc_id, r)
+SELECT item_id, CAST(row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id) AS INTEGER) AS rank, doc_id, score FROM scored WHERE score > 0 QUALIFY rank <= 50"""
+
 _OP13_SQL = """
 WITH v AS (
   SELECT vec_id, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label, list_transform(embedding, lambda x: CAST(floor(256 * CAST(x AS DOUBLE)) AS BIGINT)) AS q
@@ -167,4 +192,4 @@ SELECT anchor_id, positive_id, CAST(row_number() OVER (PARTITION BY anchor_id, p
 FROM p JOIN s USING (anchor_id) WHERE NOT same AND 30 * positive_score <= 100 * score AND 100 * score <= 90 * positive_score QUALIFY rank <= 10"""
 
 #: DuckDB SQL for those of the queries that SQL can express.
-ORACLES: dict[str, str] = {"op5_url_filter": _op5_sql(), "op6_license_scan": _op6_sql(), "op9_ngram_jaccard_join": _OP9_SQL, "op13_hard_negatives": _OP13_SQL}
+ORACLES: dict[str, str] = {"op5_url_filter": _op5_sql(), "op6_license_scan": _op6_sql(), "op9_ngram_jaccard_join": _OP9_SQL, "op12_ranked_search": _OP12_SQL, "op13_hard_negatives": _OP13_SQL}
