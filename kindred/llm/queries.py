@@ -104,7 +104,7 @@ def op10_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op11_kd_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _table(spark, sf_dir, "documents").select("doc_id", "text", "source", "lang")
-    return kd_shards(docs, shards=8, dims=["source", "lang", "doc_id"]).select("doc_id", "size", "text_crc32", "law", "shard", "slot", "grown_shard")
+    return kd_shards(docs, shards=8, dims=["source", "lang", "doc_id"], columns=["doc_id"]).select("doc_id", "size", "text_crc32", "law", "shard", "slot", "grown_shard")
 
 
 def op12_ranked_search(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -33,8 +33,8 @@ NUMBERED = 1 << 20
 OUT = ("size", "text_crc32", "law", "shard", "slot", "grown_shard")
 
 
-def kd_shards(docs: DataFrame, *, shards: int | None = None, target_bytes: int | None = None, dims: Sequence[str] = (), doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """The rows of ``docs`` with size, text_crc32, law, shard, slot and grown_shard.
+def kd_shards(docs: DataFrame, *, shards: int | None = None, target_bytes: int | None = None, dims: Sequence[str] = (), columns: Sequence[str] | None = None, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
+    """The rows of ``docs``, all columns or those named, with size, text_crc32, law, shard, slot and grown_shard.
 
     A row's size is its text's UTF-8 bytes and 1. ``shards`` is the number of shards, or follows from ``target_bytes``. The
     tree's dimensions are ``dims`` (numbers by value, all else by a hash of its text; null, NaN and infinite values stand
@@ -49,7 +49,7 @@ def kd_shards(docs: DataFrame, *, shards: int | None = None, target_bytes: int |
     if (shards is None) == (target_bytes is None) or (shards if target_bytes is None else target_bytes) < 1:
         raise ValueError("give a positive number of shards or of target bytes")
     kinds = dict(docs.dtypes)
-    own = without(docs, OUT).columns
+    own = [c for c in without(docs, OUT).columns if columns is None or c in columns]
     n, crc, h, *place = apart([*own, *OUT], "_n", "_crc", "_h", *[f"_v{i}" for i in range(len(dims) + 1)])
     size = F.octet_length(text_col(text)).cast("long") + 1
 
@@ -94,7 +94,7 @@ def kd_shards(docs: DataFrame, *, shards: int | None = None, target_bytes: int |
     dealt = dealt.withColumn(bucket, F.pmod(F.xxhash64(n), F.lit(buckets)))
     count = dealt.groupBy("shard", bucket).agg(F.count("*").alias(nth))
     first = count.select("shard", bucket, F.coalesce(F.sum(nth).over(Window.partitionBy("shard").orderBy(bucket).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias(before))
-    numbered = dealt.withColumn(nth, F.row_number().over(Window.partitionBy("shard", bucket).orderBy(F.col(f"`{doc_id}`"), n)))
+    numbered = dealt.withColumn(nth, F.row_number().over(Window.partitionBy("shard", bucket).orderBy(*[F.col(f"`{c}`") for c in own if c == doc_id], n)))
     out = numbered.join(first, ["shard", bucket])
     made = {"law": F.lit("bytes"), "slot": F.col(before) + F.col(nth) - 1, "grown_shard": F.lit(None).cast("int")}
     return out.select(*[F.col(f"`{c}`") for c in own], *[made[c].alias(c) if c in made else F.col(c) for c in OUT])

@@ -104,6 +104,8 @@ def test_shard_edges_and_files(spark, tmp_path):
     sharding.write_shards(stash(got), f"{tmp_path}/out")
     back = spark.read.parquet(f"{tmp_path}/out").collect()
     assert sorted((x.doc_id, x.shard, x.slot) for x in back) == sorted((x.doc_id, x.shard, x.slot) for x in got.collect())
+    some = sharding.kd_shards(spark.createDataFrame(rows, "doc_id long, text string, shard int, _n string"), shards=4, columns=["_n"])
+    assert some.columns == ["_n", *sharding.OUT] and some.count() == 200
     with pytest.raises(ValueError):
         sharding.kd_shards(got, shards=0)
 
