@@ -157,18 +157,25 @@ class KroneckerDelta(MicroKernel):
         return (min(self.h, 1.0), max(self.h, 1.0))
 
     def column(self, x, y):
-        nan = F.coalesce(F.isnan(x.try_cast("double")), F.lit(False)) & (F.lower(x.cast("string")) == "nan")
-        return F.when(x.eqNullSafe(y) & ~nan, 1.0).otherwise(self.h)
+        nan = F.typeof(x).isin("float", "double") & (x.cast("string") == "NaN")  # the text is a label like others
+        return F.when(x.eqNullSafe(y) & ~F.coalesce(nan, F.lit(False)), 1.0).otherwise(self.h)
 
     def sql(self, x, y):
-        return f"(CASE WHEN {x} IS NOT DISTINCT FROM {y} AND lower(coalesce(CAST({x} AS VARCHAR), '')) <> 'nan' THEN 1.0 ELSE {self.h!r} END)"
+        return f"(CASE WHEN {x} IS NOT DISTINCT FROM {y} AND NOT (typeof({x}) IN ('FLOAT', 'DOUBLE') AND lower(coalesce(CAST({x} AS VARCHAR), '')) = 'nan') THEN 1.0 ELSE {self.h!r} END)"
+
+    def values(self, x, y):
+        return np.where(_equal(x, y), 1.0, self.h)
 
     def values_and_partials(self, x, y):
-        a, b = np.asarray(x), np.asarray(y)
-        same = np.asarray(a[:, None] == b[None], bool)
+        same = _equal(x, y)
         return np.where(same, 1.0, self.h), [np.where(same, 0.0, 1.0)]
 
 
+def _equal(x, y) -> np.ndarray:
+    a, b = np.asarray(x), np.asarray(y)
+    return np.asarray(a[:, None] == b[None], bool)
+
+
 class Formula(MicroKernel):
     def __init__(self, expr: Node, hyper: Mapping, names=("x", "y"), minmax=(0.0, 1.0)):
         super().__init__(own=hyper)
@@ -189,6 +196,10 @@ class Formula(MicroKernel):
     def sql(self, x, y):
         return self.expr.sql(self._env(f"CAST({x} AS DOUBLE)", f"CAST({y} AS DOUBLE)"))
 
+    def values(self, x, y):
+        with np.errstate(all="ignore"):
+            return np.broadcast_to(self.expr.numpy(self._env(np.asarray(x, float)[:, None], np.asarray(y, float)[None])), (_size(x), _size(y)))
+
     def values_and_partials(self, x, y):
         env = self._env(np.asarray(x, float)[:, None], np.asarray(y, float)[None])
         shape = (_size(x), _size(y))
@@ -212,7 +223,7 @@ class Product(Formula):
 
 
 class DotProduct(MicroKernel):
-    """Inner product of two arrays of one length; 0 for empty ones."""
+    """Inner product of two arrays; 0 for empty ones. Components that only one of them has count as null, so the value is null (NaN)."""
 
     @property
     def minmax(self):
@@ -226,7 +237,12 @@ class DotProduct(MicroKernel):
         return f"coalesce(list_sum(list_transform(list_zip({x}, {y}), lambda p: CAST(p[1] AS DOUBLE) * CAST(p[2] AS DOUBLE))), 0)"
 
     def values_and_partials(self, x, y):
-        return np.stack([np.asarray(a, float) for a in x]) @ np.stack([np.asarray(b, float) for b in y]).T, []
+        sx, sy = np.array([len(a) for a in x], int), np.array([len(b) for b in y], int)
+        a, b = np.zeros((len(x), max(sx.max(initial=0), sy.max(initial=0)))), np.zeros((len(y), max(sx.max(initial=0), sy.max(initial=0))))
+        for m, z in ((a, x), (b, y)):
+            for i, row in enumerate(z):
+                m[i, : len(row)] = row
+        return np.where(sx[:, None] == sy[None], a @ b.T, np.nan), []
 
 
 class Convolution(MicroKernel):
@@ -287,6 +303,9 @@ class Composite(MicroKernel):
         get = lambda r, n: r[n] if isinstance(r, Mapping) else f"{r}.{n}"
         return "(" + f" {self.op} ".join(k.sql(get(x, n), get(y, n)) for n, k in zip(self.names, self.parts, strict=True)) + ")"
 
+    def values(self, x, y):
+        return reduce(np.add if self.op == "+" else np.multiply, [k.values(x[n], y[n]) for n, k in zip(self.names, self.parts, strict=True)])
+
     def values_and_partials(self, x, y):
         return _folded(self.op, [k.values_and_partials(x[n], y[n]) for n, k in zip(self.names, self.parts, strict=True)])
 
@@ -333,6 +352,9 @@ class _Fold(MicroKernel):
     def sql(self, x, y):
         return f"({self.parts[0].sql(x, y)} {self.op} {self.parts[1].sql(x, y)})"
 
+    def values(self, x, y):
+        return (np.add if self.op == "+" else np.multiply)(*[p.values(x, y) for p in self.parts])
+
     def values_and_partials(self, x, y):
         return _folded(self.op, [p.values_and_partials(x, y) for p in self.parts])
 
@@ -389,9 +411,10 @@ class Normalize(MicroKernel):
         v, g = k.values_and_partials(x, y)
 
         def diagonal(z):
-            pick = lambda r, i: {n: [c[i]] for n, c in r.items()} if isinstance(r, Mapping) else [r[i]]
-            got = [k.values_and_partials(pick(z, i), pick(z, i)) for i in range(_size(z))]
-            return np.array([a[0, 0] for a, _ in got]), np.array([[p[0, 0] for p in b] for _, b in got]).reshape(len(got), len(g))
+            cut = lambda r, i: {n: c[i : i + 32] for n, c in r.items()} if isinstance(r, Mapping) else r[i : i + 32]
+            got = [k.values_and_partials(cut(z, i), cut(z, i)) for i in range(0, _size(z), 32)]  # blocks along the diagonal
+            pick = lambda ms: np.concatenate([np.diagonal(m) for m in ms]) if got else np.zeros(0)
+            return pick([a for a, _ in got]), np.stack([pick([b[i] for _, b in got]) for i in range(len(g))], 1) if g else np.zeros((_size(z), 0))
 
         (a, ga), (b, gb) = diagonal(x), diagonal(y)
         ok = (a[:, None] > 0) & (b[None] > 0)
@@ -405,7 +428,7 @@ class Normalize(MicroKernel):
 def check_range(kernel: MicroKernel, what: str, *, open_below: bool) -> None:
     """Warn when values may leave (0, 1] (nodes) or [0, 1] (edges), outside of which the walk series may diverge."""
     lo, hi = kernel.minmax
-    if lo is None or hi > 1 + 1e-9 or lo < 0 or (open_below and lo < 0):
+    if lo is None or hi > 1 + 1e-9 or lo < 0 or (open_below and lo <= 0):
         warnings.warn(f"the {what} kernel may leave its range: {lo} to {hi}", stacklevel=3)
 
 

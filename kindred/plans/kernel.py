@@ -2,8 +2,9 @@
 
 Graphs are packed to one row of parallel arrays. All-pairs results deal graphs into blocks, so each pair of blocks is
 one group of bounded size and a graph is copied once per block it meets rather than once per graph; explicit pair lists
-are two equi-joins. A group's pairs are solved in numpy: densely for small products of graphs, by preconditioned
-conjugate gradients without forming the matrix for large ones, or by the walk iteration. The walk iteration also exists
+are joined and dealt by their first graph. A group's pairs are solved in numpy, stacked into arrays (``batch``): directly
+for small products of graphs, by preconditioned conjugate gradients without forming the matrix for large ones. One pair
+alone is solved densely, by conjugate gradients or by the walk iteration. The walk iteration also exists
 as joins and sums over tables (:func:`walk_similarity`), which is how a pair too large for a task is solved.
 
 With D(i) = d(i1) d(i2) / (1 - q)^2, node similarity v and edge similarity e, the solution x of
@@ -22,6 +23,7 @@ from pyspark.sql import functions as F
 
 from ..functions.microkernel import Constant, MicroKernel, check_range
 from ..operators.graph_ops import degree, symmetrized
+from .batch import solved
 from .checkpoint import checkpointed
 
 #: Products of more node pairs than this are solved without forming the matrix.
@@ -54,6 +56,7 @@ class Packed:
     w: np.ndarray
     edges: dict
     d: np.ndarray
+    once: int  # undirected edges; the others repeat them in the other direction
 
     @classmethod
     def of(cls, r) -> Packed:
@@ -63,7 +66,10 @@ class Packed:
         src, dst, w = np.r_[s, t[s != t]], np.r_[t, s[s != t]], w[both]
         d = np.bincount(src, w, int(r["n"]))
         feature = lambda v: np.asarray(v) if v is not None else np.zeros(0)
-        return cls(r["gid"], int(r["n"]), get("p", float), {c[2:]: feature(r[c]) for c in r.index if c.startswith("n_")}, src, dst, w, {c[2:]: feature(r[c])[both] if r[c] is not None else np.zeros(0) for c in r.index if c.startswith("e_")}, np.where(d == 0, 1.0, d))
+        out = cls(r["gid"], int(r["n"]), get("p", float), {c[2:]: feature(r[c]) for c in r.index if c.startswith("n_")}, src, dst, w, {c[2:]: feature(r[c])[both] if r[c] is not None else np.zeros(0) for c in r.index if c.startswith("e_")}, np.where(d == 0, 1.0, d), len(s))
+        if "own" in r.index:  # what a metric needs of the graph alone
+            out.own = np.asarray(r["own"], float)
+        return out
 
 
 @dataclass(frozen=True)
@@ -100,9 +106,10 @@ class GraphKernel:
 
     # ------------------------------------------------------------------ one pair
     def _parts(self, a: Packed, b: Packed, grad: bool = False):
-        v, gv = self.node.values_and_partials(a.nodes or np.zeros(a.n), b.nodes or np.zeros(b.n))
+        of = lambda k, x, y: k.values_and_partials(x, y) if grad else (k.values(x, y), [])
+        v, gv = of(self.node, a.nodes or np.zeros(a.n), b.nodes or np.zeros(b.n))
         if len(a.src) and len(b.src):
-            e, ge = self.edge.values_and_partials(a.edges or np.zeros(len(a.src)), b.edges or np.zeros(len(b.src)))
+            e, ge = of(self.edge, a.edges or np.zeros(len(a.src)), b.edges or np.zeros(len(b.src)))
         else:
             e, ge = np.zeros((len(a.src), len(b.src))), [np.zeros((len(a.src), len(b.src)))] * len(self.edge.theta)
         ww = np.outer(a.w, b.w)
@@ -121,7 +128,7 @@ class GraphKernel:
         n = len(v)
         how = self.solver if self.solver != "auto" else ("dense" if n <= DENSE else "pcg")
         if how == "dense":
-            m = np.bincount(rows * n + cols, -w, n * n).reshape(n, n)
+            m = np.bincount(rows * n + cols, -w, n * n).reshape(n, n).astype(float)  # without edges the sums are whole numbers
             m[np.arange(n), np.arange(n)] += d / v
             return np.linalg.solve(m, rhs)
         times = lambda x: np.bincount(rows, w * x[cols], n)
@@ -180,21 +187,25 @@ class GraphKernel:
     def pairs(self, x: DataFrame, y: DataFrame | None = None, *, gradient: bool = False, block: int = 64) -> DataFrame:
         """(g1, g2, k[, dk]) for packed graphs: g1 <= g2 within one table, or every pair across two."""
         fields = "k double" + ", dk array<double>" * gradient
+        return block_pairs(x, y, lambda a, bs: [[t] for t in self.many(a, bs, gradient)], fields, block)
 
-        def result(a: Packed, b: Packed) -> list[tuple]:
-            if gradient:
-                k, g = self.gradient(a, b)
-                return [(k, g.tolist())]
-            return [(self.similarity(a, b),)]
+    def many(self, a: Packed, bs: list[Packed], gradient: bool = False) -> list[tuple]:
+        """(k[, dk]) of one graph with each of ``bs``, solved together unless a solver is asked for."""
+        if self.solver != "auto":
+            return [(lambda k, g: (k, g.tolist()))(*self.gradient(a, b)) if gradient else (self.similarity(a, b),) for b in bs]
+        got = solved(self, a, bs, gradient)
+        return [(float(a.p @ x @ b.p), *([g.tolist()] if gradient else [])) for b, (x, _, g) in zip(bs, got, strict=True)]
 
-        return block_pairs(x, y, result, fields, block)
+    def solutions(self, a: Packed, bs: list[Packed]) -> list[np.ndarray]:
+        """Nodal similarities of one graph with each of ``bs``."""
+        x = [x for x, _, _ in solved(self, a, bs)] if self.solver == "auto" else [self.solve(a, b) for b in bs]
+        return [s * np.outer(a.p, b.p) for s, b in zip(x, bs, strict=True)]
 
     def nodal(self, x: DataFrame, y: DataFrame | None = None, *, block: int = 32) -> DataFrame:
         """(g1, g2, n1, n2, r) node by node."""
 
-        def result(a: Packed, b: Packed) -> list[tuple]:
-            r = self.solve(a, b) * np.outer(a.p, b.p)
-            return [(i, j, float(r[i, j])) for i in range(a.n) for j in range(b.n)]
+        def result(a: Packed, bs: list[Packed]) -> list[list[tuple]]:
+            return [[(i, j, float(r[i, j])) for i in range(a.n) for j in range(b.n)] for b, r in zip(bs, self.solutions(a, bs), strict=True)]
 
         return block_pairs(x, y, result, "n1 int, n2 int, r double", block)
 
@@ -218,10 +229,10 @@ class GraphKernel:
 
         def own(a: Packed) -> tuple[np.ndarray, np.ndarray]:
             """Each node with itself; kept with the graph, which lives as long as its group."""
-            if not hasattr(a, "own"):
+            if not hasattr(a, "with_itself"):
                 r, g = self.nodal_gradient(a, a)
-                a.own = np.diag(r), np.diagonal(g, axis1=1, axis2=2)
-            return a.own
+                a.with_itself = np.diag(r), np.diagonal(g, axis1=1, axis2=2)
+            return a.with_itself
 
         def result(a: Packed, b: Packed) -> list[tuple]:
             r, g = self.nodal_gradient(a, b)
@@ -234,20 +245,11 @@ class GraphKernel:
             slope = -0.5 / far * dn * scale if far > 0 else np.zeros(len(dn))
             return [(float(far * scale), i, j, slope.tolist())]
 
-        return block_pairs(x, y, result, "d double, n1 int, n2 int, dd array<double>", block)
+        return block_pairs(x, y, lambda a, bs: [result(a, b) for b in bs], "d double, n1 int, n2 int, dd array<double>", block)
 
     def listed(self, x: DataFrame, pairs: DataFrame) -> DataFrame:
         """(g1, g2, k) for the given pairs of ids."""
-        side = lambda k: x.select(F.col("gid").alias(f"g{k}"), F.struct("*").alias(f"_{k}"))
-        both = pairs.select("g1", "g2").join(side(1), "g1").join(side(2), "g2")
-        kind = dict(x.dtypes)["gid"]
-
-        def rows(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-            for b in batches:
-                a1, a2 = ([Packed.of(pd.Series(dict(r) if not hasattr(r, "asDict") else r.asDict())) for r in _records(b[c])] for c in ("_1", "_2"))
-                yield pd.DataFrame({"g1": b["g1"], "g2": b["g2"], "k": [self.similarity(p, q) for p, q in zip(a1, a2, strict=True)]})
-
-        return both.mapInPandas(rows, f"g1 {kind}, g2 {kind}, k double")
+        return listed_pairs(x, pairs, lambda a, bs: self.many(a, bs), "k double")
 
     def _each(self, x: DataFrame, result: Callable, fields: str) -> DataFrame:
         names = [f.split()[0] for f in fields.split(", ")]
@@ -261,14 +263,39 @@ class GraphKernel:
         return x.mapInPandas(rows, f"gid {kind}, {fields}")
 
 
-def _records(col: pd.Series | pd.DataFrame) -> list[dict]:
-    return col.to_dict("records") if isinstance(col, pd.DataFrame) else list(col)
+#: Most tasks that blocks of pairs are dealt to.
+TASKS = 20_000
+#: Pairs of one graph that are solved together, on average.
+TOGETHER = 128
+
+
+def listed_pairs(x: DataFrame, pairs: DataFrame, result: Callable, fields: str) -> DataFrame:
+    """(g1, g2, fields) with ``result(a, bs)``, a row for each of bs, for the given pairs of ids.
+
+    A graph's pairs are dealt into groups of about TOGETHER; it is sent once to each of them.
+    """
+    names = [f.split()[0] for f in fields.split(", ")]
+    kind = dict(x.dtypes)["gid"]
+    size = pairs.groupBy("g1").agg(F.ceil(F.count("*") / TOGETHER).cast("int").alias("_n"))
+    dealt = pairs.select("g1", "g2").join(size, "g1").withColumn("_c", F.pmod(F.xxhash64("g2"), F.col("_n")).cast("int"))
+    left = dealt.select("g1", "_c").distinct().join(x.withColumn("g1", F.col("gid")), "g1")
+    right = dealt.select("g1", "_c", "g2").join(x.withColumn("g2", F.col("gid")), "g2")
+
+    def solve(key: tuple, one: pd.DataFrame, many: pd.DataFrame) -> pd.DataFrame:
+        if not len(one) or not len(many):
+            return pd.DataFrame({c: [] for c in ("g1", "g2", *names)})
+        a, bs = Packed.of(one.iloc[0]), [Packed.of(r) for _, r in many.iterrows()]
+        return pd.DataFrame([(a.gid, b.gid, *t) for b, t in zip(bs, result(a, bs), strict=True)], columns=["g1", "g2", *names])
+
+    right = right.select([F.col(c).alias(c) for c in right.columns])  # columns of its own, apart from those of the left
+    return left.groupBy("g1", "_c").cogroup(right.groupBy("g1", "_c")).applyInPandas(solve, f"g1 {kind}, g2 {kind}, {fields}")
 
 
 def block_pairs(x: DataFrame, y: DataFrame | None, result: Callable, fields: str, block: int) -> DataFrame:
-    """Apply ``result`` to pairs of packed graphs, ``block`` graphs of each side to a group.
+    """Apply ``result(graph, graphs)``, a list of rows for each pair, to packed graphs, ``block`` of each side to a group.
 
-    The number of blocks follows from a count of the graphs; a graph is sent to as many groups as there are blocks.
+    The number of blocks follows from a count of the graphs; a graph is sent to as many groups as there are blocks. Groups
+    are dealt to tasks by their number: they are small in bytes and dear in time, so that sizes say nothing.
     """
     names = [f.split()[0] for f in fields.split(", ")]
     kind = dict(x.dtypes)["gid"]
@@ -291,17 +318,17 @@ def block_pairs(x: DataFrame, y: DataFrame | None, result: Callable, fields: str
             side = t["_b"].to_numpy()
             order = sorted(range(len(graphs)), key=lambda k: graphs[k].gid)
             for s, k in enumerate(order):
-                for m in order[s:]:
-                    if key[0] == key[1] or side[k] != side[m]:
-                        out += [(graphs[k].gid, graphs[m].gid, *r) for r in result(graphs[k], graphs[m])]
+                with_ = [graphs[m] for m in order[s:] if key[0] == key[1] or side[k] != side[m]]
+                out += [(graphs[k].gid, b.gid, *r) for b, rows in zip(with_, result(graphs[k], with_) if with_ else [], strict=True) for r in rows]
         else:
             side = t["_side"].to_numpy()
-            for k in np.flatnonzero(side == 0):
-                for m in np.flatnonzero(side == 1):
-                    out += [(graphs[k].gid, graphs[m].gid, *r) for r in result(graphs[k], graphs[m])]
+            with_ = [graphs[m] for m in np.flatnonzero(side == 1)]
+            for k in np.flatnonzero(side == 0) if with_ else []:
+                out += [(graphs[k].gid, b.gid, *r) for b, rows in zip(with_, result(graphs[k], with_), strict=True) for r in rows]
         return pd.DataFrame(out, columns=["g1", "g2", *names])
 
-    return dealt.groupBy("_i", "_j").applyInPandas(solve, f"g1 {kind}, g2 {kind}, {fields}")
+    groups = nx * (nx + 1) // 2 if same else nx * ny
+    return dealt.repartition(min(groups, TASKS), "_i", "_j").groupBy("_i", "_j").applyInPandas(solve, f"g1 {kind}, g2 {kind}, {fields}")
 
 
 def upper_pairs(ids: DataFrame, block: int = 64) -> DataFrame:
@@ -335,10 +362,16 @@ def walk_similarity(nodes: DataFrame, edges: DataFrame, node: Callable[[Column,
     for step in range(1, max_steps + 1):
         near = x.select("g1", "g2", F.col("i1").alias("j1"), F.col("i2").alias("j2"), "x")
         got = pe.join(near, ["g1", "g2", "j1", "j2"]).groupBy(keys).agg(F.sum(F.col("w") * F.col("x")).alias("s"))
-        new = pn.join(got, keys, "left").select(*keys, (F.col("v") / F.col("d") * (F.col("d") + F.coalesce("s", F.lit(0.0)))).alias("x"))
-        if step % check == 0:
+        last = step % check == 0
+        new = pn.join(got, keys, "left")
+        if last:  # the step's movement comes along, so that no step runs twice
+            new = new.join(x.withColumnRenamed("x", "_x"), keys)
+        value = F.col("v") / F.col("d") * (F.col("d") + F.coalesce("s", F.lit(0.0)))
+        new = new.select(*keys, value.alias("x"), *([F.abs(value - F.col("_x")).alias("moved")] if last else []))
+        if last:
             new = checkpointed(new)
-            moved = new.join(x.withColumnRenamed("x", "_x"), keys).agg(F.max(F.abs(F.col("x") - F.col("_x")))).first()[0]
+            moved = new.agg(F.max("moved")).first()[0]
+            new = new.drop("moved")
             if moved is None or moved < tol:
                 return new.groupBy("g1", "g2").agg(F.sum("x").alias("k"))
         x = new

@@ -14,10 +14,11 @@ from .functions.adjacency import CompactBell, Gaussian, Tent
 from .functions.microkernel import Additive, Constant, Convolution, DotProduct, KroneckerDelta, MicroKernel, Normalize, RationalQuadratic, SquareExponential, TensorProduct
 from .operators import graph_ops as G
 from .operators import metrics as M
-from . import model_queries, table_queries
+from . import model_queries, search_queries, table_queries
 from .operators import fitting, models, sequences
 from .plans.kernel import GraphKernel, pack, walk_similarity
 from .sources.graphs import USER_GRAPHS_SQL, edge_list, from_keyed, radius_edges, user_graphs
+from .walk_sql import walk_sql
 
 NODE = TensorProduct(lab=KroneckerDelta(0.3), val=SquareExponential(10.0))
 EDGE = TensorProduct(len=SquareExponential(10.0))
@@ -46,22 +47,7 @@ def _rounded(df: DataFrame, *names: str, digits: int = 6) -> DataFrame:
 
 # --------------------------------------------------------------------------- SQL of the walk iteration
 def _walk_sql(pairs: str, body: str, steps: int = STEPS) -> str:
-    """``body`` over x(g1, g2, i1, i2, v, x) for the pairs of graphs that satisfy ``pairs``."""
-    node = NODE.sql({"lab": "a.lab", "val": "a.val"}, {"lab": "b.lab", "val": "b.val"})
-    edge = EDGE.sql({"len": "a.len"}, {"len": "b.len"})
-    return f"""WITH RECURSIVE {USER_GRAPHS_SQL},
-both_ways AS (SELECT gid, src, dst, w, len FROM edges UNION ALL SELECT gid, dst, src, w, len FROM edges WHERE src <> dst),
-deg AS (SELECT n.gid, n.nid, CASE WHEN coalesce(sum(w), 0) = 0 THEN 1.0 ELSE sum(w) END AS d FROM nodes n LEFT JOIN both_ways e ON e.gid = n.gid AND e.src = n.nid GROUP BY ALL),
-full_nodes AS (SELECT n.*, d FROM nodes n JOIN deg USING (gid, nid)),
-pn AS (SELECT a.gid AS g1, b.gid AS g2, a.nid AS i1, b.nid AS i2, {node} AS v, a.d * b.d / {(1 - Q) ** 2!r} AS d FROM full_nodes a JOIN full_nodes b ON {pairs}),
-pe AS (SELECT a.gid AS g1, b.gid AS g2, a.src AS i1, b.src AS i2, a.dst AS j1, b.dst AS j2, a.w * b.w * {edge} AS w FROM both_ways a JOIN both_ways b ON {pairs}),
-it(k, g1, g2, i1, i2, x) AS (
-  SELECT 0, g1, g2, i1, i2, v FROM pn
-  UNION ALL
-  SELECT s.k + 1, p.g1, p.g2, p.i1, p.i2, p.v / p.d * (p.d + coalesce(s.s, 0))
-  FROM pn p JOIN (SELECT k, e.g1, e.g2, e.i1, e.i2, sum(e.w * t.x) AS s FROM it t JOIN pe e ON e.g1 = t.g1 AND e.g2 = t.g2 AND e.j1 = t.i1 AND e.j2 = t.i2 WHERE k < {steps} GROUP BY ALL) s USING (g1, g2, i1, i2)),
-x AS (SELECT g1, g2, i1, i2, pn.v, it.x FROM it JOIN pn USING (g1, g2, i1, i2) WHERE k = {steps})
-{body}"""
+    return walk_sql(pairs, body, steps, graphs=USER_GRAPHS_SQL, node=NODE, edge=EDGE, q=Q)
 
 
 _UPPER, _SAME = "a.gid <= b.gid", "a.gid = b.gid"
@@ -619,6 +605,7 @@ REGISTRY: dict[str, tuple[Query, str | None]] = {
     "maximin_gradient": (maximin_gradient, None),
     "sequence_rewrites": (sequence_rewrites, None),
     **model_queries.REGISTRY,
+    **search_queries.REGISTRY,
     **table_queries.REGISTRY,
 }
 

@@ -121,3 +121,20 @@ nodes AS (SELECT gid, lab, round(avg(value), 6) AS val, CAST(row_number() OVER (
 steps AS (SELECT gid, lab, lead(lab) OVER o AS nxt, abs(lead(value) OVER o - value) AS change FROM ev WINDOW o AS (PARTITION BY gid ORDER BY ts, event_id)),
 folded AS (SELECT gid, least(lab, nxt) AS a, greatest(lab, nxt) AS b, CAST(count(*) AS DOUBLE) AS w, round(avg(change), 6) AS len FROM steps WHERE nxt IS NOT NULL GROUP BY ALL),
 edges AS (SELECT f.gid, m.nid AS src, n.nid AS dst, w, len FROM folded f JOIN nodes m ON m.gid = f.gid AND m.lab = f.a JOIN nodes n ON n.gid = f.gid AND n.lab = f.b)"""
+
+
+def conversation_graphs(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    """A graph per row group of ``conversations``: a node per turn (lab, its role; val, the logarithm of its length), an edge
+    between turns that follow each other (len, how much val changes)."""
+    t = spark.read.parquet(f"{sf_dir}/conversations.parquet").select(F.col("conv_id").alias("gid"), "turn", F.coalesce("role", F.lit("")).alias("lab"), F.round(F.log(1.0 + F.length(F.coalesce("text", F.lit("")))), 6).alias("val"))
+    order = Window.partitionBy("gid").orderBy("turn", "lab", "val")
+    n = t.withColumn("nid", (F.row_number().over(order) - 1).cast("int")).withColumn("next", F.lead("val").over(order))
+    edges = n.where("next IS NOT NULL").select("gid", F.col("nid").alias("src"), (F.col("nid") + 1).alias("dst"), F.lit(1.0).alias("w"), F.round(F.abs(F.col("next") - F.col("val")), 6).alias("len"))
+    return n.select("gid", "nid", "lab", "val"), edges
+
+
+#: The same graphs as DuckDB CTEs ``nodes`` and ``edges``.
+CONVERSATION_GRAPHS_SQL = """
+turns AS (SELECT conv_id AS gid, turn, coalesce(role, '') AS lab, round(ln(1.0::DOUBLE + length(coalesce(text, ''))), 6) AS val FROM conversations),
+nodes AS (SELECT gid, lab, val, CAST(row_number() OVER (PARTITION BY gid ORDER BY turn, lab, val) - 1 AS INTEGER) AS nid FROM turns),
+edges AS (SELECT a.gid, a.nid AS src, b.nid AS dst, 1.0::DOUBLE AS w, round(abs(b.val - a.val), 6) AS len FROM nodes a JOIN nodes b ON b.gid = a.gid AND b.nid = a.nid + 1)"""
