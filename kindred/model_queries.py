@@ -14,7 +14,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .operators import fitting, linalg, models
+from .operators import fitting, linalg, models, selection
 
 SCALE, ALPHA, CORE = 0.2, 0.1, 5
 SIMILARITY = fitting.PointSimilarity(s=(SCALE, "fixed"))
@@ -171,6 +171,46 @@ def _select(selector):
     return query
 
 
+PICKS, SPREAD, NOISE = 12, 0.6, 0.1
+
+
+def _vectors(spark, d) -> DataFrame:
+    return spark.read.parquet(f"{d}/embeddings.parquet").select(F.col("vec_id").alias("gid"), F.col("embedding").alias("v"))
+
+
+def _selected(got: selection.Selection) -> DataFrame:
+    return _rounded(got.points.select(F.col("gid").alias("vec_id"), "step", "residual"), "residual", digits=4)
+
+
+def determinant_select_vectors(spark, d):
+    """All vectors with the step at which they were chosen and the variance that the chosen leave them."""
+    k = selection.Gaussian(SPREAD)
+    return _selected(selection.select_by_determinant(_vectors(spark, d), k, k.variance, PICKS))
+
+
+def variance_select_vectors(spark, d):
+    k = selection.Gaussian(SPREAD)
+    return _selected(selection.select_by_variance(_vectors(spark, d), k, k.variance, PICKS, alpha=NOISE))
+
+
+def _pivots_sql(by_sum: bool) -> str:
+    """The same steps over rows: the pivot is the first row by what is left, and each row's column of the factor follows from it.
+
+    Conditioning on a noisy point leaves it variance, so its column is divided by the root of its variance and the noise.
+    """
+    noise = NOISE if by_sum else 0.0
+    k = f"exp(-list_sum(list_transform(v, lambda x, i: pow(x - pv[i], 2))) / {2 * SPREAD**2!r})"
+    total = f"SELECT a.vec_id, sum(exp(-list_sum(list_transform(a.v, lambda x, i: pow(x - b.v[i], 2))) / {2 * SPREAD**2!r})) AS s FROM p a JOIN p b ON true GROUP BY a.vec_id" if by_sum else "SELECT vec_id, 0.0 AS s FROM p"
+    return f"""WITH RECURSIVE p AS (SELECT vec_id, list_transform(embedding, lambda x: CAST(x AS DOUBLE)) AS v FROM embeddings),
+t AS ({total}),
+r(n, vec_id, v, f, d, s, step) AS (SELECT 0, vec_id, v, []::DOUBLE[], 1.0::DOUBLE, CAST(s AS DOUBLE), CAST(NULL AS INTEGER) FROM p JOIN t USING (vec_id) UNION ALL
+ SELECT n + 1, vec_id, v, list_append(f, c), d - c * c, s - c * ps / sqrt(pd + {noise!r}), CASE WHEN vec_id = pid THEN CAST(n + 1 AS INTEGER) ELSE step END
+ FROM (SELECT *, ({k} - coalesce(list_sum(list_transform(f, lambda x, i: x * pf[i])), 0)) / sqrt(pd + {noise!r}) AS c
+  FROM (SELECT *, first_value(vec_id) OVER w AS pid, first_value(v) OVER w AS pv, first_value(f) OVER w AS pf, first_value(d) OVER w AS pd, first_value(s) OVER w AS ps
+   FROM r WHERE n < {PICKS} WINDOW w AS (ORDER BY step IS NOT NULL, {'s' if by_sum else 'd'} DESC, vec_id))))
+SELECT vec_id, step, round(d, 4) + 0.0 AS residual FROM r WHERE n = {PICKS}"""
+
+
 # --------------------------------------------------------------------------- SQL
 _POINTS = """prof AS (SELECT source AS gid, avg(n_chars) / 1000 AS m, avg(quality) AS y FROM documents LEFT JOIN labels USING (doc_id) GROUP BY source),
 t AS (SELECT *, row_number() OVER (ORDER BY gid) AS i FROM prof WHERE y IS NOT NULL AND NOT gid LIKE '%1')"""
@@ -217,6 +257,8 @@ SELECT CAST(step AS INTEGER) AS step, gid FROM pick JOIN t ON t.i = s WHERE step
 
 Query = Callable[[SparkSession, str], DataFrame]
 REGISTRY: dict[str, tuple[Query, str | None]] = {
+    "determinant_select_vectors": (determinant_select_vectors, _pivots_sql(False)),
+    "variance_select_vectors": (variance_select_vectors, _pivots_sql(True)),
     "gp_predict_std": (gp_predict_std, _DENSE + _PREDICT),
     "gp_predict_cov": (gp_predict_cov, f"{_DENSE}, {_REST} {_COV}"),
     "gp_gramian": (gp_gramian, f"WITH {_POINTS} SELECT a.gid AS g1, b.gid AS g2, round({_k('a', 'b')} * CASE WHEN a.i = b.i THEN 1 + {ALPHA} ELSE 1 END, 5) AS k FROM t a JOIN t b ON a.i <= b.i"),

@@ -147,7 +147,9 @@ class PointSimilarity:
 
 def distances(x: np.ndarray, y: np.ndarray) -> np.ndarray:
     x, y = (np.asarray(z, float).reshape(len(z), -1) for z in (x, y))
-    return np.sqrt(((x[:, None] - y[None]) ** 2).sum(-1))
+    step = max(1, (1 << 20) // max(1, y.size))  # rows whose differences fit a core's cache
+    parts = [np.sqrt(((x[i : i + step, None] - y[None]) ** 2).sum(-1)) for i in range(0, len(x), step)]
+    return np.concatenate(parts) if parts else np.zeros((0, len(y)))
 
 
 class GraphSimilarity:
