@@ -14,7 +14,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .operators import fitting, linalg, models, selection
+from .operators import exact_gp, fitting, linalg, models, selection
 
 SCALE, ALPHA, CORE = 0.2, 0.1, 5
 SIMILARITY = fitting.PointSimilarity(s=(SCALE, "fixed"))
@@ -193,6 +193,28 @@ def variance_select_vectors(spark, d):
     return _selected(selection.select_by_variance(_vectors(spark, d), k, k.variance, PICKS, alpha=NOISE))
 
 
+REACH, JITTER, COLUMNS = 2.0, 0.2, 60
+
+
+def exact_gp_weights(spark, d):
+    """Each conversation's weight in the mean, and the mean there: turns by the logarithms of what users and others wrote."""
+    t = spark.read.parquet(f"{d}/conversations.parquet").select(F.col("conv_id").alias("gid"), "role", F.coalesce(F.length("text"), F.lit(0)).alias("n"))
+    wrote = lambda own: F.log(1.0 + F.sum(F.when((F.col("role") == "user") == own, F.col("n")).otherwise(0)))
+    points = t.groupBy("gid").agg(F.array(wrote(True), wrote(False)).alias("v"), F.log(1.0 + F.count("*")).alias("y"))
+    model = exact_gp.ExactGaussianProcess(selection.Gaussian(REACH), JITTER, rank=COLUMNS, probes=0).fit(points.select("gid", "v"), points.select("gid", "y"))
+    got = model.weights.join(model.known.select("gid", "y"), "gid")
+    return _rounded(got.select(F.col("gid").alias("conv_id"), F.col("w").alias("weight"), (F.col("y") - JITTER * F.col("w")).alias("mean")), "weight", "mean", digits=4)
+
+
+_EXACT = f"""WITH RECURSIVE t AS (SELECT gid, a, b, y, row_number() OVER (ORDER BY gid) AS i FROM (
+ SELECT conv_id AS gid, ln(1.0::DOUBLE + sum(CASE WHEN role = 'user' THEN coalesce(length(text), 0) ELSE 0 END)) AS a, ln(1.0::DOUBLE + sum(CASE WHEN role <> 'user' THEN coalesce(length(text), 0) ELSE 0 END)) AS b, ln(1.0::DOUBLE + count(*)) AS y FROM conversations GROUP BY conv_id)), """
+
+
+def _exact_sql() -> str:
+    gram = f"SELECT a.i, b.i AS j, exp(-(pow(a.a - b.a, 2) + pow(a.b - b.b, 2)) / {2 * REACH**2!r}) + CASE WHEN a.i = b.i THEN {JITTER} ELSE 0 END AS v FROM t a JOIN t b ON true"
+    return f"{_EXACT}{_eliminate('g', gram)}, w AS (SELECT g_inv.i, sum(v * y) AS w FROM g_inv JOIN t ON t.i = g_inv.j GROUP BY g_inv.i) SELECT gid AS conv_id, round(w, 4) + 0.0 AS weight, round(y - {JITTER} * w, 4) + 0.0 AS mean FROM w JOIN t USING (i)"
+
+
 def _pivots_sql(by_sum: bool) -> str:
     """The same steps over rows: the pivot is the first row by what is left, and each row's column of the factor follows from it.
 
@@ -257,6 +279,7 @@ SELECT CAST(step AS INTEGER) AS step, gid FROM pick JOIN t ON t.i = s WHERE step
 
 Query = Callable[[SparkSession, str], DataFrame]
 REGISTRY: dict[str, tuple[Query, str | None]] = {
+    "exact_gp_weights": (exact_gp_weights, _exact_sql()),
     "determinant_select_vectors": (determinant_select_vectors, _pivots_sql(False)),
     "variance_select_vectors": (variance_select_vectors, _pivots_sql(True)),
     "gp_predict_std": (gp_predict_std, _DENSE + _PREDICT),

@@ -66,6 +66,8 @@ class Selection:
     ids: list
     value: np.ndarray
     points: DataFrame
+    #: (gid, f): each row's columns of the factor, F F' being the similarities as far as the chosen points explain them.
+    factor: DataFrame
 
     @property
     def logdet(self) -> float:
@@ -93,19 +95,24 @@ def select_by_variance(points: DataFrame, similarity: Similarity, variance: Call
 
 def row_sums(points: DataFrame, similarity: Similarity, block: int = BLOCK) -> DataFrame:
     """(gid, total): each point's similarities with all points added up, in blocks of bounded size."""
-    n = max(1, -(-points.count() // block))
-    own = F.pmod(F.xxhash64("gid"), F.lit(n)).cast("int")
-    all_ = F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
-    left = points.withColumn("_i", own).withColumn("_j", all_)
-    right = points.select([F.col(c).alias(c) for c in points.columns]).withColumn("_j", own).withColumn("_i", all_)
+    return cross_sums(points, points.withColumn("_w", F.lit(1.0)), similarity, "_w", block)
+
+
+def cross_sums(points: DataFrame, others: DataFrame, similarity: Similarity, weight: str, block: int = BLOCK) -> DataFrame:
+    """(gid, total): the sum of each point's similarities with ``others``, times their column ``weight``, block by block."""
+    n, m = (max(1, -(-t.count() // block)) for t in (points, others))
+    own = lambda k: F.pmod(F.xxhash64("gid"), F.lit(k)).cast("int")
+    all_ = lambda k: F.explode(F.sequence(F.lit(0), F.lit(k - 1)))
+    left = points.withColumn("_i", own(n)).withColumn("_j", all_(m))
+    right = others.select([F.col(f"`{c}`").alias(c) for c in others.columns]).withColumn("_j", own(m)).withColumn("_i", all_(n))
 
     def add(a: pd.DataFrame, b: pd.DataFrame) -> pd.DataFrame:
         if not len(a) or not len(b):
             return pd.DataFrame({"gid": [], "total": []})
-        return pd.DataFrame({"gid": a["gid"], "total": similarity(a, b).sum(1)})
+        return pd.DataFrame({"gid": a["gid"], "total": similarity(a, b) @ b[weight].to_numpy(float)})
 
-    kind = dict(points.dtypes)["gid"]
-    parts = left.repartition(n * n, "_i", "_j").groupBy("_i", "_j").cogroup(right.repartition(n * n, "_i", "_j").groupBy("_i", "_j")).applyInPandas(add, f"gid {kind}, total double")
+    dealt = [t.repartition(n * m, "_i", "_j").groupBy("_i", "_j") for t in (left, right)]
+    parts = dealt[0].cogroup(dealt[1]).applyInPandas(add, f"gid {dict(points.dtypes)['gid']}, total double")
     return parts.groupBy("gid").agg(F.sum("total").alias("total"))
 
 
@@ -171,4 +178,4 @@ def _greedy(points: DataFrame, similarity: Similarity, variance, n: int, sums: D
     left = state.mapInPandas(lambda batches: passed(batches, False, first, now), schema)
     order = F.array_position(F.array(*[F.lit(i) for i in done.ids]), F.col("gid")) if done.ids else F.lit(0)
     step = F.when(order > 0, order.cast("int"))
-    return Selection(done.ids, np.array(done.value), left.select(*[F.col(f"`{c}`") for c in points.columns], step.alias("step"), F.col("_d").alias("residual")))
+    return Selection(done.ids, np.array(done.value), left.select(*[F.col(f"`{c}`") for c in points.columns], step.alias("step"), F.col("_d").alias("residual")), left.select("gid", F.col("_f").alias("f")))
