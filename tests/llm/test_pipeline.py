@@ -35,6 +35,45 @@ def test_stages_on_a_small_corpus(spark, tmp_path):
     assert P.run(spark, d).agg(F.sum("length")).first() == spark.read.parquet(f"{d}/best_fit_packing").agg(F.sum("length")).first()
 
 
+def test_run_passes_each_document_through_a_stage_once(spark, tmp_path, monkeypatch):
+    r = random.Random(3)
+    text = lambda n: " ".join(r.choice(["the", "and", "there", "where", "tion", "thing"]) + r.choice(["", "s", "ed"]) + str(r.randrange(50)) for _ in range(n))
+    docs = [(i, text(60), "en", 1) for i in range(120)]
+    d = str(tmp_path)
+    spark.createDataFrame(docs, "doc_id long, text string, lang string, n_chars long").repartition(3).write.parquet(f"{d}/documents.parquet")
+    spark.createDataFrame([(1, text(40))], "item_id long, text string").write.parquet(f"{d}/benchmark.parquet")
+    passed = spark.sparkContext.accumulator(0)
+
+    def counted(spark, docs, sf_dir):
+        def rows(batches):
+            for b in batches:
+                passed.add(len(b))
+                yield b
+
+        out = P.language_stage(spark, docs, sf_dir)
+        return out.mapInPandas(rows, out.schema)
+
+    monkeypatch.setattr(P, "STAGES", [("language_id", counted), *P.STAGES[1:]])
+    assert P.run(spark, d).select("doc_id").distinct().count() == 120
+    assert passed.value == 120
+
+
+def test_stages_keep_columns_of_any_name(spark, tmp_path):
+    names = ["kept", "_lang", "_score", "n_bytes", "n_removed", "n_spans", "removed", "kept_sha256", "lang_pred", "component_id", "n_links", "first", "n"]
+    long = " ".join(f"longword{i}" for i in range(30_000))  # a very long text
+    texts = ["the rest of the thing there " * 8 + str(i) for i in range(6)] + [long, None, ""]
+    docs = [(i, t, "en", *[f"{c} {i}" for c in names]) for i, t in enumerate(texts)] + [(None, "another thing that was there and then not", "en", *["x"] * len(names))]
+    df = spark.createDataFrame(docs, "doc_id long, text string, lang string, " + ", ".join(f"{c} string" for c in names))
+    spark.createDataFrame([], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    empty = df.where("false")
+    for name, stage in P.STAGES[:-1]:
+        out = stage(spark, df, str(tmp_path))
+        assert out.columns == df.columns, name
+        assert all(row[c] == (f"{c} {row.doc_id}" if row.doc_id is not None else "x") for row in out.collect() for c in names), name
+        if name != "language_id":  # which needs rows to learn from
+            assert stage(spark, empty, str(tmp_path)).count() == 0, name
+
+
 def test_near_duplicate_stage_leaves_most_texts_in_place(spark, tmp_path):
     r = random.Random(2)
     docs = [(i, " ".join(f"{r.getrandbits(60):x}" for _ in range(200))) for i in range(500)]
