@@ -11,7 +11,7 @@ from collections.abc import Callable
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .operators import exact_gp, fitting, linalg, models, selection
@@ -171,6 +171,30 @@ def _select(selector):
     return query
 
 
+NEAR, SMOOTH = 8, 1e-3
+
+
+def propagate_quality(spark, d):
+    """Quality of the documents without a label, from those next to them: NEAR consecutive ids form a chain whose weights
+    fall with the ratio of lengths."""
+    docs = spark.read.parquet(f"{d}/documents.parquet").select("doc_id", F.log(1.0 + F.coalesce("n_chars", F.lit(0))).alias("s"))
+    lab = spark.read.parquet(f"{d}/labels.parquet").select("doc_id", "quality")
+    order = Window.partitionBy(F.floor(F.col("doc_id") / NEAR)).orderBy("doc_id")
+    links = docs.select("doc_id", F.lead("doc_id").over(order).alias("j"), (1 / (1 + F.abs(F.lead("s").over(order) - F.col("s")))).alias("w")).where("j IS NOT NULL")
+    weights = links.select(F.col("doc_id").alias("i"), "j", "w").unionByName(links.select(F.col("j").alias("i"), F.col("doc_id").alias("j"), "w"))
+    y = docs.join(lab, "doc_id", "left").select(F.col("doc_id").alias("gid"), F.col("quality").cast("double").alias("y"))
+    got = models.propagate_labels(weights, y, smoothing=SMOOTH, tol=1e-7)
+    return _rounded(got.select(F.col("gid").alias("doc_id"), F.col("y").alias("quality")), "quality", digits=4)
+
+
+#: On a chain the values between two labels follow the resistance, the sum of 1 / weight, on either side.
+_CHAIN = f"""WITH a AS (SELECT doc_id, doc_id // {NEAR} AS g, ln(1.0::DOUBLE + coalesce(n_chars, 0)) AS s, CAST(quality AS DOUBLE) AS y FROM documents LEFT JOIN labels USING (doc_id)),
+b AS (SELECT *, count(*) OVER (PARTITION BY g) AS n, coalesce(1 / (1 / (1 + abs(s - lag(s) OVER (PARTITION BY g ORDER BY doc_id))) + {SMOOTH}), 0) AS r FROM a),
+c AS (SELECT *, sum(r) OVER (PARTITION BY g ORDER BY doc_id) AS way FROM b),
+e AS (SELECT *, last_value(y IGNORE NULLS) OVER p AS yl, last_value(CASE WHEN y IS NOT NULL THEN way END IGNORE NULLS) OVER p AS rl, first_value(y IGNORE NULLS) OVER q AS yr, first_value(CASE WHEN y IS NOT NULL THEN way END IGNORE NULLS) OVER q AS rr
+ FROM c WINDOW p AS (PARTITION BY g ORDER BY doc_id ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW), q AS (PARTITION BY g ORDER BY doc_id ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING))
+SELECT doc_id, CASE WHEN n > 1 THEN round(coalesce(yl + (yr - yl) * (way - rl) / (rr - rl), yl, yr, 0), 4) + 0.0 END AS quality FROM e WHERE y IS NULL"""
+
 PICKS, SPREAD, NOISE = 12, 0.6, 0.1
 
 
@@ -279,6 +303,7 @@ SELECT CAST(step AS INTEGER) AS step, gid FROM pick JOIN t ON t.i = s WHERE step
 
 Query = Callable[[SparkSession, str], DataFrame]
 REGISTRY: dict[str, tuple[Query, str | None]] = {
+    "propagate_quality": (propagate_quality, _CHAIN),
     "exact_gp_weights": (exact_gp_weights, _exact_sql()),
     "determinant_select_vectors": (determinant_select_vectors, _pivots_sql(False)),
     "variance_select_vectors": (variance_select_vectors, _pivots_sql(True)),
