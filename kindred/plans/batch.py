@@ -43,8 +43,9 @@ class Side:
     def of(cls, g: Packed) -> Side:
         if hasattr(g, "side"):
             return g.side
-        once = len(g.src) - int((g.src[: g.once] != g.dst[: g.once]).sum()) if len(g.src) else 0
-        edge = np.r_[np.arange(once), np.flatnonzero(g.src[:once] != g.dst[:once])]
+        once = len(g.src) if g.once is None else g.once
+        edge = np.arange(len(g.src))
+        edge[once:] = np.flatnonzero(g.src[:once] != g.dst[:once]) if once < len(g.src) else edge[once:]
         by = np.argsort(g.src, kind="stable")
         src = g.src[by]
         deg = np.bincount(src, minlength=g.n)

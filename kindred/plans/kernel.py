@@ -56,7 +56,7 @@ class Packed:
     w: np.ndarray
     edges: dict
     d: np.ndarray
-    once: int  # undirected edges; the others repeat them in the other direction
+    once: int | None = None  # undirected edges, which stand first; the others repeat them in the other direction
 
     @classmethod
     def of(cls, r) -> Packed:
