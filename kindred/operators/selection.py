@@ -20,8 +20,10 @@ from ..plans.checkpoint import checkpointed
 
 #: Steps after which factor columns are written out.
 SAVE = 24
-#: Rows of a block of the row sums.
-BLOCK = 2048
+#: Rows of a task of a pass, which does little for each of them.
+ROWS = 1 << 14
+#: Rows of a block of sums over pairs, and how many of them are compared with the other block at once.
+BLOCK, CHUNK = 1 << 13, 256
 
 #: Similarities of the rows of one table with the rows of another.
 Similarity = Callable[[pd.DataFrame, pd.DataFrame], np.ndarray]
@@ -93,14 +95,14 @@ def select_by_variance(points: DataFrame, similarity: Similarity, variance: Call
     return _greedy(points, similarity, variance, n, row_sums(points, similarity), alpha, -np.inf)
 
 
-def row_sums(points: DataFrame, similarity: Similarity, block: int = BLOCK) -> DataFrame:
+def row_sums(points: DataFrame, similarity: Similarity) -> DataFrame:
     """(gid, total): each point's similarities with all points added up, in blocks of bounded size."""
-    return cross_sums(points, points.withColumn("_w", F.lit(1.0)), similarity, "_w", block)
+    return cross_sums(points, points.withColumn("_w", F.lit(1.0)), similarity, "_w")
 
 
-def cross_sums(points: DataFrame, others: DataFrame, similarity: Similarity, weight: str, block: int = BLOCK) -> DataFrame:
+def cross_sums(points: DataFrame, others: DataFrame, similarity: Similarity, weight: str) -> DataFrame:
     """(gid, total): the sum of each point's similarities with ``others``, times their column ``weight``, block by block."""
-    n, m = (max(1, -(-t.count() // block)) for t in (points, others))
+    n, m = (max(1, -(-t.count() // BLOCK)) for t in (points, others))
     own = lambda k: F.pmod(F.xxhash64("gid"), F.lit(k)).cast("int")
     all_ = lambda k: F.explode(F.sequence(F.lit(0), F.lit(k - 1)))
     left = points.withColumn("_i", own(n)).withColumn("_j", all_(m))
@@ -109,7 +111,8 @@ def cross_sums(points: DataFrame, others: DataFrame, similarity: Similarity, wei
     def add(a: pd.DataFrame, b: pd.DataFrame) -> pd.DataFrame:
         if not len(a) or not len(b):
             return pd.DataFrame({"gid": [], "total": []})
-        return pd.DataFrame({"gid": a["gid"], "total": similarity(a, b) @ b[weight].to_numpy(float)})
+        w = b[weight].to_numpy(float)
+        return pd.DataFrame({"gid": a["gid"], "total": np.concatenate([similarity(a.iloc[i : i + CHUNK], b) @ w for i in range(0, len(a), CHUNK)])})
 
     dealt = [t.repartition(n * m, "_i", "_j").groupBy("_i", "_j") for t in (left, right)]
     parts = dealt[0].cogroup(dealt[1]).applyInPandas(add, f"gid {dict(points.dtypes)['gid']}, total double")
@@ -126,7 +129,7 @@ def _greedy(points: DataFrame, similarity: Similarity, variance, n: int, sums: D
             if len(b):
                 yield b.assign(_f=[np.zeros(0)] * len(b), _d=variance(b))
 
-    state = checkpointed(state.mapInPandas(start, schema))
+    state = checkpointed(state.repartition(max(1, -(-points.count() // ROWS))).mapInPandas(start, schema))
     held, done = 0, _Pivots()
 
     def passed(batches, best_only: bool, first: int, p: _Pivots) -> Iterator[pd.DataFrame]:
