@@ -94,4 +94,4 @@ def test_queries_are_registered():
     import __spark_entry__ as entry
 
     assert set(queries.QUERIES) <= set(entry.queries()) and set(queries.ORACLES) <= set(entry.oracle_sql())
-    assert all(any(q.startswith(f"op{n}_") for q in queries.QUERIES) for n in range(1, 11))
+    assert all(any(q.startswith(f"op{n}_") for q in queries.QUERIES) for n in range(1, 14))
