@@ -427,14 +427,18 @@ def periodic_graph(spark, d):
 
 def _reordering(method: str):
     def query(spark, d):
-        """What a reordering must keep: a new place for every node, and no more tiles than before."""
+        """What a reordering must keep: a new place for every node, no more tiles and no wider band than before."""
         nodes, edges = _graphs(spark, d)
         order = G.reorder(nodes, edges, method=method)
         places = order.groupBy("gid").agg(F.count("nid").alias("n"), F.count_distinct("nid").alias("nodes"), F.count_distinct("pos").alias("places"), F.min("pos").alias("first"), F.max("pos").alias("last"))
-        before, after = G.tile_count(edges, 2), G.tile_count(G.permute(nodes, edges, order)[1], 2)
+        moved = G.permute(nodes, edges, order)[1]
+        band = lambda e, c: e.groupBy("gid").agg(F.max(F.abs(F.col("src") - F.col("dst"))).alias(c))
+        if method == "rcm":
+            wider = band(edges, "_b").join(band(moved, "_a"), "gid").select("gid", (F.col("_a") > F.col("_b")).alias("wider"))
+            return places.join(wider, "gid", "left").withColumn("wider", F.coalesce("wider", F.lit(False)))
+        before, after = G.tile_count(edges, 2), G.tile_count(moved, 2)
         grown = before.join(after.withColumnRenamed("tiles", "_after"), "gid").select("gid", (F.col("_after") > F.col("tiles")).alias("grown"))
-        out = places.join(grown, "gid", "left").withColumn("grown", F.coalesce("grown", F.lit(False)))
-        return out if method == "pbr" else out.drop("grown")
+        return places.join(grown, "gid", "left").withColumn("grown", F.coalesce("grown", F.lit(False)))
 
     return query
 
@@ -578,7 +582,7 @@ REGISTRY: dict[str, tuple[Query, str | None]] = {
  e AS (SELECT a.gid, a.nid AS src, b.nid AS dst, sqrt(pow(a.x - b.x, 2) + pow(a.y - b.y, 2) + pow(a.z - b.z, 2)) AS l FROM p a JOIN p b ON a.gid = b.gid AND a.nid < b.nid)
  SELECT gid, src, dst, round(1 - l / 0.15, 5) AS w, round(l, 5) AS length FROM e WHERE l < 0.15"""),
     "place_tree": (place_tree, "SELECT 'r' || r_regionkey AS id, 0 AS level, 'r' || r_regionkey AS path FROM region UNION ALL SELECT 'n' || n_nationkey, 1, 'r' || n_regionkey || '/n' || n_nationkey FROM nation"),
-    "reordered_rcm": (_reordering("rcm"), f"{_T} SELECT gid, count(*) AS n, count(*) AS nodes, count(*) AS places, 0 AS first, CAST(count(*) - 1 AS INTEGER) AS last FROM nodes GROUP BY gid"),
+    "reordered_rcm": (_reordering("rcm"), f"{_T} SELECT gid, count(*) AS n, count(*) AS nodes, count(*) AS places, 0 AS first, CAST(count(*) - 1 AS INTEGER) AS last, false AS wider FROM nodes GROUP BY gid"),
     "reordered_tiles": (_reordering("pbr"), f"{_T} SELECT gid, count(*) AS n, count(*) AS nodes, count(*) AS places, 0 AS first, CAST(count(*) - 1 AS INTEGER) AS last, false AS grown FROM nodes GROUP BY gid"),
     "gpr_predict": (gpr_predict, _walk_sql(_UPPER, _GPR_SQL, 90)),
     "nystrom_predict": (nystrom_predict, _walk_sql(_UPPER, _NYSTROM_SQL, 90)),
