@@ -14,7 +14,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .operators import exact_gp, fitting, linalg, models, selection
+from .operators import exact_gp, fitting, linalg, models, selection, tall
 
 SCALE, ALPHA, CORE = 0.2, 0.1, 5
 SIMILARITY = fitting.PointSimilarity(s=(SCALE, "fixed"))
@@ -171,6 +171,19 @@ def _select(selector):
     return query
 
 
+WIDE, SHIFT = 12, 0.5
+
+
+def tall_pseudoinverse(spark, d):
+    """The labels times the pseudoinverse of F F', F being the first components of all vectors; a shifted solve beside it."""
+    v = spark.read.parquet(f"{d}/embeddings.parquet")
+    got = tall.TallFactor(v.select(F.col("vec_id").alias("gid"), F.slice("embedding", 1, WIDE).alias("f")), WIDE)
+    y = v.select(F.col("vec_id").alias("gid"), F.col("label").cast("double").alias("y"))
+    shifted, logdet = got.shifted_solve(y, SHIFT)
+    both = got.pinv_times(y).join(shifted.withColumnRenamed("z", "shifted"), "gid")
+    return _rounded(both.select(F.col("gid").alias("vec_id"), F.col("z").alias("pseudo"), "shifted", F.lit(got.logdet).alias("logdet"), F.lit(logdet).alias("shifted_logdet")), "pseudo", "shifted", "logdet", "shifted_logdet", digits=4)
+
+
 NEAR, SMOOTH = 8, 1e-3
 
 
@@ -239,6 +252,16 @@ def _exact_sql() -> str:
     return f"{_EXACT}{_eliminate('g', gram)}, w AS (SELECT g_inv.i, sum(v * y) AS w FROM g_inv JOIN t ON t.i = g_inv.j GROUP BY g_inv.i) SELECT gid AS conv_id, round(w, 4) + 0.0 AS weight, round(y - {JITTER} * w, 4) + 0.0 AS mean FROM w JOIN t USING (i)"
 
 
+def _tall_sql() -> str:
+    inner = lambda shift: f"SELECT x.i, y.i AS j, sum(x.f * y.f) + CASE WHEN x.i = y.i THEN {shift} ELSE 0 END AS v FROM r x JOIN r y USING (gid) GROUP BY x.i, y.i"
+    return f"""WITH RECURSIVE r AS (SELECT vec_id AS gid, CAST(label AS DOUBLE) AS y, i, CAST(embedding[i] AS DOUBLE) AS f FROM embeddings, (SELECT unnest(range(1, {WIDE + 1})) AS i)),
+b AS (SELECT i, sum(f * y) AS b FROM r GROUP BY i), {_eliminate('a', inner(0))}, {_eliminate('s', inner(SHIFT))},
+u AS (SELECT a_inv.i, sum(v * b) AS u FROM a_inv JOIN b ON b.i = a_inv.j GROUP BY a_inv.i), w AS (SELECT a_inv.i, sum(v * u) AS w FROM a_inv JOIN u ON u.i = a_inv.j GROUP BY a_inv.i),
+c AS (SELECT s_inv.i, sum(v * b) AS c FROM s_inv JOIN b ON b.i = s_inv.j GROUP BY s_inv.i), n AS (SELECT count(*) AS n FROM embeddings)
+SELECT gid AS vec_id, round(sum(f * w), 4) + 0.0 AS pseudo, round((any_value(y) - sum(f * c)) / {SHIFT}, 4) + 0.0 AS shifted, round(any_value(a_det.ld), 4) AS logdet, round(any_value(s_det.ld + (n - {WIDE}) * ln({SHIFT})), 4) AS shifted_logdet
+FROM r JOIN w USING (i) JOIN c USING (i), a_det, s_det, n GROUP BY gid"""
+
+
 def _pivots_sql(by_sum: bool) -> str:
     """The same steps over rows: the pivot is the first row by what is left, and each row's column of the factor follows from it.
 
@@ -303,6 +326,7 @@ SELECT CAST(step AS INTEGER) AS step, gid FROM pick JOIN t ON t.i = s WHERE step
 
 Query = Callable[[SparkSession, str], DataFrame]
 REGISTRY: dict[str, tuple[Query, str | None]] = {
+    "tall_pseudoinverse": (tall_pseudoinverse, _tall_sql()),
     "propagate_quality": (propagate_quality, _CHAIN),
     "exact_gp_weights": (exact_gp_weights, _exact_sql()),
     "determinant_select_vectors": (determinant_select_vectors, _pivots_sql(False)),
