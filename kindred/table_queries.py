@@ -109,12 +109,18 @@ def mk_plain_product(spark, d):
 
 
 def mk_hyperparameters(spark, d):
-    """Parameters of a composed microkernel with their ranges, after a change of all, and its least and largest value."""
+    """A composed microkernel of consecutive suppliers' nations and balances, before and after a change of all its parameters,
+    the parameters as it then reports them, and whether the value lies in the range it reports."""
     k = Normalize(TensorProduct(a=KroneckerDelta(0.3), b=SquareExponential(2.0, (0.5, 8.0))) + Constant(0.5, (0.1, 1.0)))
     moved = k.with_theta([0.25, 4.0, 0.125])
+    s = _table(spark, d, "supplier").select(F.col("s_suppkey").cast("long").alias("gid"), F.col("s_nationkey").alias("a"), (F.col("s_acctbal").cast("double") / 1000).alias("b"))
+    near = s.join(s.select((F.col("gid") - 1).alias("gid"), F.col("gid").alias("g2"), F.col("a").alias("a2"), F.col("b").alias("b2")), "gid")
+    x, y = {"a": F.col("a"), "b": F.col("b")}, {"a": F.col("a2"), "b": F.col("b2")}
+    after = moved.column(x, y)
+    named = [F.lit(float(t)).alias(n) for n, t in zip(("h", "s", "c"), moved.theta, strict=True)]
+    least = [F.lit(float(b[0])).alias(f"least_{n}") for n, b in zip(("h", "s", "c"), moved.bounds, strict=True)]
     low, high = map(float, moved.minmax)
-    rows = [(n + 1, float(t), float(b[0]), float(b[1]), low, high) for n, (t, b) in enumerate(zip(moved.theta, moved.bounds, strict=True))]
-    return spark.createDataFrame(rows, "n int, value double, least double, most double, low double, high double")
+    return near.select(F.col("gid").alias("g1"), "g2", F.round(k.column(x, y), 5).alias("before"), F.round(after, 5).alias("after"), *named, *least, after.between(low, high).alias("inside"))
 
 
 def distance_gradient(spark, d):
@@ -144,7 +150,10 @@ REGISTRY: dict[str, tuple[Query, str | None]] = {
     "graph_copy": (graph_copy, "SELECT l_orderkey AS gid, l_linenumber AS src, l_linenumber + 1 AS dst, 1.0::DOUBLE AS w, 2.0::DOUBLE AS twice, count(*) OVER (PARTITION BY l_orderkey) AS n FROM lineitem"),
     "ring_lists": (ring_lists, "WITH li AS (SELECT l_suppkey AS gid, l_partkey AS nid, count(*) OVER (PARTITION BY l_orderkey) AS size FROM lineitem), n AS (SELECT s_suppkey AS gid, 1 AS nid FROM supplier UNION SELECT gid, nid FROM li) SELECT n.gid, n.nid, coalesce(string_agg(CAST(size AS VARCHAR), ',' ORDER BY size), '0') AS ring_list FROM n LEFT JOIN li ON li.gid = n.gid AND li.nid = n.nid GROUP BY n.gid, n.nid"),
     "mk_plain_product": (mk_plain_product, "SELECT l_orderkey, l_linenumber, l_partkey, l_suppkey, round(CAST(l_quantity AS DOUBLE) * CAST(l_discount AS DOUBLE), 4) AS k FROM lineitem"),
-    "mk_hyperparameters": (mk_hyperparameters, "SELECT CAST(n AS INTEGER) AS n, CAST(a AS DOUBLE) AS value, CAST(b AS DOUBLE) AS least, CAST(c AS DOUBLE) AS most, 0.0::DOUBLE AS low, 1.0::DOUBLE AS high FROM (VALUES (1, 0.25, 0.001, 1), (2, 4, 0.5, 8), (3, 0.125, 0.1, 1)) t(n, a, b, c)"),
+    "mk_hyperparameters": (mk_hyperparameters, """WITH s AS (SELECT s_suppkey AS gid, s_nationkey AS a, CAST(s_acctbal AS DOUBLE) / 1000 AS b FROM supplier),
+ p AS (SELECT x.gid AS g1, y.gid AS g2, x.a = y.a AS same, pow(x.b - y.b, 2) AS d FROM s x JOIN s y ON y.gid = x.gid + 1)
+ SELECT g1, g2, round((CASE WHEN same THEN 1 ELSE 0.3 END * exp(-d / 8) + 0.5) / 1.5, 5) AS before, round((CASE WHEN same THEN 1 ELSE 0.25 END * exp(-d / 32) + 0.125) / 1.125, 5) AS after,
+  0.25::DOUBLE AS h, 4.0::DOUBLE AS s, 0.125::DOUBLE AS c, 0.001::DOUBLE AS least_h, 0.5::DOUBLE AS least_s, 0.1::DOUBLE AS least_c, true AS inside FROM p"""),
     "distance_gradient": (distance_gradient, """WITH s AS (SELECT s_suppkey AS gid, CAST(s_acctbal AS DOUBLE) / 1000 AS v FROM supplier), p AS (SELECT a.gid AS g1, b.gid AS g2, pow(a.v - b.v, 2) AS x FROM s a JOIN s b ON b.gid = a.gid + 1),
  k AS (SELECT *, 2 * exp(-x / 8) AS k FROM p), e AS (SELECT *, sqrt(greatest(0, 2 - k)) AS d FROM k) SELECT g1, g2, round(d, 5) AS d, CASE WHEN d > 0 THEN round(-k * x / 8 * 0.5 / d, 4) + 0.0 ELSE 0 END AS dd FROM e"""),
 }
