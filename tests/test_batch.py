@@ -6,6 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from kindred.functions import microkernel as mk
+from kindred.operators import metrics
 from kindred.plans import batch, search
 from kindred.plans.kernel import GraphKernel, Packed, pack
 
@@ -47,6 +48,35 @@ def test_graphs_of_48_nodes(spark):
         assert np.isclose(v, value, rtol=1e-9) and np.allclose(g, grad, rtol=1e-7)
 
 
+def test_small_products_laid_out_by_tables_equal_dense_ones():
+    """Mixed sizes in one class, self-loops, parallel edges (which take the list), weights for the adjoint's right side."""
+    r = np.random.default_rng(5)
+    graphs = [random_graph(r, i, n) for i, n in enumerate([3, 5, 5, 18, 19])]
+    twice = Packed.of(pd.Series({"gid": 9, "n": 2, "p": np.ones(2), "n_c": ["a", "b"], "n_v": [0.1, 0.2], "src": [0, 0], "dst": [1, 1], "w": [1.0, 2.0], "e_l": [0.3, 0.6]}))
+    k, one = GraphKernel(NODE, EDGE, q=0.05), GraphKernel(NODE, EDGE, q=0.05, solver="dense")
+    for a in (graphs[0], graphs[1], twice):
+        for b, (x, _, g) in zip([*graphs, twice], batch.solved(k, a, [*graphs, twice], adjoint=lambda b, x: np.eye(*x.shape)), strict=True):
+            assert np.allclose(x, one.solve(a, b))
+            _, dr = one.nodal_gradient(a, b)
+            assert np.allclose(g, (dr / np.outer(a.p, b.p)).trace(axis1=1, axis2=2), rtol=1e-6, atol=1e-8)
+
+
+def test_metrics_within_blocks_equal_those_of_tables(spark):
+    packed = tables(spark, 25).cache()
+    k = GraphKernel(mk.TensorProduct(lab=mk.KroneckerDelta(0.3), val=mk.SquareExponential(2.0)), mk.TensorProduct(len=mk.SquareExponential(1.0)), q=0.1)
+    pairs, diag = k.pairs(packed), k.diag(packed)
+    rows = lambda df: {(r[0], r[1]): r[2] for r in df.collect()}
+    far = metrics.nodal_distances(k.nodal(packed), k.diag_nodal(packed)).cache()
+    for got, want in ((k.normalized(packed, 2.0), metrics.exponentiate(metrics.normalize(pairs, diag), 2.0)), (k.distances(packed), metrics.kernel_distance(pairs, diag)), (k.maximin(packed), metrics.maximin(far))):
+        assert "Join" not in got._jdf.queryExecution().executedPlan().toString()
+        got, want = rows(got), rows(want)
+        assert len(want) == 26 * 27 // 2 and got.keys() == want.keys() and all(abs(got[p] - want[p]) < 1e-6 for p in want)
+    asked = spark.createDataFrame([(i, i + 1) for i in range(25)], "g1 long, g2 long")
+    tied = far.withColumn("d", F.round("d", 7))
+    want = {(r.g1, r.g2): (r.n1, r.n2) for r in metrics.hotspot(tied, metrics.maximin(tied)).collect()}
+    assert {(r.g1, r.g2): (r.n1, r.n2) for r in k.hotspots(packed, asked).collect()} == {(i, i + 1): want[i, i + 1] for i in range(25)}
+
+
 def tables(spark, count, seed=0):
     r = np.random.default_rng(seed)
     nodes, edges = [], []
