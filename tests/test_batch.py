@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from kindred.functions import microkernel as mk
 from kindred.operators import metrics
-from kindred.plans import batch, search
+from kindred.plans import batch, kernel, search
 from kindred.plans.kernel import GraphKernel, Packed, pack
 
 
@@ -77,6 +77,21 @@ def test_metrics_within_blocks_equal_those_of_tables(spark):
     assert {(r.g1, r.g2): (r.n1, r.n2) for r in k.hotspots(packed, asked).collect()} == {(i, i + 1): want[i, i + 1] for i in range(25)}
 
 
+@pytest.mark.parametrize("listed", [64, 600, 4000])
+def test_edges_too_many_to_list_pairs(monkeypatch, listed):
+    """Below the number of distinct pairs of features edges meet in stretches, above it by singular terms."""
+    r = np.random.default_rng(7)
+    a, b, c = random_graph(r, 0, 30, hub=True), random_graph(r, 1, 25), random_graph(r, 2, 40)
+    c.edges["l"] = c.edges["l"].round(1)
+    k = GraphKernel(NODE, EDGE, q=0.05)
+    one = GraphKernel(NODE, EDGE, q=0.05, solver="dense")
+    monkeypatch.setattr(kernel, "EDGE_PAIRS", listed)
+    for x, y in ((a, b), (c, c)):
+        assert len(x.src) * len(y.src) > listed
+        assert np.allclose(k.solve(x, y), one.solve(x, y), rtol=1e-8)
+        assert np.allclose(GraphKernel(NODE, EDGE, q=0.05, lmin=1).solve(x, y), GraphKernel(NODE, EDGE, q=0.05, lmin=1, solver="dense").solve(x, y), rtol=1e-8)
+
+
 def tables(spark, count, seed=0):
     r = np.random.default_rng(seed)
     nodes, edges = [], []
