@@ -92,6 +92,18 @@ def test_edges_too_many_to_list_pairs(monkeypatch, listed):
         assert np.allclose(GraphKernel(NODE, EDGE, q=0.05, lmin=1).solve(x, y), GraphKernel(NODE, EDGE, q=0.05, lmin=1, solver="dense").solve(x, y), rtol=1e-8)
 
 
+def test_listed_pairs_are_dealt_by_their_number(spark, monkeypatch):
+    monkeypatch.setattr(kernel, "LOT", 10)
+    monkeypatch.setattr(kernel, "TOGETHER", 8)
+    packed = tables(spark, 40).cache()
+    k = GraphKernel(mk.TensorProduct(lab=mk.KroneckerDelta(0.3), val=mk.SquareExponential(2.0)), mk.TensorProduct(len=mk.SquareExponential(1.0)), q=0.1)
+    asked = [(i, i + 1) for i in range(40)] + [(7, i) for i in range(20, 40)] + [(3, 99), (99, 3)]
+    got = k.listed(packed, spark.createDataFrame(asked, "g1 long, g2 long")).cache()
+    assert got.rdd.getNumPartitions() == 7
+    want = {(r.g1, r.g2): r.k for r in k.pairs(packed).collect()}
+    assert {(r.g1, r.g2): round(r.k, 9) for r in got.collect()} == {p: round(want[p], 9) for p in asked[:-2]}
+
+
 def tables(spark, count, seed=0):
     r = np.random.default_rng(seed)
     nodes, edges = [], []
