@@ -155,6 +155,22 @@ def test_radius_edges_and_periodic_images(spark, n):
     assert free == n - 1 and ring == (n if n > 2 else 1)
 
 
+def test_radius_edges_are_not_grouped(spark):
+    """Skew lattice, against brute force: the nearest image once, and no sums over edges in the plan."""
+    r = np.random.default_rng(5)
+    xyz, cell = r.uniform(0, 4, (40, 3)), np.array([[4.0, 0.5, 0.0], [0.0, 4.0, 0.3], [0.2, 0.0, 4.0]])
+    pts = spark.createDataFrame([(0, i, *map(float, v)) for i, v in enumerate(xyz)], "gid int, nid int, x double, y double, z double")
+    for pbc in ([True, True, False], [False] * 3):
+        moves = [m @ cell for m in np.array(np.meshgrid(*[[-1, 0, 1] if p else [0] for p in pbc])).T.reshape(-1, 3)]
+        far = {(i, j): min(np.linalg.norm(xyz[i] - xyz[j] - m) for m in moves) for i in range(40) for j in range(i + 1, 40)}
+        want = {k: v for k, v in far.items() if v < 1.9}
+        cells = spark.createDataFrame([(0, *cell.tolist(), pbc)], "gid int, a array<double>, b array<double>, c array<double>, pbc array<boolean>")
+        for got in [S.radius_edges(pts, 1.9, cells=cells), *([] if any(pbc) else [S.radius_edges(pts, 1.9)])]:
+            assert "Aggregate" not in got._jdf.queryExecution().executedPlan().toString()
+            rows = got.collect()
+            assert len(rows) == len(want) and all(abs(want[e.src, e.dst] - e.length) < 1e-12 for e in rows)
+
+
 def test_gaussian_process(spark):
     x = np.linspace(0, 2, 6)
     rbf = lambda a, b: np.exp(-((a[:, None] - b[None]) ** 2))
