@@ -256,3 +256,19 @@ def test_linear_algebra():
     x, y = linalg.LowRank(u, v), linalg.LowRank(v, u)
     assert np.allclose((x @ y + x - y.T).todense(), u @ v.T @ v @ u.T + u @ v.T - (v @ u.T).T)
     assert np.allclose(x.todense() @ x.pinv().todense() @ x.todense(), x.todense()) and np.isclose(x.trace(), np.trace(x.todense()))
+
+
+def test_reorder_deals_with_many_graphs_in_a_call(spark):
+    """A graph each would cost a call of Python each: graphs come as rows of a batch, also those without an edge."""
+    rng = np.random.default_rng(3)
+    graphs = {f"g{k}": (int(rng.integers(1, 9)), rng.integers(0, 9, (int(rng.integers(0, 12)), 2))) for k in range(60)}
+    graphs = {g: (n, [tuple(sorted((int(a) % n, int(b) % n))) for a, b in e]) for g, (n, e) in graphs.items()}
+    nodes = spark.createDataFrame([(g, i) for g, (n, _) in graphs.items() for i in range(n)], "gid string, nid int")
+    edges = spark.createDataFrame([(g, a, b, 1.0) for g, (_, e) in graphs.items() for a, b in e], "gid string, src int, dst int, w double")
+    got = G.reorder(nodes, edges, "rcm")
+    assert "CoGroup" not in got._jdf.queryExecution().toString()
+    want = set()
+    for g, (n, e) in graphs.items():
+        src, dst = np.array([a for a, _ in e], int), np.array([b for _, b in e], int)
+        want |= {(g, i, at) for at, i in enumerate(G.reverse_cuthill_mckee(n, src, dst))}
+    assert {tuple(r) for r in got.collect()} == want
