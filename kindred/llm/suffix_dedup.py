@@ -39,6 +39,8 @@ SHALLOW = 48
 TRIE = 10
 #: Different extents of one bucket that a single task sorts; more are split by content.
 BUCKET = 2_000
+#: Extents that a task cuts or sorts at a time, but for a larger bucket; each has some 40 suffixes.
+AT_ONCE = 5_000
 _LOW = (1 << 20) - 1
 _ANCHOR = "kh long, sh long, _id long, _th long, loc long, mark boolean"
 
@@ -189,8 +191,8 @@ def _cut_rows(length: int, bucket: int):
             ends = ends - ends[0]
             ids, th = b.column("_id").to_numpy(), b.column("_th").to_numpy()
             doc = np.repeat(np.arange(len(ids)), np.diff(ends))
-            for i in range(0, len(kh), 20_000):
-                j = min(len(kh), i + 20_000)
+            for i in range(0, len(kh), AT_ONCE):
+                j = min(len(kh), i + AT_ONCE)
                 yield _cut(data, offs, ids, th, doc[i:j], kh[i:j], loc[i:j], m[i:j], length, bucket)
 
     return rows
@@ -343,7 +345,7 @@ def blind_tries(data, word, starts, depth, depths, length) -> tuple[np.ndarray,
 
 def _sort_rows(length: int):
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for t in C.complete_groups(batches, ["kh", "sub"]):
+        for t in C.complete_groups(batches, ["kh", "sub"], AT_ONCE):
             at = C.heads(t, ["kh", "sub"])
             bucket = np.repeat(np.arange(len(at) - 1), np.diff(at))
             data, offs = C.flat(t.column("bytes"))
