@@ -1,6 +1,7 @@
 """The graph engine against dense algebra, finite differences and closed forms."""
 
 import itertools
+import time
 
 import numpy as np
 import pandas as pd
@@ -272,3 +273,32 @@ def test_reorder_deals_with_many_graphs_in_a_call(spark):
         src, dst = np.array([a for a, _ in e], int), np.array([b for _, b in e], int)
         want |= {(g, i, at) for at, i in enumerate(G.reverse_cuthill_mckee(n, src, dst))}
     assert {tuple(r) for r in got.collect()} == want
+
+
+def test_steps_of_the_walk_shuffle_no_pairs(spark):
+    """More steps do not shuffle more, and settings are as before; one large pair is still dealt over all tasks."""
+
+    def sent():
+        time.sleep(1)
+        of = spark.sparkContext._jsc.sc().statusStore().executorList(True)
+        return sum(of.apply(i).totalShuffleWrite() for i in range(of.size()))
+
+    nodes = spark.createDataFrame([(g, i, "ab"[i % 2], float(i + g)) for g in range(20) for i in range(5)], "gid long, nid int, lab string, val double")
+    edges = spark.createDataFrame([(g, i, j, 1.0 + i, 0.5 * j) for g in range(20) for i in range(5) for j in range(i, 5)], "gid long, src int, dst int, w double, len double")
+    k = GraphKernel(mk.TensorProduct(lab=mk.KroneckerDelta(0.3), val=mk.SquareExponential(2.0)), mk.TensorProduct(len=mk.SquareExponential(1.0)), q=0.1)
+    pairs = spark.createDataFrame([(g, g + 1) for g in range(19)], "g1 long, g2 long")
+    names = ["spark.sql.autoBroadcastJoinThreshold", "spark.sql.adaptive.enabled", "spark.sql.requireAllClusterKeysForCoPartition"]
+    before = [spark.conf.get(n) for n in names]
+    spark.conf.set(names[0], "-1")
+    try:
+        used, got = [sent()], []
+        for tol, which in ((1e-1, pairs), (1e-9, pairs), (1e-9, pairs.limit(1))):
+            got.append({(r.g1, r.g2): r.k for r in walk_similarity(nodes, edges, k.node.column, k.edge.column, q=0.1, pairs=which, tol=tol).collect()})
+            used.append(sent())
+    finally:
+        spark.conf.set(names[0], before[0])
+    assert [spark.conf.get(n) for n in names] == before
+    want = {(r.g1, r.g2): r.k for r in k.listed(pack(nodes, edges), pairs).collect()}
+    assert set(got[1]) == set(want) and all(np.isclose(got[1][x], want[x], atol=1e-6) for x in want)
+    assert len(got[2]) == 1 and all(np.isclose(got[2][x], want[x], atol=1e-6) for x in got[2])
+    assert used[2] - used[1] < 1.5 * (used[1] - used[0])
