@@ -291,7 +291,7 @@ def find_leaks(docs: DataFrame, bench: DataFrame, *, doc_id: str = "doc_id", tex
                     r, i, s, e, n = zip(*m, strict=True)
                     yield pa.RecordBatch.from_arrays([b.column("_id").take(pa.array(r)), pa.array(i, pa.int64()), pa.array(s, pa.int64()), pa.array(e, pa.int64()), pa.array(n, pa.int32())], names=["_id", "item_id", "start", "end", "edits"])
 
-        part = src.mapInArrow(rows, "_id long, item_id long, start long, end long, edits int")
+        part = src.mapInArrow(C.released(rows), "_id long, item_id long, start long, end long, edits int")
         if not last:
             part = C.stash(part)
             held.unpersist()
@@ -316,7 +316,7 @@ def drop_leaks(docs: DataFrame, bench: DataFrame, *, text: str = "text", item_id
                 clean[[m[0] for m in _matches(searcher, b, tmp)]] = False
                 yield b.filter(pa.array(clean)).drop_columns([tmp])
 
-        docs = src.mapInArrow(rows, schema)
+        docs = src.mapInArrow(C.released(rows), schema)
         if not last:
             docs = C.stash(docs)
             held.unpersist()

@@ -185,4 +185,4 @@ def identify_language(
     model = docs.sparkSession.sparkContext.broadcast(train(texts, labels))
     src, (tmp, letter) = C.with_helpers(docs, outs, _text=C.text_col(text), _letter=C.text_col(text).rlike(r"\p{L}"))
     schema, arrow = C.widened(src.drop(tmp, letter), f"`{outs[0]}` string, `{outs[1]}` double")
-    return src.mapInArrow(_predict(model, arrow, outs, tmp, letter), schema)
+    return src.mapInArrow(C.released(_predict(model, arrow, outs, tmp, letter)), schema)

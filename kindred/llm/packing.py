@@ -121,8 +121,8 @@ def _pack(size: int):
 def pack(docs: DataFrame, *, tokenizer, end: int = 2, size: int = 1024, doc_id: str = "doc_id", text: str = "text", group: int = GROUP) -> DataFrame:
     """(doc_id, piece, start, length, ids_crc32, sequence_id, offset) for each piece of each document."""
     src = docs.select(F.col(f"`{doc_id}`").cast("long").alias("_id"), C.text_col(text).alias("_text"))
-    pieces = C.stash(src.mapInArrow(_pieces(tokenizer, end, size), _PIECE))
+    pieces = C.stash(src.mapInArrow(C.released(_pieces(tokenizer, end, size)), _PIECE))
     groups = max(1, -(-pieces.count() // group))
     dealt = pieces.withColumn("_group", F.pmod(F.xxhash64("_id", "piece", "ids_crc32"), F.lit(groups)))
-    packed = dealt.repartition(groups, "_group").sortWithinPartitions("_group", F.desc("length"), "_id", "piece", "ids_crc32").mapInArrow(_pack(size), _PIECE + ", sequence_id long, offset long")
+    packed = dealt.repartition(groups, "_group").sortWithinPartitions("_group", F.desc("length"), "_id", "piece", "ids_crc32").mapInArrow(C.released(_pack(size)), _PIECE + ", sequence_id long, offset long")
     return packed.withColumnRenamed("_id", doc_id)

@@ -422,7 +422,7 @@ def repeated_spans(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text
     key = C.row_key(doc_id, text)
     low = F.coalesce(key[0], F.lit(-(2**63))).alias("_id")
     src = docs.select(low, key[1], C.text_col(text).alias("_text"))
-    rows = src.where(F.octet_length("_text") >= length).mapInArrow(_anchor_rows(length), _ANCHOR)
+    rows = src.where(F.octet_length("_text") >= length).mapInArrow(C.released(_anchor_rows(length)), _ANCHOR)
     order = Window.partitionBy("kh", "sh").orderBy("_id", "_th", "loc")
     whole = Window.partitionBy("kh")
     marked = (
@@ -441,9 +441,9 @@ def repeated_spans(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text
     cut = (
         src.join(reps, ["_id", "_th"])
         .select("_id", "_th", "_text", "reps")
-        .mapInArrow(_cut_rows(length, bucket), "kh long, sub long, _id long, _th long, loc long, bytes binary, part binary")
+        .mapInArrow(C.released(_cut_rows(length, bucket)), "kh long, sub long, _id long, _th long, loc long, bytes binary, part binary")
     )
-    deep = cut.repartition("kh", "sub").sortWithinPartitions("kh", "sub").mapInArrow(_sort_rows(length), "_id long, _th long, lo long, hi long")
+    deep = cut.repartition("kh", "sub").sortWithinPartitions("kh", "sub").mapInArrow(C.released(_sort_rows(length)), "_id long, _th long, lo long, hi long")
     out = C.stash(seen.where("done").select("_id", "_th", "lo", "hi").unionByName(deep))
     C.unstash(seen)
     return out
@@ -467,4 +467,4 @@ def suffix_dedup(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text",
     joined = keyed.join(per_doc, (F.col(i) == F.col(i_)) & (F.col(h) == F.col(h_)), "left")
     base = keyed.drop(i, h, whole)
     schema, arrow = C.widened(base, new)
-    return joined.select(*[F.col(f"`{c}`") for c in base.columns], whole, found).mapInArrow(_result_rows(arrow, kept, whole, found), schema)
+    return joined.select(*[F.col(f"`{c}`") for c in base.columns], whole, found).mapInArrow(C.released(_result_rows(arrow, kept, whole, found)), schema)

@@ -1,9 +1,13 @@
 import random
+import re
 
+import numpy as np
+import pyarrow as pa
+import pytest
 from pyspark.sql import functions as F
 
 import corpus_pipeline as P
-from kindred.llm import queries
+from kindred.llm import common, queries
 
 
 def test_stages_on_a_small_corpus(spark, tmp_path):
@@ -95,3 +99,39 @@ def test_queries_are_registered():
 
     assert set(queries.QUERIES) <= set(entry.queries()) and set(queries.ORACLES) <= set(entry.oracle_sql())
     assert all(any(q.startswith(f"op{n}_") for q in queries.QUERIES) for n in range(1, 14))
+
+
+@pytest.mark.parametrize("stage", [P.language_stage, P.suffix_stage, P.decontamination_stage])
+def test_what_a_stage_returns_reaches_python_in_small_batches(spark, tmp_path, stage):
+    r = random.Random(5)
+    docs = [(i, " ".join(f"the{r.randrange(10**6)}" for _ in range(2000)), "en", 1) for i in range(700)]  # 7 MB
+    d = str(tmp_path)
+    spark.createDataFrame(docs, "doc_id long, text string, lang string, n_chars long").coalesce(1).write.parquet(f"{d}/documents.parquet")
+    spark.createDataFrame([(1, "no document holds this passage of text")], "item_id long, text string").write.parquet(f"{d}/benchmark.parquet")
+
+    def sizes(batches):
+        for b in batches:
+            yield pa.RecordBatch.from_arrays([pa.array([b.column("text").nbytes])], names=["n"])
+
+    spark.conf.unset("spark.sql.execution.arrow.maxBytesPerBatch")
+    try:
+        got = [x.n for x in stage(spark, spark.read.parquet(f"{d}/documents.parquet"), d).mapInArrow(sizes, "n long").collect()]
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxBytesPerBatch")
+    assert sum(got) > 6_000_000 and max(got) < 5_000_000
+
+
+def test_a_worker_gives_back_what_a_task_has_freed():
+    pinned = []
+
+    def taken():
+        return sum(map(int, re.findall(r"\nPss_Anon:\s+(\d+)", open("/proc/self/smaps_rollup").read()))) / 1024
+
+    def rows(batches):
+        yield from batches
+        held = [np.ones(8_000) for _ in range(1000)]  # 64 MB of arrays that are too small to be mapped on their own
+        pinned.append(held[-1])  # above what is freed, so that the C library does not shrink its heap unasked
+
+    at = taken()
+    assert list(common.released(rows)(iter([]))) == []
+    assert taken() - at < 30
