@@ -441,7 +441,7 @@ class GaussianField:
 
 
 # --------------------------------------------------------------------------- keeping models
-_PARTS = {GaussianProcess: ("y", "weights", "inverse"), LowRankGaussianProcess: ("kcc", "a", "b")}
+_PARTS = {GaussianProcess: ("y", "weights", "inverse"), LowRankGaussianProcess: ("kcc", "r", "z")}
 
 
 def save(model: GaussianProcess | LowRankGaussianProcess, spark: SparkSession, path: str, *, theta=(), overwrite: bool = False) -> None:
@@ -460,10 +460,10 @@ def load(spark: SparkSession, path: str) -> tuple[GaussianProcess | LowRankGauss
     head = json.loads(rows[0].head)
     kind = next(k for k in _PARTS if k.__name__ == head["kind"])
     get = {c: np.array([r[c] for r in rows]) for c in _PARTS[kind]}
-    get = {c: v[:, 0] if c in ("y", "weights", "b") else v for c, v in get.items()}
+    get = {c: v[:, 0] if c in ("y", "weights", "z") else v for c, v in get.items()}
     ids = [json.loads(r.id) for r in rows]
     if kind is LowRankGaussianProcess:
-        return LowRankGaussianProcess(head["alpha"], head["beta"]).fit_sums(ids, **get), np.array(head["theta"])
+        return LowRankGaussianProcess(head["alpha"], head["beta"]).fit_factor(ids, **get), np.array(head["theta"])
     model = GaussianProcess(head["alpha"], head["beta"], head["regularization"])
     model.ids, model.logdet = ids, head["logdet"]
     for c, v in get.items():
